@@ -141,3 +141,34 @@ def fold(key: str | Column, modulus: int) -> Column:
     """crc32 of the key as text, modulo modulus."""
     column = F.col(key) if isinstance(key, str) else key
     return F.pmod(F.crc32(column.cast("string").cast("binary")), F.lit(modulus))
+
+
+def slices(batches, text: int | str, limit: int = 1 << 21):
+    """The batches, cut so that a piece holds at most limit bytes of text, or one row."""
+    for batch in batches:
+        column = batch.column(text)
+        if isinstance(column, pa.ChunkedArray):
+            column = column.combine_chunks()
+        if not len(column):
+            continue
+        _, starts = string_bytes(column)
+        at = 0
+        while at < len(column):
+            to = max(at + 1, int(np.searchsorted(starts, starts[at] + limit, side="right")) - 1)
+            yield batch.slice(at, to - at)
+            at = to
+
+
+def by_count(df: DataFrame, count: str, most: int) -> int:
+    """The least count such that at most `most` rows have that many or more: a proven bound for what is then broadcast.
+
+    Counts are binned by sixteenths of a doubling, so only some hundreds of sums reach the driver.
+    """
+    bins = df.groupBy(F.floor(F.log2(F.col(count)) * 16).cast("int").alias("bin")).agg(F.count("*").alias("n"), F.min(count).alias("low")).collect()
+    kept, low = 0, None
+    for row in sorted(bins, key=lambda r: -r["bin"]):
+        kept += row["n"]
+        if kept > most:
+            break
+        low = row["low"]
+    return low if low is not None else 1 << 62

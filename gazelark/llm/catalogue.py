@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, quality
+from . import jaccard, mixing, quality
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_host_quality": quality.op2_host_quality,
         "op6_fair_queue_mix": mixing.op6_fair_queue_mix,
+        "op7_ngram_jaccard": jaccard.op7_ngram_jaccard,
     }
 
 
