@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard, mixing, quality
+from . import jaccard, mixing, quality, repeats
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_host_quality": quality.op2_host_quality,
+        "op5_suffix_repeats": repeats.op5_suffix_repeats,
         "op6_fair_queue_mix": mixing.op6_fair_queue_mix,
         "op7_ngram_jaccard": jaccard.op7_ngram_jaccard,
     }
