@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard, mixing, ppm, quality, repeats
+from . import jaccard, mixing, packing, ppm, quality, repeats
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_suffix_repeats": repeats.op5_suffix_repeats,
         "op6_fair_queue_mix": mixing.op6_fair_queue_mix,
         "op7_ngram_jaccard": jaccard.op7_ngram_jaccard,
+        "op8_min_slack_packing": packing.op8_min_slack_packing,
         "op10_ppm_score": ppm.op10_ppm_score,
     }
 
