@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard, mixing, packing, ppm, quality, repeats
+from . import jaccard, langid, mixing, packing, ppm, quality, repeats
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_host_quality": quality.op2_host_quality,
+        "op4_language_mixture": langid.op4_language_mixture,
         "op5_suffix_repeats": repeats.op5_suffix_repeats,
         "op6_fair_queue_mix": mixing.op6_fair_queue_mix,
         "op7_ngram_jaccard": jaccard.op7_ngram_jaccard,
