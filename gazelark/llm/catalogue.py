@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard, langid, mixing, packing, ppm, quality, repeats
+from . import jaccard, langid, mixing, packing, pii, ppm, quality, repeats
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_pii_offsets": pii.op1_pii_offsets,
         "op2_host_quality": quality.op2_host_quality,
         "op4_language_mixture": langid.op4_language_mixture,
         "op5_suffix_repeats": repeats.op5_suffix_repeats,
@@ -23,6 +24,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_pii_offsets": pii.op1_pii_offsets,
         "op2_host_quality": quality.OP2_SQL.replace("{docs}", "documents"),
         "op6_fair_queue_mix": mixing.OP6_SQL,
     }
