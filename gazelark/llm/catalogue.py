@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard, langid, mixing, packing, pii, ppm, quality, repeats
+from . import jaccard, langid, licenses, mixing, packing, pii, ppm, quality, repeats
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pii_offsets": pii.op1_pii_offsets,
         "op2_host_quality": quality.op2_host_quality,
+        "op3_license_compression": licenses.op3_license_compression,
         "op4_language_mixture": langid.op4_language_mixture,
         "op5_suffix_repeats": repeats.op5_suffix_repeats,
         "op6_fair_queue_mix": mixing.op6_fair_queue_mix,
