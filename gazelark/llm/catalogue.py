@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard, langid, licenses, mixing, packing, pii, ppm, quality, repeats
+from . import images, jaccard, langid, licenses, mixing, packing, pii, ppm, quality, repeats
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_fair_queue_mix": mixing.op6_fair_queue_mix,
         "op7_ngram_jaccard": jaccard.op7_ngram_jaccard,
         "op8_min_slack_packing": packing.op8_min_slack_packing,
+        "op9_image_descriptors": images.op9_image_descriptors,
         "op10_ppm_score": ppm.op10_ppm_score,
     }
 
