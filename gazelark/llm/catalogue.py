@@ -10,7 +10,10 @@ from . import images, jaccard, langid, licenses, mixing, packing, pii, ppm, qual
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    import corpus_pipeline
+
     return {
+        "pipeline": corpus_pipeline.run,
         "op1_pii_offsets": pii.op1_pii_offsets,
         "op2_host_quality": quality.op2_host_quality,
         "op3_license_compression": licenses.op3_license_compression,

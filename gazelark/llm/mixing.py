@@ -97,6 +97,17 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str =
     return joined.select(F.col("q.doc_id").alias(key), F.col("q.source").alias("source"), F.col("q.size").alias("size"), "source_size", "target", taken.alias("taken"))
 
 
+def take(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", **how) -> DataFrame:
+    """docs' rows, each as often as the mix takes it. Equal rows are told apart by how often they are taken together."""
+    row = F.xxhash64(F.col(key), F.col(text), F.col(source))
+    mixed = mix(docs.select(F.col(text).alias("text"), F.col(source).alias("source"), row.alias("row")), key="row", **how)
+    times = mixed.where("taken > 0").groupBy("row").agg(F.sum("taken").alias("words"), F.first("size").alias("size"))
+    times = times.select(F.col("row").alias("_row"), F.explode(F.sequence(F.lit(1), (F.col("words") / F.col("size")).cast("int"))).alias("_copy"))
+    # one of equal rows, then each as often as all of them are taken
+    one = docs.withColumn("_row", row).dropDuplicates(["_row"])
+    return one.join(times, "_row").select(*docs.columns)
+
+
 def _range(time=None):
     """The range of a virtual time: even steps below 8, then steps of its logarithm."""
     time = F.col("time") if time is None else time

@@ -72,9 +72,8 @@ def measures(text: Column) -> dict[str, Column]:
     }
 
 
-def measured(docs: DataFrame, text: str = "text", host: str = "source", key: str = "doc_id") -> DataFrame:
-    """(doc_id, host, the measures, base_failed, failed)."""
-    out = docs.select(F.col(key).alias("doc_id"), F.col(host).alias("host"), *[c.alias(n) for n, c in measures(F.col(text)).items()])
+def rules() -> tuple[Column, Column]:
+    """(base_failed, failed) from the measures."""
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     more = (
         (100 * F.col("n_symbols") > MAX_SYMBOLS_PERCENT * F.col("n_words"))
@@ -82,7 +81,14 @@ def measured(docs: DataFrame, text: str = "text", host: str = "source", key: str
         | (F.col("word_chars") < MIN_WORD_CHARS * F.col("n_words"))
         | (F.col("word_chars") > MAX_WORD_CHARS * F.col("n_words"))
     )
-    return out.withColumn("base_failed", base).withColumn("failed", F.col("base_failed") | more)
+    return base, base | more
+
+
+def measured(docs: DataFrame, text: str = "text", host: str = "source", key: str = "doc_id") -> DataFrame:
+    """(doc_id, host, the measures, base_failed, failed)."""
+    out = docs.select(F.col(key).alias("doc_id"), F.col(host).alias("host"), *[c.alias(n) for n, c in measures(F.col(text)).items()])
+    base, failed = rules()
+    return out.withColumn("base_failed", base).withColumn("failed", failed)
 
 
 def host_verdicts(marked: DataFrame, reject_above: float = REJECT_ABOVE) -> DataFrame:
@@ -108,6 +114,17 @@ def quality(docs: DataFrame, text: str = "text", host: str = "source", key: str
     return out.select(F.col("doc_id").alias(key), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "host_rejected")
 
 
+def keep(docs: DataFrame, text: str = "text", host: str = "source") -> DataFrame:
+    """The rows of docs that stay, with docs' own columns. The rules' verdicts are written beside the texts, so texts aren't shuffled."""
+    base, failed = rules()
+    facts = docs.select(F.struct("*").alias("row"), F.col(host).alias("host"), *[c.alias(n) for n, c in measures(F.col(text)).items()])
+    marked = written(facts.select("row", "host", base.alias("base_failed"), failed.alias("failed")))
+    verdicts = host_verdicts(marked.select("host", "failed")).where("host_rejected").select(F.col("host").alias("bad"))
+    clean, rest = ~F.col("failed"), F.col("failed") & ~F.col("base_failed")
+    kept = marked.where(rest).join(verdicts, F.col("host").eqNullSafe(F.col("bad")), "left_anti").select("row.*")
+    return marked.where(clean).select("row.*").unionByName(kept)
+
+
 def op2_host_quality(spark, sf_dir: str) -> DataFrame:
     return quality(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
