@@ -17,16 +17,25 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+# Letters that a full-text index keeps although they decompose, and letter variants that it reads as the plain letter.
+KEPT = "Ǡǡ"
+VARIANTS = {"ſ": "s", "ẛ": "s", "ς": "σ", "ϐ": "β", "ϑ": "θ", "ϕ": "φ", "ϖ": "π", "ϰ": "κ", "ϱ": "ρ", "ϵ": "ε"}
+
+
 @lru_cache
 def fold_map(form: str = "NFD", latin_only: bool = True) -> tuple[str, str]:
     """Letters with diacritics and the plain letters they fold to, from Unicode's decompositions."""
     source, target = [], []
-    for point in range(0xC0, 0x3000):
+    for point in [*range(0xC0, 0x3000), *range(0xFF01, 0xFF5F)]:
         char = chr(point)
         base, *marks = unicodedata.normalize(form, char)
-        if marks and all(unicodedata.combining(m) for m in marks) and (not latin_only or base.isascii() and base.isalpha()):
+        folds = base != char and all(unicodedata.combining(m) for m in marks)
+        if folds and (not latin_only or marks and base.isascii() and base.isalpha()):
             source.append(char)
             target.append(base)
+    if latin_only:
+        pairs = {k: v for k, v in zip(source, target, strict=True) if k not in KEPT} | VARIANTS
+        source, target = list(pairs), list(pairs.values())
     return "".join(source), "".join(target)
 
 
