@@ -107,7 +107,7 @@ def first_match(iso: DataFrame, geo: DataFrame) -> DataFrame:
 
     The block join is by (country, level). Matches see the GeoNames rows as they were; see resolved() for the sequential order.
     """
-    names = lambda: F.array_distinct(F.transform(F.concat(F.array("name"), "alt_names"), lambda x: x))
+    names = lambda: F.array_distinct(F.concat(F.array("name"), "alt_names"))
     left = iso.select("iso_code", "alpha2", "admin_level", F.explode(names()).alias("n")).select("iso_code", "alpha2", "admin_level", comparable("n").alias("a")).distinct()
     right = geo.select("id", "alpha2", "admin_level", F.explode(names()).alias("n")).select("id", "alpha2", "admin_level", comparable("n").alias("b")).distinct()
     pairs = left.join(right, ["alpha2", "admin_level"])
@@ -121,7 +121,7 @@ def resolved(iso: DataFrame, geo: DataFrame, seq: str = "iso_code") -> DataFrame
     A merge adds the ISO row's names to the GeoNames row, and later ISO rows see them, so a group is walked in the order of seq.
     Its size is bounded by the subdivisions of one level of one country.
     """
-    each = lambda df, side, order: df.select("alpha2", "admin_level", F.lit(side).alias("side"), F.col(order).cast("string").alias("order"), F.col("id").cast("string").alias("id"), "iso_code", F.transform(F.concat(F.array("name"), "alt_names"), lambda x: x).alias("names"))
+    each = lambda df, side, order: df.select("alpha2", "admin_level", F.lit(side).alias("side"), F.col(order).cast("string").alias("order"), F.col("id").cast("string").alias("id"), "iso_code", F.concat(F.array("name"), "alt_names").alias("names"))
     both = each(iso, "iso", seq).unionByName(each(geo, "geo", "id"))
     # the names as they are compared, worked out in Spark; a row's list stays in order
     flat = both.select("alpha2", "admin_level", "side", "order", "id", "iso_code", F.posexplode("names").alias("at", "n")).withColumn("n", comparable("n"))
@@ -201,7 +201,7 @@ def is_city(code: str = "feature code", population: str = "population") -> Colum
 
 def city_aliases(name: Column, alternates: Column, ascii: Column) -> Column:
     """Latin aliases of three letters or more, the first of each spelling once case and marks are off, without the name's own; titled."""
-    every = F.transform(F.concat(F.when(F.coalesce(alternates, F.lit("")) != "", F.split(alternates, ",")).otherwise(F.array().cast("array<string>")), F.array(ascii)), F.trim)
+    every = F.transform(F.concat(F.when(F.coalesce(alternates, F.lit("")) != "", F.split(alternates, ",")).otherwise(F.array().cast("array<string>")), F.array(ascii)), lambda x: F.trim(x))
     good = F.filter(every, lambda x: (F.length(x) >= 3) & is_latin(x))
     keyed = F.transform(good, lambda x: F.struct(decomposed(x).alias("k"), x.alias("v")))
     fresh = F.filter(keyed, lambda x: x["k"] != decomposed(name))

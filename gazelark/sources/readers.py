@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import clean
 
@@ -42,7 +43,7 @@ def json_records(spark: SparkSession, path: str, schema: str, root: str | None =
     """Records of a JSON array, or of the array under a key of the file's one object."""
     if root is None:
         return spark.read.schema(schema).json(path, multiLine=True)
-    whole = spark.read.schema(f"`{root}` array<struct<{schema.replace(' ', ':')}>>").json(path, multiLine=True)
+    whole = spark.read.schema(T.StructType([T.StructField(root, T.ArrayType(T.StructType.fromDDL(schema)))])).json(path, multiLine=True)
     return whole.select(F.explode(f"`{root}`").alias("r")).select("r.*")
 
 
