@@ -31,6 +31,8 @@ def written(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._gazelark_path = path
+    # the driver only notices at its own collections that a finished step's shuffle files aren't needed any more
+    spark._jvm.System.gc()
     return out
 
 
