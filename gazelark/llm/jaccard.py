@@ -8,8 +8,9 @@ document gets a longer prefix and asks for as many shared tokens before it is ve
 
 Candidates come in two rounds. First every list is compared with its most costly document only, which joins a group of
 copies along a star. Components found so far are then contracted, and only pairs of different components are compared,
-so copies that are already connected never meet pair by pair. Equal sets are one document throughout. Verification is
-exact on the whole sets.
+so copies that are already connected never meet pair by pair. Pairs that can't reach the similarity are dropped as they meet, by
+how far along both sets the shared token stands and by parity signatures of the whole sets. Equal sets are one document
+throughout. Verification is exact on the whole sets.
 
 Cases: null text, or one without words, has an empty set and is linked with nothing; a null key takes no part and has a
 null component; rows with one key are one document's parts and share its component; other columns are ignored.
@@ -19,12 +20,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._shared import components, dropped, mixed, slices, string_bytes, word_hashes, words, written
 
 SKETCH_BITS = 18
+#: Bits of a set's parity signature.
+PARITY = 512
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
 
 
@@ -96,7 +99,7 @@ def count_sketch(docs: DataFrame, text: str, k: int) -> np.ndarray:
 
 
 def _prefixes(k: int, percent: int, sketch):
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("ell", pa.int32()), ("cost", pa.int64()), ("prefix", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("ell", pa.int32()), ("cost", pa.int64()), ("parity", pa.list_(pa.int64())), ("prefix", pa.list_(pa.int64()))])
 
     def run(batches):
         seen = sketch.value
@@ -111,6 +114,9 @@ def _prefixes(k: int, percent: int, sketch):
             if len(r):
                 d1[some] = np.add.reduceat(mixed(h ^ _ODD[1]), first[some])
                 d2[some] = np.add.reduceat(mixed(h ^ _ODD[2]), first[some])
+            # each shingle turns one bit over, so two signatures differ in no more bits than the sets differ in shingles
+            bits = np.bincount(r * PARITY + ((h >> np.uint64(8)) % np.uint64(PARITY)).astype(np.int64), minlength=len(column) * PARITY) & 1
+            parity = np.packbits(bits.astype(np.uint8)).view(np.int64)
             lists = np.maximum(seen[(h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)] - mean, 1)
             order = np.lexsort((h, lists, r))
             h, lists = h[order], lists[order]
@@ -124,7 +130,7 @@ def _prefixes(k: int, percent: int, sketch):
             ends = np.concatenate([[0], np.cumsum(size)])
             pick = np.repeat(first - ends[:-1], size) + np.arange(ends[-1])
             yield pa.RecordBatch.from_arrays(
-                [keys.cast(pa.int64()), pa.array(n), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), pa.array(ell.astype(np.int32)), pa.array(cost), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(h[pick].view(np.int64)))],
+                [keys.cast(pa.int64()), pa.array(n), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), pa.array(ell.astype(np.int32)), pa.array(cost), pa.ListArray.from_arrays(pa.array((np.arange(len(column) + 1) * (PARITY // 64)).astype(np.int32)), pa.array(parity)), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(h[pick].view(np.int64)))],
                 schema=schema,
             )
 
@@ -136,16 +142,25 @@ def _sets(k: int):
         for piece in slices(batches, 1):
             r, h = shingles(piece.column(1), k)
             ends = np.searchsorted(r, np.arange(len(piece.column(0)) + 1))
-            yield pa.RecordBatch.from_arrays([piece.column(0).cast(pa.int64()), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(h.view(np.int64)))], names=["doc", "grams"])
+            yield pa.RecordBatch.from_arrays([piece.column(0).cast(pa.int64()), piece.column(2), piece.column(3), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(h.view(np.int64)))], names=["doc", "is_a", "is_b", "grams"])
 
     return run
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) whose whole sets reach the similarity."""
-    left, right = sets.select(F.col("doc").alias("a"), F.col("grams").alias("ga")), sets.select(F.col("doc").alias("b"), F.col("grams").alias("gb"))
+def _linked(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) whose whole sets reach the similarity; written.
+
+    Sets are made for the documents of pairs alone, told apart by their side, so that a star's set is sent as an a only.
+    """
+    ids = pairs.select(F.col("a").alias("doc_id"), F.lit(True).alias("is_a"), F.lit(False).alias("is_b")).unionByName(pairs.select(F.col("b").alias("doc_id"), F.lit(False).alias("is_a"), F.lit(True).alias("is_b")))
+    ids = ids.groupBy("doc_id").agg(F.max("is_a").alias("is_a"), F.max("is_b").alias("is_b"))
+    # dealt by key at every size: a side's size decides nothing here
+    sets = written(docs.join(ids.hint("merge"), "doc_id").select("doc_id", "text", "is_a", "is_b").mapInArrow(_sets(k), "doc long, is_a boolean, is_b boolean, grams array<long>"))
+    left, right = sets.where("is_a").select(F.col("doc").alias("a"), F.col("grams").alias("ga")), sets.where("is_b").select(F.col("doc").alias("b"), F.col("grams").alias("gb"))
     both = F.size(F.array_intersect("ga", "gb"))
-    return pairs.join(left, "a").join(right, "b").where(100 * both >= percent * (F.size("ga") + F.size("gb") - both)).select("a", "b")
+    out = written(pairs.join(right, "b").join(left, "a").where(100 * both >= percent * (F.size("ga") + F.size("gb") - both)).select("a", "b"))
+    dropped(sets)
+    return out
 
 
 def jaccard_components(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = 4, percent: int = 85) -> DataFrame:
@@ -153,36 +168,61 @@ def jaccard_components(docs: DataFrame, text: str = "text", key: str = "doc_id",
     spark = docs.sparkSession
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     sketch = spark.sparkContext.broadcast(count_sketch(docs, "text", k))
-    every = written(docs.mapInArrow(_prefixes(k, percent, sketch), "doc_id long, n long, d1 long, d2 long, ell int, cost long, prefix array<long>"))
-    told = every.where("n > 0 AND doc_id IS NOT NULL")
-    reps = written(told.groupBy("d1", "d2", "n").agg(F.min(F.struct("doc_id", "ell", "cost", "prefix")).alias("m")).select("d1", "d2", "n", F.col("m.doc_id").alias("doc"), "m.ell", "m.cost", "m.prefix"))
-    index = reps.select(F.explode("prefix").alias("token"), "doc", F.col("n").cast("int").alias("n"), F.col("cost").cast("float").alias("cost"))
-    lists = index.groupBy("token").agg(F.count("*").alias("length"), F.max_by("doc", "cost").alias("star")).where("length > 1")
-    shared = written(index.join(lists, "token").select("token", "doc", "n", "star"))
-    facts = reps.select("doc", "n", "ell")
-
-    def asked(pairs: DataFrame) -> DataFrame:
-        """Of (a, b, shared tokens): the pairs with the shared tokens that they need, and sizes that can reach the similarity."""
-        pairs = pairs.join(facts.select(F.col("doc").alias("a"), F.col("n").alias("na"), F.col("ell").alias("ea")), "a")
-        pairs = pairs.join(facts.select(F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("ell").alias("eb")), "b")
-        return pairs.where((F.col("tokens") >= F.least("ea", "eb")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))).select("a", "b")
-
-    stars = shared.where("doc != star").groupBy(F.least("doc", "star").alias("a"), F.greatest("doc", "star").alias("b")).agg(F.count("*").alias("tokens"))
-    stars = written(asked(stars))
-    able = shared.groupBy("doc").agg(F.count("*").alias("tokens")).join(facts, "doc").where("tokens >= ell").select(F.col("doc").alias("doc_id")).distinct()
-    sets = written(docs.join(able, "doc_id", "left_semi").mapInArrow(_sets(k), "doc long, grams array<long>"))
-    links = written(_linked(stars, sets, percent))
+    wide = written(docs.mapInArrow(_prefixes(k, percent, sketch), "doc_id long, n long, d1 long, d2 long, ell int, cost long, parity array<long>, prefix array<long>"))
+    told = wide.where("n > 0 AND doc_id IS NOT NULL")
+    every = written(wide.select("doc_id", "n", "d1", "d2"))
+    first = written(told.groupBy("d1", "d2", "n").agg(F.min(F.struct("doc_id", "ell", "cost", "parity", "prefix")).alias("m")).select("d1", "d2", "n", F.col("m.doc_id").alias("doc"), "m.ell", "m.cost", "m.parity", "m.prefix"))
+    dropped(wide)
+    reps = written(first.drop("prefix", "cost"))
+    # set size and place in one number
+    index = first.select(F.posexplode("prefix").alias("place", "token"), "doc", "n", F.col("cost").cast("float").alias("cost")).select("token", "doc", "cost", (F.shiftleft("n", 24) + F.col("place")).alias("at"))
+    lists = index.groupBy("token").agg(F.count("*").alias("length"), F.max_by("doc", "cost").alias("star")).where("length > 1").select("token", "star")
+    shared = written(index.join(lists, "token").select("token", "doc", "star", F.shiftright("at", 24).alias("n"), F.col("at").bitwiseAND(F.lit((1 << 24) - 1)).alias("place")))
+    dropped(first)
+    # how many of the document's shingles before this one are in other lists too: no more can be shared there
+    before = Window.partitionBy("doc").orderBy("place", "token")
+    shared_ = written(shared.withColumn("before", F.row_number().over(before) - 1))
+    dropped(shared)
+    shared = shared_
+    facts = reps.select("doc", "ell", "parity")
+    side = lambda name: [F.col(c).alias(f"{c}_{name}") for c in ("doc", "n", "place", "before")]
+
+    def can_link(shared_before, x: str = "a", y: str = "b"):
+        """Whether a pair with one more token shared at these places can reach the similarity, if all that follows is shared."""
+        most = shared_before + 1 + F.least(F.col(f"n_{x}") - F.col(f"place_{x}"), F.col(f"n_{y}") - F.col(f"place_{y}")) - 1
+        sizes = F.col(f"n_{x}") + F.col(f"n_{y}")
+        return ((100 + percent) * most >= percent * sizes) & (100 * F.least(f"n_{x}", f"n_{y}") >= percent * F.greatest(f"n_{x}", f"n_{y}"))
+
+    def few_differences(n_a: str, n_b: str, x: str, y: str):
+        """Whether two signatures differ in so few bits that the sets can reach the similarity."""
+        differ = sum((F.bit_count(F.get(x, i).bitwiseXOR(F.get(y, i))) for i in range(1, PARITY // 64)), F.bit_count(F.get(x, 0).bitwiseXOR(F.get(y, 0))))
+        sizes = F.col(n_a) + F.col(n_b)
+        return (100 + percent) * (sizes - differ) >= 2 * percent * sizes
+
+    def candidates(met: DataFrame, all_lists: bool) -> DataFrame:
+        """(a, b) of pairs that met in lists, if they share as many tokens as they need and, where they met in all lists that they share, what follows the last can make up the rest."""
+        pairs = met.groupBy(F.col("doc_a").alias("a"), F.col("doc_b").alias("b")).agg(F.count("*").alias("tokens"), F.max("place_a").alias("place_a"), F.max("place_b").alias("place_b"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"))
+        pairs = pairs.where(can_link(F.col("tokens") - 1)) if all_lists else pairs
+        ells = [facts.select(F.col("doc").alias(c), F.col("ell").alias(f"ell_{c}"), F.col("parity").alias(f"parity_{c}")) for c in ("a", "b")]
+        able = (F.col("tokens") >= F.least("ell_a", "ell_b")) & few_differences("n_a", "n_b", "parity_a", "parity_b")
+        return pairs.join(ells[0], "a").join(ells[1], "b").where(able).select("a", "b")
+
+    at_star = shared.where("doc = star").select("token", *side("a"))
+    met = shared.where("doc != star").select("token", *side("b")).join(at_star, "token").where(can_link(F.least("before_a", "before_b")))
+    stars = written(candidates(met, all_lists=False))
+    links = _linked(stars, docs, k, percent)
     near = components(links, "a", "b")
-    placed = written(shared.join(near.withColumnRenamed("node", "doc"), "doc", "left").select("token", "doc", "n", F.coalesce("component", "doc").alias("part")))
-    mixed_lists = placed.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low != high").select("token")
-    rest = placed.join(mixed_lists, "token", "left_semi")
-    x, y = rest.alias("x"), rest.alias("y")
-    able_sizes = (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n"))
-    cross = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.part") < F.col("y.part")) & able_sizes)
-    cross = cross.groupBy(F.least("x.doc", "y.doc").alias("a"), F.greatest("x.doc", "y.doc").alias("b")).agg(F.count("*").alias("tokens"))
-    more = written(_linked(asked(cross).join(stars, ["a", "b"], "left_anti"), sets, percent))
+    placed = written(shared.join(near.withColumnRenamed("node", "doc"), "doc", "left").select("token", "doc", "n", "place", "before", F.coalesce("component", "doc").alias("part")))
+    mixed_lists = written(placed.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.min("n").alias("least")).where("low != high").select("token", "least"))
+    # who can't reach even the smallest of a list needn't stay in it
+    rest = placed.join(mixed_lists, "token").where((100 + percent) * (F.col("n") - F.col("place") + F.col("before")) >= percent * (F.col("n") + F.greatest("least", F.ceil(F.col("n") * percent / 100))))
+    rest = written(rest.select("token", "part", "doc", "n", "place", "before").join(facts, "doc"))
+    x, y = rest.select("token", F.col("part").alias("part_a"), F.col("parity").alias("parity_a"), *side("a")), rest.select("token", F.col("part").alias("part_b"), F.col("parity").alias("parity_b"), *side("b"))
+    cross = candidates(x.join(y, "token").where((F.col("part_a") < F.col("part_b")) & can_link(F.least("before_a", "before_b")) & few_differences("n_a", "n_b", "parity_a", "parity_b")), all_lists=True)
+    tried = stars.select("a", "b").unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    more = _linked(written(cross.join(tried, ["a", "b"], "left_anti")), docs, k, percent)
     final = components(links.unionByName(more), "a", "b")
-    dropped(shared, placed, sets, stars, near, links, more)
+    dropped(shared, stars, placed, mixed_lists, rest, near, links, more)
     found = reps.select("d1", "d2", "n", F.col("doc").alias("node")).join(final, "node", "left").select("d1", "d2", "n", F.coalesce("component", "node").alias("component"))
     out = every.alias("e").join(found.alias("f"), (F.col("e.d1") == F.col("f.d1")) & (F.col("e.d2") == F.col("f.d2")) & (F.col("e.n") == F.col("f.n")), "left")
     alone = F.col("e.doc_id").isNull() | (F.col("e.n") == 0)
