@@ -24,8 +24,8 @@ from pyspark.sql import DataFrame
 from ._shared import slices, string_bytes, word_hashes, words
 
 WINDOW, BLOCK, END_ID = 2048, 512, 1
-#: Word kinds whose ids a task keeps; beyond it starts anew.
-KEPT_KINDS = 1 << 20
+#: Word kinds whose ids a worker keeps; beyond it starts anew.
+KEPT_KINDS = 1 << 21
 
 
 class Ids:
@@ -55,9 +55,8 @@ class Ids:
         at = np.arange(len(kinds)) + len(self.start) - 1
         self.start = np.concatenate([self.start, self.start[-1] + np.cumsum([len(x) for x in ids])])
         self.flat = np.concatenate([self.flat, *ids])
-        hashes, index = np.concatenate([self.hashes, kinds]), np.concatenate([self.index, at])
-        order = np.argsort(hashes, kind="stable")
-        self.hashes, self.index = hashes[order], index[order]
+        place = np.searchsorted(self.hashes, kinds)  # both are sorted
+        self.hashes, self.index = np.insert(self.hashes, place, kinds), np.insert(self.index, place, at)
 
     def _find(self, kinds: np.ndarray) -> np.ndarray:
         if not len(self.hashes):
@@ -93,6 +92,17 @@ class Ids:
         return out, bounds
 
 
+_kept: dict[tuple[str, bool], Ids] = {}
+
+
+def ids_of(path: str, by_word: bool) -> Ids:
+    """The worker's own, which later tasks find filled."""
+    if (path, by_word) not in _kept:
+        _kept.clear()
+        _kept[path, by_word] = Ids(path, by_word)
+    return _kept[path, by_word]
+
+
 def least_slack(counts: dict[int, int], room: int) -> dict[int, int]:
     """How many of each length make up the largest sum that room holds."""
     every = (1 << (room + 1)) - 1
@@ -168,7 +178,7 @@ def _packed(path: str, window: int, block: int, by_word: bool):
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
     def run(batches):
-        ids = Ids(path, by_word)
+        ids = ids_of(path, by_word)
         context = TaskContext.get()
         number = (context.partitionId() if context else 0) << 40
         keys: list[int | None] = []
