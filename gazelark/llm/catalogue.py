@@ -29,7 +29,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "op1_pii_offsets": pii.op1_pii_offsets,
         "op2_host_quality": quality.OP2_SQL.replace("{docs}", "documents"),
         "op6_fair_queue_mix": mixing.OP6_SQL,
     }

@@ -3,10 +3,11 @@
 Base spans come from the text as it is. Then transducers rewrite the text: homoglyphs and full-width signs become the ASCII
 they look like, zero-width signs go, spelled digits become digits, and at/dot disguises become @ and dots. Each output character
 keeps the source characters it stands for, so what is detected in the rewritten text maps back to a span of the source.
-A rewritten find counts only if a disguise took part in it and no base span of its kind overlaps it.
+A rewritten find counts only if a disguise took part in it, no span found before holds it whole; base spans
+of its kind that it overlaps saw only a part and become one with it.
 
 A transducer only fires on strict forms, to leave ordinary prose alone: a bracketed at or dot, or a bare `at` that a spelled
-`dot` and a top-level name follow; spelled digits only in runs of PHONE_DIGITS or more; and identifiers must pass the same checks.
+`dot` and a top-level name follow; spelled digits only in runs of PHONE_DIGITS digits or more, or four by four in an address; and identifiers must pass the same checks.
 
 Cases: null and empty texts have no spans; very long texts are scanned in linear time, since runs are walked from their ends;
 repeated rows are scanned each; an empty table gives an empty result; other columns are ignored.
@@ -53,7 +54,11 @@ SPELLED = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four":
 _ODD = re.compile("[" + "".join(map(re.escape, HOMOGLYPHS)) + ZERO_WIDTH + "]")
 _DIGIT_WORD = "(?:" + "|".join(SPELLED) + ")"
 _SPELLED_PAIR = re.compile(rf"(?i)\b{_DIGIT_WORD}[ \-,.]{{1,2}}{_DIGIT_WORD}\b")
-_SPELLED_RUN = re.compile(rf"(?i)(?:(?<![A-Za-z0-9])(?:plus[ \-,.]{{0,3}}|\+[ ]?)?(?:{_DIGIT_WORD}|[0-9]+)(?![A-Za-z])(?:[ \-,.()]{{0,3}})){{{PHONE_DIGITS},}}")
+_SPELLED_RUN = re.compile(rf"(?i)(?:(?<![A-Za-z0-9])(?:plus[ \-,.]{{0,3}}|\+[ ]?)?(?:{_DIGIT_WORD}|[0-9]+)(?![A-Za-z])(?:[ \-,.()]{{0,3}})){{3,}}")
+_OCTET = rf"(?:[0-9]{{1,3}}|{_DIGIT_WORD}(?:[ \-]{_DIGIT_WORD}){{0,2}})"
+_SPELLED_DOT = r"(?:\s*[\[({<]\s*(?:dot|\.)\s*[\])}>]\s*|\s+dot\s+|\.)"
+_SPELLED_IP = re.compile(rf"(?i)(?<![A-Za-z0-9]){_OCTET}(?:{_SPELLED_DOT}{_OCTET}){{3}}(?![A-Za-z0-9])")
+_SPELLED_OCTET = re.compile(rf"(?i){_DIGIT_WORD}(?:[ \-]{_DIGIT_WORD}){{0,2}}")
 _SPELLED_ONE = re.compile(rf"(?i){_DIGIT_WORD}|plus|\+|[0-9]+")
 _BRACKETED = re.compile(r"(?i)\s*[\[({<]\s*(?:at|@|dot|\.)\s*[\])}>]\s*")
 _SPACED_AT = re.compile(r"(?i)(?<=[a-z0-9])\s+@\s*(?=[a-z0-9-]+\s*\.)|(?<=[a-z0-9])@\s+(?=[a-z0-9-]+\s*\.)")
@@ -146,15 +151,18 @@ def _lookalike_edits(text: str) -> list[tuple[int, int, str]]:
 
 
 def _spelled_edits(text: str) -> list[tuple[int, int, str]]:
-    edits = []
+    addresses = [m.span() for m in _SPELLED_IP.finditer(text)]
+    edits = [(m.start(), m.end(), "".join(SPELLED[x[0].lower()] for x in _SPELLED_ONE.finditer(m[0]))) for a, b in addresses for m in _SPELLED_OCTET.finditer(text, a, b)]
     for m in _SPELLED_RUN.finditer(text):
+        if any(a < m.end() and m.start() < b for a, b in addresses):
+            continue
         run = m[0].rstrip(" -,.()")
         if sum(1 for _ in re.finditer(rf"(?i){_DIGIT_WORD}", run)) >= 3:
             digits = "".join({"plus": "+", "+": "+"}.get(x[0].lower(), SPELLED.get(x[0].lower(), x[0])) for x in _SPELLED_ONE.finditer(run))
             plain = digits.replace("+", "")
             if PHONE_DIGITS <= len(plain) <= MOST_DIGITS:
                 edits.append((m.start(), m.start() + len(run), digits))
-    return edits
+    return sorted(edits)
 
 
 def _disguise_edits(text: str) -> list[tuple[int, int, str]]:
@@ -178,6 +186,10 @@ def _may_look_alike(text: str) -> bool:
     return not text.isascii() and _ODD.search(text) is not None
 
 
+def _may_spell(text: str) -> bool:
+    return bool(_SPELLED_PAIR.search(text) or _SPELLED_IP.search(text))
+
+
 def _may_disguise(text: str) -> bool:
     return bool(_BRACKETED.search(text) or _SPACED_DOT.search(text) or ("@" in text and _SPACED_AT.search(text)))
 
@@ -187,10 +199,10 @@ def find(text: str) -> tuple[dict[str, list[tuple[int, int]]], dict[str, list[tu
     base = detect(text)
     stages: list[Rewritten] = []
     now, numbers = text, []
-    for step, may in ((_lookalike_edits, _may_look_alike), (_spelled_edits, _SPELLED_PAIR.search), (_disguise_edits, _may_disguise)):
+    for step, may in ((_lookalike_edits, _may_look_alike), (_spelled_edits, _may_spell), (_disguise_edits, _may_disguise)):
         if may(now) and (edits := step(now)):
             if step is _spelled_edits:  # spelled out, a phone number needs no plus
-                numbers = [(start, end, len(stages), _digits(new)) for start, end, new in edits]
+                numbers = [(start, end, len(stages), _digits(new)) for start, end, new in edits if len(_digits(new)) >= PHONE_DIGITS]
             stages.append(Rewritten(now, edits))
             now = stages[-1].text
     if not stages:
@@ -211,8 +223,9 @@ def find(text: str) -> tuple[dict[str, list[tuple[int, int]]], dict[str, list[tu
             start += 1
         while end > start and text[end - 1].isspace():
             end -= 1
-        if edited and start < end and not any(start < b and a < end for a, b in spans[kind]) and not any(start < b and a < end for k in KINDS for a, b in base[k]):
-            spans[kind].append((start, end))
+        if edited and start < end and not any(a <= start and end <= b for k in KINDS for a, b in spans[kind] + base[k]):
+            over = [x for x in spans[kind] if start < x[1] and x[0] < end]
+            spans[kind] = [x for x in spans[kind] if x not in over] + [(min([start, *[a for a, _ in over]]), max([end, *[b for _, b in over]]))]
     return base, {kind: sorted(x) for kind, x in spans.items()}
 
 

@@ -62,6 +62,29 @@ def test_disguises_map_back_to_the_source(text, kind, inner):
     assert pii.redacted(text) == text.replace(inner, f"[{kind}]")
 
 
+@pytest.mark.parametrize(
+    "text,kind,inner",
+    [
+        ("write jоhn@example.com now", "email", "jоhn@example.com"),
+        ("write john@example.cоm now", "email", "john@example.cоm"),
+        ("write john(dot)doe@example.com now", "email", "john(dot)doe@example.com"),
+        ("ring five five five 123 4567 now", "phone", "five five five 123 4567"),
+        ("host one nine two dot one six eight dot one dot seven is", "ip", "one nine two dot one six eight dot one dot seven"),
+        ("host 192.one six eight.1.seven is", "ip", "192.one six eight.1.seven"),
+    ],
+)
+def test_disguises_that_leave_part_of_a_base_span_are_whole(text, kind, inner):
+    _, spans = pii.find(text)
+    assert spans == {k: [(text.index(inner), text.index(inner) + len(inner))] if k == kind else [] for k in pii.KINDS}
+    assert pii.redacted(text) == text.replace(inner, f"[{kind}]")
+
+
+def test_sql_of_queries_is_text():
+    from gazelark.llm import catalogue
+
+    assert all(isinstance(x, str) for x in catalogue.oracle_sql().values())
+
+
 @pytest.mark.parametrize("text", ["", "look at the dot on the map", "one two three", "in 1914–1918 and 1939–1945, at one", "Der Überfluß (at) und çela", "see at (dot) here", "a" * 200000, "1" * 200000, "+" * 50000, "@" * 50000])
 def test_clean_texts_stay_clean(text):
     base, spans = pii.find(text)
