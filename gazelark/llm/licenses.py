@@ -1,9 +1,10 @@
 """License scans by conditional compression.
 
 A candidate block is a stretch of lines with a licence's cue words. It is compressed alone and with each template as a raw
-zstandard dictionary; the template that makes it smallest in proportion says best what the block repeats. The best RANKED
+zstandard dictionary; a template that makes it smaller may be what the block repeats, the more the likelier. These
 templates are then held against the block word by word, and the one with fewest differences wins if they are few enough
-and none is a number or a word that tells licences apart. So compression ranks and exact wording decides.
+and none is a number or a word that tells licences apart. So compression ranks and exact wording decides. The winner's stretch is cut
+out and what is left on both sides is judged again, until nothing more is confirmed.
 
 Cases: null and empty texts, and texts without cues, have no blocks; long texts are scanned once and only their candidate blocks
 are compressed; repeated rows are scanned each; an empty table gives an empty result; other columns are ignored.
@@ -17,7 +18,7 @@ from difflib import SequenceMatcher
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-RANKED, MAX_DIFFERENT = 4, 0.15
+MAX_DIFFERENT = 0.15
 
 # The wording of common licence notices and grants.
 TEMPLATES = {
@@ -115,8 +116,20 @@ class Scanner:
             last = i
         return out
 
-    def judge(self, block: str) -> tuple[str, float, int, str] | None:
-        """(licence, size reduction, number of differences, the differences) of the winner, if one is confirmed."""
+    def hits(self, block: str) -> list[tuple[int, int, tuple]]:
+        """(start, end, judge()'s winner) of each licence in the block, in order; one alone has all of the block."""
+        found, todo = [], [(0, len(block))]
+        while todo:
+            a, b = todo.pop()
+            piece = block[a:b]
+            if any(c in piece.lower() for c in CUES) and (hit := self.judge(piece)):
+                c, d = a + hit[4], a + hit[5]
+                found.append((c, d, hit))
+                todo += [(a, c), (d, b)]
+        return sorted(found, key=lambda x: x[:2]) if len(found) != 1 else [(0, len(block), found[0][2])]
+
+    def judge(self, block: str) -> tuple[str, float, int, str, int, int] | None:
+        """(licence, size reduction, number of differences, the differences, start and end of its stretch) of the winner, if one is confirmed."""
         if block not in self.known:
             if len(self.known) > 50_000:
                 self.known.clear()
@@ -127,7 +140,7 @@ class Scanner:
         data = block.encode()
         alone = len(self.plain.compress(data))
         sizes = [len(c.compress(data)) for c in self.with_template]
-        ranked = sorted(range(len(sizes)), key=lambda i: (sizes[i], i))[:RANKED]
+        ranked = sorted(range(len(sizes)), key=lambda i: (sizes[i], i))
         own = _words(block)
         found = []
         for i in ranked:
@@ -139,7 +152,19 @@ class Scanner:
         if not found:
             return None
         n, size, i, missing, extra = min(found)
-        return self.names[i][0], 1 - size / alone, n, " ".join(["-" + w for w in missing] + ["+" + w for w in extra])
+        return self.names[i][0], 1 - size / alone, n, " ".join(["-" + w for w in missing] + ["+" + w for w in extra]), *self._stretch(block, own, self.words[i])
+
+    @staticmethod
+    def _stretch(block: str, own: list[str], template: list[str]) -> tuple[int, int]:
+        """The characters from the first to the last word that block and template share, with signs that follow."""
+        same = [m for m in SequenceMatcher(None, template, own, autojunk=False).get_matching_blocks() if m.size]
+        at = [m.span() for m in _WORD.finditer(block)]
+        if len(at) != len(own):  # a letter whose small form has more characters
+            return 0, len(block)
+        end = at[same[-1].b + same[-1].size - 1][1]
+        while end < len(block) and not block[end].isalnum() and not block[end].isspace():
+            end += 1
+        return at[same[0].b][0], end
 
     @staticmethod
     def _differences(own: list[str], template: list[str]) -> tuple[list[str], list[str]]:
@@ -166,7 +191,7 @@ def _scan(templates):
             columns: list[list] = [[] for _ in names]
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 blocks = scanner.blocks(text) if text else []
-                hits = [(a, b, hit) for a, b in blocks if (hit := scanner.judge(text[a:b]))]
+                hits = [(a + c, a + d, hit) for a, b in blocks for c, d, hit in scanner.hits(text[a:b])]
                 row = (key, len(blocks), len(hits), ",".join(sorted({h[0] for _, _, h in hits})), ",".join(f"{h[0]}:{a}:{b}" for a, b, h in hits), sum(h[2] for _, _, h in hits), "; ".join(h[3] for _, _, h in hits if h[3]), max((h[1] for _, _, h in hits), default=0.0))
                 for c, v in zip(columns, row, strict=True):
                     c.append(v)

@@ -22,6 +22,16 @@ def test_small_changes_and_wrong_versions():
     assert S.judge("The licence to drive a car was renewed with permission.") is None
 
 
+def test_every_licence_of_a_block_is_found(spark):
+    parts = [TEMPLATES[x][0] for x in ("MIT", "Apache-2.0", "GPL-3.0", "BSD-2-Clause", "ISC", "CC-BY-4.0", "Unlicense")]
+    for n in (2, 7):
+        for sep in (" ", "\n"):
+            text = sep.join(parts[:n])
+            (row,) = scan_licenses(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+            want = [f"{x}:{text.index(p)}:{text.index(p) + len(p)}" for x, p in zip(("MIT", "Apache-2.0", "GPL-3.0", "BSD-2-Clause", "ISC", "CC-BY-4.0", "Unlicense"), parts[:n], strict=False)]
+            assert (row["n_blocks"], row["n_licenses"], row["n_differences"]) == (1, n, 0) and row["spans"].split(",") == want
+
+
 def test_documents(spark):
     rows = [(1, None, 0), (2, "", 0), (3, "İ no cue here", 0), (4, "abc def. Released under the MIT License. More text\nLicensed under CC BY-NC 4.0.", 0), (4, "abc", 0)]
     got = sorted(tuple(r)[:5] for r in scan_licenses(spark.createDataFrame(rows, "doc_id long, text string, spans int")).collect())
