@@ -7,8 +7,9 @@ symbols, among its count and those), and the next shorter context then predicts
 the shortest, the symbols left are equally likely. So a text's score is the logarithm of a proper probability.
 
 Scale: words are counted in one pass and the model is scored once for each different word. Only two things are broadcast, both
-bounded: the MOST_GRAMS most frequent context-symbol strings, and the MOST_WORDS most frequent words with their scores.
-All other words of a document are looked up by a join.
+bounded: the trie where it has at most MOST_GRAMS context-symbol strings, and the MOST_WORDS most frequent words with their scores.
+A larger trie stays a table, and the strings that end at each symbol are scored by joins with it, to the same scores; all other
+words of a document are looked up by a join.
 
 Cases: a null or empty text is just its end symbol; with no training documents every count is 0 and the model is even over its
 symbols; a null key counts as a training document, as its checksum is null; repeated rows are scored each; an empty table gives
@@ -19,7 +20,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._shared import _LOWER, by_count, dropped, fold, slices, string_bytes, word_hashes, words, written
@@ -195,6 +196,48 @@ def _scored(model):
     return run
 
 
+def _ending(order):
+    """Words to the longest context-symbol string at each of their symbols."""
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                out, owner, place = _symbols(batch.column(1))
+                longest = _gram_keys(out, place, order)[np.minimum(place, order), np.arange(len(out))]
+                use = place > 0
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner[use])), pa.array(longest[use].view(np.int64))], names=["hash", "top"])
+
+    return run
+
+
+def _joined(vocabulary: DataFrame, grams: DataFrame, order: int) -> DataFrame:
+    """(hash, n, ppm) as of Trie.scores, by joins with the table of all strings."""
+    size = lambda c: F.shiftrightunsigned(c, 56)
+    headed = lambda body, n: f"({body}) | shiftleft({n}, 56)"
+    # a context has its string's length on top, so that it has one byte fewer than that says
+    context = lambda c: F.expr(headed(f"shiftright({c} & {(1 << 56) - 1}, 8)", f"shiftrightunsigned({c}, 56)"))
+    low = lambda c, n: F.expr(headed(f"{c} & (shiftleft(1L, cast(8 * ({n}) as int)) - 1)", "shiftrightunsigned(" + c + ", 56) - 1L"))
+    own = grams.select("gram", "n", context("gram").alias("context"))
+    sums = own.groupBy("context").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
+    lower = own.where(size("gram") > 1).select("context", low("gram", "shiftrightunsigned(gram, 56) - 1").alias("gram")).join(grams, "gram")
+    gone = lower.groupBy("context").agg(F.sum("n").alias("gone"))
+    up = sums.select(F.col("context").alias("parent"), F.col("total").alias("up_total"), F.col("kinds").alias("up_kinds"))
+    below = sums.where(size("context") > 1).join(gone, "context").withColumn("parent", low("context", "shiftrightunsigned(context, 56) - 2")).join(up, "parent")
+    left = below.select("context", (F.col("up_total") - F.col("gone")).alias("left_total"), (F.col("up_kinds") - F.col("kinds")).alias("left_kinds"))
+    contexts = written(sums.join(left, "context", "left"))
+    root = contexts.where(F.col("context") == 1 << 56).first()
+    ending = written(vocabulary.select("hash", "word").mapInArrow(_ending(order), "hash long, top long"))
+    levels = ending.select("top").distinct().withColumn("k", F.explode(F.sequence(F.lit(1).cast("long"), size("top"))))
+    levels = levels.withColumn("gram", F.expr(headed("top & (CASE WHEN k < 7 THEN shiftleft(1L, cast(8 * k as int)) - 1 ELSE 72057594037927935L END)", "k"))).withColumn("context", context("gram"))
+    met = levels.join(contexts, "context", "left").join(grams, "gram", "left")
+    after, whole = Window.partitionBy("top").orderBy(F.desc("k")), Window.partitionBy("top")
+    # after an escape, what the longer context leaves
+    met = met.select("top", "k", "n", F.coalesce(F.lag("left_total").over(after), "total").alias("total"), F.coalesce(F.lag("left_kinds").over(after), "kinds").alias("kinds"), F.max(F.when(F.col("n").isNotNull(), F.col("k"))).over(whole).alias("hit"))
+    share = F.when(F.col("kinds") > 0, F.log10(F.when(F.col("k") == F.col("hit"), F.col("n")).otherwise(F.col("kinds")) / (F.col("total") + F.col("kinds")))).otherwise(0.0)
+    logs = met.groupBy("top").agg((F.sum(F.when(F.col("hit").isNull() | (F.col("k") >= F.col("hit")), share)) - F.when(F.max("hit").isNull(), float(np.log10(max(SYMBOLS - root["kinds"], 1)))).otherwise(0.0)).alias("log"))
+    return ending.join(logs, "top").groupBy("hash").agg(F.sum("log").alias("ppm")).join(vocabulary.select("hash", "n"), "hash").select("hash", "n", "ppm")
+
+
 def _summed(head):
     """Documents to their words' count, the sums over frequent words, and the other words with their counts."""
     names = ["doc_id", "held_out", "n_tokens", "known", "base", "score", "rare", "times"]
@@ -237,9 +280,12 @@ def ppm_scores(docs: DataFrame, held_out, text: str = "text", key: str = "doc_id
     facts = known.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.count("*").alias("kinds")).first()
     tokens, kinds = facts["tokens"], facts["kinds"]
     grams = written(known.select("word", "n").mapInArrow(_grams(order), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")))
-    table = grams.where(F.col("n") >= by_count(grams, "n", most_grams)).toArrow()
-    model = context.broadcast(Trie(table.column("gram").to_numpy().view(np.uint64), table.column("n").to_numpy(), order))
-    scored = written(vocabulary.mapInArrow(_scored(model), "hash long, n long, ppm double"))
+    if grams.count() > most_grams:
+        scored = written(_joined(vocabulary, grams, order))
+    else:
+        table = grams.toArrow()
+        model = context.broadcast(Trie(table.column("gram").to_numpy().view(np.uint64), table.column("n").to_numpy(), order))
+        scored = written(vocabulary.mapInArrow(_scored(model), "hash long, n long, ppm double"))
     floor = tokens + 0.1 * (kinds + 1)
     base = F.log10((F.col("n") + F.lit(0.1)) / F.lit(floor))
     least = by_count(scored.where("n > 0"), "n", most_words) if kinds else 1
