@@ -4,20 +4,22 @@ A byte goes if a string of `length` bytes covers it that starts anywhere else to
 find those strings: the least hashed `gram`-byte string in each window of `length` bytes is its anchor, so equal windows have
 equal anchors, about one for 180 bytes. Windows with one anchor form a run of starts, told by offsets before the anchor.
 
-1. All runs are counted by their anchor's gram and by the whole stretch that their windows cover (the hull), both as prefix
-   polynomial hashes. A gram that occurs once settles a run as unique, a hull that occurs twice settles it as repeated.
+1. All runs are counted by their anchor's gram and by a 128-bit BLAKE2b digest of the whole stretch that their windows
+   cover (the hull). A gram that occurs once settles a run as unique, a hull that occurs twice settles it as repeated.
 2. Of what is left, one row for each hull goes with its stretch of text to the task of its gram. There runs are halved: the
-   bytes that all windows of a half share (its core) and its hull are hashed and counted again, until a half is settled
-   or STEP windows wide.
+   bytes that all windows of a half share (its core) and its hull are hashed as prefix polynomials and counted again, and halves with
+   equal hulls are compared byte by byte, until a half is settled or STEP windows wide.
 3. The suffixes that start in those last windows are sorted. A comparison finds the common extension of two suffixes by
-   binary search over prefix hashes and then compares one byte. Neighbours with a common extension of `length` bytes
-   or more are repeats; their bytes are compared to rule out a collision.
+   binary search over prefix hashes, compares the bytes up to there to rule out a collision, and then one byte more. Neighbours
+   with a common extension of `length` bytes or more are repeats.
 
-A gram with more than HOT different stretches is dealt out by the cores of small parts of its runs instead, which are
-nearly whole windows, so that a passage that a third of all documents hold doesn't meet in one task.
+A polynomial's collision can only send a stretch further down these steps: nothing is removed but by a digest or by bytes.
+A gram with more than HOT different stretches isn't sent to one task: each of its windows is counted by its own digest, with
+partial sums, so that a passage that a third of all documents hold in different surroundings needs no room anywhere.
 
-Cases: null and empty texts have no bytes; texts shorter than `length` lose nothing; repeated rows are documents of
-their own and so repeat each other; an empty table gives an empty result; other columns are ignored.
+Cases: null and empty texts have no bytes; texts shorter than `length` lose nothing; a very long text is cut into overlapping
+chunks of CHUNK windows; repeated rows are documents of their own and so repeat each other; rows with equal or null keys are told apart by their
+text; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,13 +32,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import dropped, mixed, powers, slices, string_bytes, written
+from ._shared import dropped, mixed, slices, string_bytes, written
 
 LENGTH, GRAM = 400, 32
-#: Windows in a part that is sorted; different stretches above which a gram is dealt out; parts it is dealt out to.
-STEP, HOT, PARTS = 4, 4096, 32
+#: Windows in a part that is sorted; different stretches above which a gram's windows are counted one by one; bytes that a task hashes at once.
+STEP, HOT, CHUNK = 4, 4096, 1 << 19
 _PLACE = np.uint64((1 << 30) - 1)
 
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+_power_cache: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """_BASE**i and _BASE**-i modulo 2**64 for i < n."""
+    size = 1 << max(10, int(n).bit_length())
+    if size not in _power_cache:
+        _power_cache.clear()
+        up, down = np.full(size, _BASE), np.full(size, _INVERSE)
+        up[0] = down[0] = 1
+        _power_cache[size] = np.multiply.accumulate(up), np.multiply.accumulate(down)
+    return _power_cache[size]
+
 
 def prefix_hashes(raw: np.ndarray) -> np.ndarray:
     """sums, with which span() hashes any stretch."""
@@ -62,75 +79,113 @@ def _least(v: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchors(raw: np.ndarray, starts: np.ndarray, length: int, gram: int):
-    """(row, place, first window, last window, gram hash, hull hash) of each run; windows lie within rows."""
+    """(row, place, first window, last window, gram hash) of each run; windows lie within rows."""
     none = np.zeros(0, np.int64)
     if len(raw) < length:
-        return none, none, none, none, none.astype(np.uint64), none.astype(np.uint64)
+        return none, none, none, none, none.astype(np.uint64)
     sums = prefix_hashes(raw)
     at = np.arange(len(raw) - gram + 1)
     grams = span(sums, at, at + gram)
+    del sums
     # the rightmost of equal grams, so that the choice depends on the window alone
     least = _least((grams & ~_PLACE) | (_PLACE - (at.astype(np.uint64) & _PLACE)), length - gram + 1)
     place = (_PLACE - (least & _PLACE)).astype(np.int64)
     row = np.searchsorted(starts, np.arange(len(place)), side="right") - 1
-    fits = np.arange(len(place)) + length <= starts[row + 1]
-    window = np.flatnonzero(fits)
+    window = np.flatnonzero(np.arange(len(place)) + length <= starts[row + 1])
     if not len(window):
-        return none, none, none, none, none.astype(np.uint64), none.astype(np.uint64)
+        return none, none, none, none, none.astype(np.uint64)
     place, row = place[window], row[window]
     new = np.ones(len(window), bool)
     new[1:] = (place[1:] != place[:-1]) | (row[1:] != row[:-1])
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(window)) - 1
-    low, high, p, r = window[first], window[last], place[first], row[first]
-    hull = mixed(span(sums, low, high + length) ^ ((p - low) * 1024 + (p - high)).astype(np.uint64))
-    return r, p, low, high, grams[p], hull
+    p = place[first]
+    return row[first], p, window[first], window[last], grams[p]
+
+
+def _digests(data: bytes | memoryview, begin: list[int], end: list[int]) -> np.ndarray:
+    """128-bit digests of stretches, as pairs of 64-bit numbers."""
+    parts = [hashlib.blake2b(data[a:b], digest_size=16).digest() for a, b in zip(begin, end, strict=True)]
+    return np.frombuffer(b"".join(parts), np.int64).reshape(-1, 2)
+
+
+def _chunks(batches, text: int, length: int):
+    """(batch, bytes, row starts, bytes before them): pieces of rows, and of rows longer than CHUNK."""
+    for piece in slices(batches, text, CHUNK):
+        raw, starts = string_bytes(piece.column(text))
+        if len(raw) <= 2 * CHUNK:
+            yield piece, raw, starts, 0
+        else:  # a single row
+            for at in range(0, max(len(raw) - length + 1, 1), CHUNK):
+                part = raw[at : at + CHUNK + length - 1]
+                yield piece, part, np.array([0, len(part)]), at
 
 
 def _runs(length: int, gram: int):
+    """(key_a, key_b, text) to a row for each run; `at` has its anchor's place and the offsets of its windows before that."""
+
     def run(batches):
-        for piece in slices(batches, 1):
-            raw, starts = string_bytes(piece.column(1))
-            r, p, low, high, g, hull = anchors(raw, starts, length, gram)
+        for piece, raw, starts, before in _chunks(batches, 2, length):
+            r, p, low, high, g = anchors(raw, starts, length, gram)
             if len(r):
-                keys = piece.column(0).to_numpy(zero_copy_only=False)[r]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys), pa.array(p - starts[r]), pa.array((p - high).astype(np.int32)), pa.array((p - low).astype(np.int32)), pa.array(g.view(np.int64)), pa.array(hull.view(np.int64))],
-                    names=["row_key", "place", "near", "far", "gram", "hull"],
-                )
+                hull = _digests(raw.tobytes(), low.tolist(), (high + length).tolist())
+                at = (p - starts[r] + before) << 32 | (p - high) << 16 | (p - low)
+                keys = [piece.column(i).to_numpy(zero_copy_only=False)[r] for i in (0, 1)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*keys, at, g.view(np.int64), hull[:, 0], hull[:, 1])], names=["key_a", "key_b", "at", "gram", "hull_a", "hull_b"])
 
     return run
 
 
-def _stretches(length: int, gram: int, hot: int):
-    """Rows (row_key, text, runs) to one row for each run, or for each part of a hot one: what its windows cover, and what groups it."""
-    names = ["row_key", "place", "near", "far", "copies", "group", "stretch"]
+def _needed(batches, most: int):
+    """Rows (key_a, key_b, text, runs) in batches of the needed stretches, each at most so many runs: lists by column."""
+    for batch in batches:
+        columns: list[list] = [[] for _ in range(6)]
+        for key_a, key_b, text, runs in zip(*[batch.column(i).to_pylist() for i in range(4)], strict=True):
+            data = text.encode() if isinstance(text, str) else text
+            for one in runs:
+                at = one["at"]
+                for c, v in zip(columns, (key_a, key_b, data, at, one["copies"], one["gram"]), strict=True):
+                    c.append(v)
+                if len(columns[0]) >= most:
+                    yield columns
+                    columns = [[] for _ in range(6)]
+        if columns[0]:
+            yield columns
+
+
+def _unpacked(at: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place, near, far)"""
+    x = np.array(at, np.int64)
+    return x >> 32, x >> 16 & 0xFFFF, x & 0xFFFF
+
+
+def _stretches(length: int):
+    """Rows (key_a, key_b, text, runs) to one row for each run: what its windows cover."""
 
     def run(batches):
-        for batch in batches:
-            columns = [[] for _ in names]
-            for key, text, runs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                data = text.encode() if isinstance(text, str) else text
-                for one in runs:
-                    p, near, far = one["place"], one["near"], one["far"]
-                    stretch = data[p - far : p - near + length]
-                    if one["contexts"] <= hot:
-                        parts = [(near, far, one["gram"])]
-                    else:
-                        raw = np.frombuffer(stretch, np.uint8)
-                        sums, width = prefix_hashes(raw), -(-(length - gram + 1) // PARTS)
-                        parts = []
-                        for lo in range(0, length - gram + 1, width):
-                            hi = lo + width - 1
-                            a, b = max(lo, near), min(hi, far)
-                            if a <= b:
-                                # what all windows of the part share
-                                core = span(sums, np.array([far - lo]), np.array([max(far + gram, far - hi + length)]))[0] ^ np.uint64(lo)
-                                parts.append((a, b, int(core.astype(np.int64))))
-                    for a, b, group in parts:
-                        for c, v in zip(columns, (key, p, a, b, one["copies"], group, stretch[far - b : far - a + length]), strict=True):
-                            c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=names)
+        for a, b, data, at, copies, group in _needed(batches, 2048):
+            place, near, far = _unpacked(at)
+            begin, end = (place - far).tolist(), (place - near + length).tolist()
+            stretch = [d[x:y] for d, x, y in zip(data, begin, end, strict=True)]
+            yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in (a, b, at, copies, group)], pa.array(stretch, pa.binary())], names=["key_a", "key_b", "at", "copies", "group", "stretch"])
+
+    return run
+
+
+def _windows(length: int):
+    """Rows (key_a, key_b, text, runs) to one row for each window of each run, by its own digest."""
+
+    def run(batches):
+        for a, b, data, at, copies, _ in _needed(batches, 128):
+            columns: list[list] = [[] for _ in range(4)]
+            digests = []
+            for i, (place, near, far) in enumerate(zip(*[x.tolist() for x in _unpacked(at)], strict=True)):
+                begin = range(place - far, place - near + 1)
+                digests.append(_digests(data[i], list(begin), [x + length for x in begin]))
+                for c, v in zip(columns, ([a[i]] * len(begin), [b[i]] * len(begin), begin, [copies[i]] * len(begin)), strict=True):
+                    c += v
+            both = np.concatenate(digests)
+            yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in columns], pa.array(both[:, 0]), pa.array(both[:, 1])], names=["key_a", "key_b", "start", "copies", "window_a", "window_b"])
 
     return run
 
@@ -152,9 +207,17 @@ def repeated_windows(groups: np.ndarray, raw: np.ndarray, at: np.ndarray, near:
 
     Stretch i has its anchor at raw[at[i]] and windows that start far[i] to near[i] bytes before it.
     """
-    sums = prefix_hashes(raw)
+    sums, data = prefix_hashes(raw), raw.tobytes()
+    found = _halved(groups, sums, data, at, near, far, copies, length, gram, True)
+    if found is None:  # equal hashes of different bytes: no half is settled by them, and the sort decides on all
+        found = _halved(groups, sums, data, at, near, far, copies, length, gram, False)
+    return found
+
+
+def _halved(groups, sums, data, at, near, far, copies, length, gram, settle):
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    item, lo, hi = np.arange(len(at)), np.zeros(len(at), np.int64), np.full(len(at), 511)
+    top = 1 << (length - gram + 1).bit_length()
+    item, lo, hi = np.arange(len(at)), np.zeros(len(at), np.int64), np.full(len(at), top - 1)
     group = groups.astype(np.uint64)
 
     def twice(key: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -171,13 +234,17 @@ def repeated_windows(groups: np.ndarray, raw: np.ndarray, at: np.ndarray, near:
         core = mixed(span(sums, core_a, core_b) ^ group)
         weight = copies[item].astype(float)
         hull = mixed(span(sums, start, end) ^ mixed(group + (a * 1024 + b).astype(np.uint64)))
-        settled = twice(hull, weight)
+        settled = twice(hull, weight) & settle
         unique = ~twice(core, weight)
+        _, one, same = np.unique(hull, return_index=True, return_inverse=True)
+        for i in np.flatnonzero(settled):
+            j = one[same[i]]
+            if data[start[i] : end[i]] != data[start[j] : end[j]]:
+                return None
         done = settled & ~unique
         if done.any():
             found.append((item[done], a[done], b[done]))
         # a settled part stays as a partner of others, one for each hull
-        _, one = np.unique(hull, return_index=True)
         keep = np.zeros(len(item), bool)
         keep[one] = True
         open_ = ~settled & ~unique
@@ -192,18 +259,19 @@ def repeated_windows(groups: np.ndarray, raw: np.ndarray, at: np.ndarray, near:
         some = np.maximum(lo, near[item]) <= np.minimum(hi, far[item])
         item, lo, hi, group = item[some], lo[some], hi[some], group[some]
     if len(item):
-        found.append(_sorted_repeats(sums, raw, group, item, lo, hi, at, near, far, copies, length))
+        found.append(_sorted_repeats(sums, data, group, item, lo, hi, at, near, far, copies, length))
     if not found:
         none = np.zeros(0, np.int64)
         return none, none, none
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-def _sorted_repeats(sums, raw, group, item, lo, hi, at, near, far, copies, length):
+def _sorted_repeats(sums, data, group, item, lo, hi, at, near, far, copies, length):
     """The last step: the suffixes that start in the remaining windows, sorted within (group, offset)."""
     offsets = [lo + k for k in range(int((hi - lo).max()) + 1)]
-    which = np.concatenate([np.flatnonzero((o <= hi) & (o >= near[item]) & (o <= far[item])) for o in offsets])
-    offset = np.concatenate([o[(o <= hi) & (o >= near[item]) & (o <= far[item])] for o in offsets])
+    fits = [(o <= hi) & (o >= near[item]) & (o <= far[item]) for o in offsets]
+    which = np.concatenate([np.flatnonzero(f) for f in fits])
+    offset = np.concatenate([o[f] for o, f in zip(offsets, fits, strict=True)])
     key, owner = group[which], item[which]
     suffix = at[owner] - offset
     order = np.lexsort((offset, key))
@@ -218,7 +286,7 @@ def _sorted_repeats(sums, raw, group, item, lo, hi, at, near, far, copies, lengt
         """Mark the suffix pairs with a common extension of the whole length, whose bytes are equal."""
         same = common_extension(sums, suffix[x], suffix[y], np.full(len(x), length)) >= length
         for i, j in zip(x[same], y[same], strict=True):
-            if np.array_equal(raw[suffix[i] : suffix[i] + length], raw[suffix[j] : suffix[j] + length]):
+            if data[suffix[i] : suffix[i] + length] == data[suffix[j] : suffix[j] + length]:
                 hit[i] = hit[j] = True
 
     pairs = bounds[:-1][sizes == 2]
@@ -228,7 +296,10 @@ def _sorted_repeats(sums, raw, group, item, lo, hi, at, near, far, copies, lengt
 
         def compare(i: int, j: int) -> int:
             n = int(common_extension(sums, suffix[i : i + 1], suffix[j : j + 1], np.array([length]))[0])
-            return 0 if n >= length else int(raw[suffix[i] + n]) - int(raw[suffix[j] + n])
+            x, y = data[suffix[i] : suffix[i] + length], data[suffix[j] : suffix[j] + length]
+            if x[:n] != y[:n]:  # a collision
+                return -1 if x < y else 1
+            return 0 if n >= length else x[n] - y[n]
 
         ranked = np.array(sorted(range(first, first + size), key=cmp_to_key(compare)))
         check(ranked[:-1], ranked[1:])
@@ -236,8 +307,8 @@ def _sorted_repeats(sums, raw, group, item, lo, hi, at, near, far, copies, lengt
 
 
 def _settled(length: int, gram: int):
-    """Stretches sorted by group to the repeated windows of each; a group may go over several batches."""
-    names = ["row_key", "start", "end"]
+    """Stretches sorted by group to the repeated windows of each; a group may go over several batches, and has HOT rows at most."""
+    names = ["key_a", "key_b", "start", "end"]
 
     def solve(table: pa.Table):
         column = table.column("stretch").combine_chunks()
@@ -245,14 +316,13 @@ def _settled(length: int, gram: int):
             column = column.chunk(0)
         raw, starts = string_bytes(column)
         value = lambda name: table.column(name).to_numpy()
-        far = value("far").astype(np.int64)
-        near, place, key = value("near").astype(np.int64), value("place"), value("row_key")
+        place, near, far = _unpacked(value("at"))
         item, a, b = repeated_windows(value("group").view(np.uint64), raw, starts[:-1] + far, near, far, value("copies"), length, gram)
-        return pa.RecordBatch.from_arrays([pa.array(key[item]), pa.array(place[item] - b), pa.array(place[item] - a + length)], names=names)
+        return pa.RecordBatch.from_arrays([pa.array(value("key_a")[item]), pa.array(value("key_b")[item]), pa.array(place[item] - b), pa.array(place[item] - a + length)], names=names)
 
     def run(batches):
         held: list[pa.RecordBatch] = []
-        size, limit = 0, 1 << 22
+        size, limit = 0, CHUNK
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -267,7 +337,7 @@ def _settled(length: int, gram: int):
                 yield solve(table.slice(0, start))
             held = table.slice(start).combine_chunks().to_batches()
             size = sum(x.nbytes for x in held)
-            limit = max(1 << 22, 2 * size)
+            limit = max(CHUNK, 2 * size)
         if held:
             yield solve(pa.Table.from_batches(held))
 
@@ -297,31 +367,53 @@ def _kept(with_bytes: bool):
     return run
 
 
+_SPANS = "key_a long, key_b long, start long, end long"
+
+
+def _keyed(key: str, text: str):
+    """A row's identity: 128 bits of its key and text."""
+    return F.xxhash64(F.col(key), F.col(text)).alias("key_a"), F.xxhash64(F.lit(5), F.col(text), F.col(key)).alias("key_b")
+
+
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
-    """(row_key, spans): for each (row_key, text) with repeats, the covered stretches, which may overlap."""
-    runs = written(docs.mapInArrow(_runs(length, gram), "row_key long, place long, near int, far int, gram long, hull long"))
+    """(key_a, key_b, spans): for each (key_a, key_b, text) with repeats, the covered stretches, which may overlap."""
+    if length >= 1 << 16:
+        raise ValueError("length must be below 65536")
+    keys, hull = ["key_a", "key_b"], ["hull_a", "hull_b"]
+    runs = written(docs.mapInArrow(_runs(length, gram), "key_a long, key_b long, at long, gram long, hull_a long, hull_b long"))
     often = runs.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
     maybe = written(runs.join(often, "gram", "left_semi"))
     dropped(runs)
-    hulls = written(maybe.groupBy("hull", "gram").agg(F.count("*").alias("copies"), F.min(F.struct("row_key", "place", "near", "far")).alias("one")))
+    # any of a hull's runs stands for it
+    hulls = written(maybe.groupBy(*hull, "gram").agg(F.count("*").alias("copies"), *[F.first(c).alias(c) for c in (*keys, "at")]))
     open_grams = hulls.groupBy("gram").agg(F.count("*").alias("contexts"), F.min("copies").alias("least")).where("least = 1 AND contexts > 1").select("gram", "contexts")
-    need = hulls.join(open_grams, "gram").select("gram", "contexts", "copies", "one.*")
-    settled = maybe.join(hulls.where("copies > 1").select("hull", "gram"), ["hull", "gram"], "left_semi").select("row_key", (F.col("place") - F.col("far")).alias("start"), (F.col("place") - F.col("near") + length).alias("end"))
-    need = need.groupBy("row_key").agg(F.collect_list(F.struct("place", "near", "far", "copies", "gram", "contexts")).alias("runs"))
-    stretches = docs.join(need, "row_key").select("row_key", "text", "runs").mapInArrow(_stretches(length, gram, hot), "row_key long, place long, near int, far int, copies long, group long, stretch binary")
-    spark = docs.sparkSession
-    dealt = stretches.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "group").sortWithinPartitions("group")
-    rest = dealt.mapInArrow(_settled(length, gram), "row_key long, start long, end long")
-    spans = written(settled.unionByName(rest).groupBy("row_key").agg(F.collect_set(F.struct("start", "end")).alias("spans")))
-    dropped(maybe, hulls)
+    need = written(hulls.join(open_grams, "gram").select("gram", "contexts", "copies", *keys, "at"))
+    settled = maybe.join(hulls.where("copies > 1").select(*hull), hull, "left_semi")
+    place, near, far = F.shiftright("at", 32), F.shiftright("at", 16).bitwiseAND(F.lit(0xFFFF)), F.col("at").bitwiseAND(F.lit(0xFFFF))
+    settled = settled.select(*keys, (place - far).alias("start"), (place - near + length).alias("end"))
+
+    def texts_of(some: DataFrame) -> DataFrame:
+        runs = some.groupBy(*keys).agg(F.collect_list(F.struct("at", "copies", "gram")).alias("runs"))
+        return docs.join(runs, keys).select(*keys, "text", "runs")
+
+    stretches = texts_of(need.where(F.col("contexts") <= hot)).mapInArrow(_stretches(length), "key_a long, key_b long, at long, copies long, group long, stretch binary")
+    dealt = stretches.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "group").sortWithinPartitions("group")
+    rest = dealt.mapInArrow(_settled(length, gram), _SPANS)
+    crowded = need.where(F.col("contexts") > hot)
+    if not crowded.isEmpty():
+        windows = written(texts_of(crowded).mapInArrow(_windows(length), "key_a long, key_b long, start long, copies long, window_a long, window_b long"))
+        again = windows.groupBy("window_a", "window_b").agg(F.sum("copies").alias("n")).where("n > 1")
+        rest = rest.unionByName(windows.join(again, ["window_a", "window_b"], "left_semi").select(*keys, "start", (F.col("start") + length).alias("end")))
+    spans = written(settled.unionByName(rest).groupBy(*keys).agg(F.collect_set(F.struct("start", "end")).alias("spans")))
+    dropped(maybe, hulls, need)
     return spans
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", length: int = LENGTH, gram: int = GRAM, hot: int = HOT, with_bytes: bool = True) -> DataFrame:
     """(key, n_bytes, n_removed, n_spans, kept_sha256, kept): kept are the bytes left of each text, given if with_bytes."""
-    keyed = docs.select(F.xxhash64(F.col(key), F.col(text)).alias("row_key"), F.col(key).alias("doc_id"), F.col(text).alias("text"))
-    spans = repeated_spans(keyed.select("row_key", "text"), length, gram, hot)
-    out = keyed.join(spans, "row_key", "left").select(F.col("doc_id").cast("long"), "text", "spans")
+    keyed = docs.select(*_keyed(key, text), F.col(key).alias("doc_id"), F.col(text).alias("text"))
+    spans = repeated_spans(keyed.select("key_a", "key_b", "text"), length, gram, hot)
+    out = keyed.join(spans, ["key_a", "key_b"], "left").select(F.col("doc_id").cast("long"), "text", "spans")
     return out.mapInArrow(_kept(with_bytes), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_bytes).withColumnRenamed("doc_id", key)
 
 
