@@ -1,103 +1,106 @@
 """Language-model scores by prediction by partial matching (PPM) over a byte-context trie.
 
-The model sees a text as lower-cased words, each ended by a space, and one end symbol. A byte's contexts are the bytes before it
-within its word and the space before that, up to `order` of them. Counts come from all training documents. The longest
-context predicts; a byte that it hasn't seen costs an escape (method C: as likely as the context has different
+The model sees a whole text as a start symbol, its bytes with A-Z lowered, and an end symbol. A symbol's contexts are the up to
+`order` symbols before it, whatever words they belong to. Counts come from all training documents. The longest
+context predicts; a symbol that it hasn't seen costs an escape (method C: as likely as the context has different
 symbols, among its count and those), and the next shorter context then predicts among the symbols not yet excluded. Below
 the shortest, the symbols left are equally likely. So a text's score is the logarithm of a proper probability.
 
-Scale: words are counted in one pass and the model is scored once for each different word. Only two things are broadcast, both
-bounded: the trie where it has at most MOST_GRAMS context-symbol strings, and the MOST_WORDS most frequent words with their scores.
-A larger trie stays a table, and the strings that end at each symbol are scored by joins with it, to the same scores; all other
-words of a document are looked up by a join.
+Scale: what decides on a symbol is the string of its longest context and itself, its top. Tops are counted in one pass, shorter strings are
+sums over them, and the model is scored once for each different top. Broadcast are, each with a bound: the trie where it has at
+most MOST_GRAMS context-symbol strings (50 MB), the MOST_TOPS most frequent tops with their scores (34 MB) and the MOST_WORDS most frequent
+words with their counts (10 MB). A larger trie stays a table and tops are scored by joins with it, to the same scores; a document's other tops
+and words are looked up by joins.
 
 Cases: a null or empty text is just its end symbol; with no training documents every count is 0 and the model is even over its
-symbols; a null key counts as a training document, as its checksum is null; repeated rows are scored each; an empty table gives
-an empty result; other columns are ignored.
+symbols; a null key counts as a training document, as its checksum is null; repeated rows are scored each; very long texts
+are scored by pieces of rows, one text at a time; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import _LOWER, by_count, dropped, fold, slices, string_bytes, word_hashes, words, written
+from ._shared import _LOWER, Table, by_count, dropped, fold, slices, small_batches, string_bytes, word_bytes, word_hashes, word_kinds, words, written
 
 ORDER, SYMBOLS = 5, 256
-MOST_WORDS, MOST_GRAMS = 1 << 18, 1 << 21
-#: The end symbol stands alone as a word; its byte can't be in one.
+MOST_WORDS, MOST_TOPS, MOST_GRAMS = 1 << 18, 1 << 20, 1 << 21
+#: Bytes that no UTF-8 text has.
+START, STOP = 0xFE, 0xFF
+#: The end stands among the words as what can't be one.
 END = b"\n"
-END_HASH = 1
 
 
-def _unique_words(piece_text: pa.Array):
-    """(row of each word, index of each word's kind, the kinds' hashes, a word's bytes for each kind)."""
-    raw, starts = string_bytes(piece_text)
-    begin, end, row = words(raw, starts)
-    h = word_hashes(raw, begin, end)
-    kinds, first, back = np.unique(h, return_index=True, return_inverse=True)
-    low = _LOWER[raw]
-    size = end[first] - begin[first]
+def _symbols(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """START, bytes and STOP of each row, flat; each symbol's row; its place in the row."""
+    size = np.diff(starts) + 2
     ends = np.concatenate([[0], np.cumsum(size)])
-    pick = np.repeat(begin[first] - ends[:-1], size) + np.arange(ends[-1])
-    return row, back, kinds, low[pick], ends
-
-
-def _counted(batches):
-    """(key, text, training) to (hash, word, count in training documents), for the words of a piece or so."""
-    names = ["hash", "word", "n"]
-    for piece in slices(batches, 0, 1 << 23):
-        row, back, kinds, raw, ends = _unique_words(piece.column(0))
-        train = piece.column(1).to_numpy(zero_copy_only=False).astype(float)
-        n = np.bincount(back, weights=train[row], minlength=len(kinds)).astype(np.int64)
-        text = pa.BinaryArray.from_buffers(pa.binary(), len(kinds), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(raw)])
-        yield pa.RecordBatch.from_arrays([pa.array(kinds.view(np.int64)), text, pa.array(n)], names=names)
-        yield pa.RecordBatch.from_arrays([pa.array([END_HASH], pa.int64()), pa.array([END], pa.binary()), pa.array([int(train.sum())], pa.int64())], names=names)
-
-
-def _symbols(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Space, word, space for each word (space and END for the end), flat; each symbol's word; its place in it."""
-    raw, starts = string_bytes(column)
-    size = np.diff(starts)
-    closed = (~((size == 1) & (raw[np.minimum(starts[:-1], max(len(raw) - 1, 0))] == END[0]))).astype(np.int64) if len(raw) else np.ones(len(size), np.int64)
-    total = size + 1 + closed
-    ends = np.concatenate([[0], np.cumsum(total)])
-    out = np.full(ends[-1], 0x20, np.uint8)
-    owner = np.repeat(np.arange(len(size)), total)
+    owner = np.repeat(np.arange(len(size)), size)
     place = np.arange(ends[-1]) - ends[owner]
-    inside = (place > 0) & (place <= size[owner])
-    out[inside] = raw
+    out = np.full(ends[-1], START, np.uint8)
+    out[ends[1:] - 1] = STOP
+    inside = np.ones(len(out), bool)
+    inside[ends[:-1]] = inside[ends[1:] - 1] = False
+    out[inside] = _LOWER[raw]
     return out, owner, place
 
 
-def _gram_keys(out: np.ndarray, place: np.ndarray, order: int) -> np.ndarray:
-    """For each symbol and each context length 0..order: the string of both as a number, with its length on top; 0 where the word has no such context."""
-    keys = np.zeros((order + 1, len(out)), np.uint64)
+def _tops(raw: np.ndarray, starts: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """(top, row) of each symbol but START: the string of its longest context and itself as a number, with its length on top."""
+    out, owner, place = _symbols(raw, starts)
+    depth = np.minimum(place, order)
     value = np.zeros(len(out), np.uint64)
-    for k in range(order + 1):
-        shifted = np.zeros(len(out), np.uint64)
-        shifted[k:] = out[: len(out) - k]
-        value = value | (shifted << np.uint64(8 * k))
-        keys[k] = np.where(place >= k, value | (np.uint64(k + 1) << np.uint64(56)), np.uint64(0))
-    return keys
+    for k in range(min(order, len(out)) + 1):
+        shifted = out[: len(out) - k].astype(np.uint64) << np.uint64(8 * k)
+        value[k:] |= np.where(depth[k:] >= k, shifted, np.uint64(0))
+    value |= (depth + 1).astype(np.uint64) << np.uint64(56)
+    use = place > 0
+    return value[use], owner[use]
+
+
+def _count_words(batches):
+    """(text, training) to (word, count in training documents), for the words of a piece."""
+    for piece in slices(batches, 0, 1 << 21):
+        raw, starts = string_bytes(piece.column(0))
+        begin, end, row = words(raw, starts)
+        _, one, back = word_kinds(raw, begin, end)
+        train = piece.column(1).to_numpy(zero_copy_only=False).astype(float)
+        n = np.bincount(back, weights=train[row], minlength=len(one)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([word_bytes(raw, begin[one], end[one]), pa.array(n)], names=["word", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([END], pa.binary()), pa.array([int(train.sum())], pa.int64())], names=["word", "n"])
+
+
+def _count_tops(order: int):
+    """(text, training) to (top, count in training documents)."""
 
+    def run(batches):
+        for piece in slices(batches, 0, 1 << 20):
+            train = piece.column(1)
+            for part, times in ((piece.filter(train), 1), (piece.filter(pa.compute.invert(train)), 0)):
+                if part.num_rows:
+                    raw, starts = string_bytes(part.column(0))
+                    tops, n = np.unique(_tops(raw, starts, order)[0], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(tops.view(np.int64)), pa.array(n * times)], names=["top", "n"])
+
+    return run
 
-def _grams(order: int):
-    """Words with counts to counted context-symbol strings of every order."""
+
+def _suffixes(order: int):
+    """Counted tops to counted context-symbol strings of every order: a top's end stands for its shorter contexts."""
 
     def run(batches):
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            out, owner, place = _symbols(batch.column(0))
-            weight = batch.column(1).to_numpy().astype(float)[owner]
-            for row in _gram_keys(out, place, order):
-                use = (place > 0) & (row > 0)
-                kinds, back = np.unique(row[use], return_inverse=True)
+            tops, n = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy().astype(float)
+            length = (tops >> np.uint64(56)).astype(np.int64)
+            for k in range(1, order + 2):
+                use = length >= k
+                kinds, back = np.unique(tops[use] & np.uint64((1 << 8 * k) - 1), return_inverse=True)
                 if len(kinds):
-                    yield pa.RecordBatch.from_arrays([pa.array(kinds.view(np.int64)), pa.array(np.bincount(back, weights=weight[use]).astype(np.int64))], names=["gram", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array((kinds | np.uint64(k << 56)).view(np.int64)), pa.array(np.bincount(back, weights=n[use]).astype(np.int64))], names=["gram", "n"])
 
     return run
 
@@ -154,20 +157,18 @@ class Trie:
     def _shorter_gram(cls, grams: np.ndarray) -> np.ndarray:
         return cls._shorter(grams + (np.uint64(1) << np.uint64(56))) - np.where((grams >> np.uint64(56)) > 0, np.uint64(1) << np.uint64(56), np.uint64(0))
 
-    def scores(self, column: pa.Array) -> np.ndarray:
-        """log10 probability of each word of the column with its closing space, or of the end."""
-        out, owner, place = _symbols(column)
-        keys = _gram_keys(out, place, self.order)
-        logs = np.zeros(len(out))
-        at = np.flatnonzero(place > 0)
+    def scores(self, tops: np.ndarray) -> np.ndarray:
+        """log10 probability of each top's last symbol after the others."""
         if not len(self.grams):
-            logs[at] = -np.log10(SYMBOLS)
-            return np.bincount(owner, weights=logs, minlength=len(column)).astype(float)
+            return np.full(len(tops), -np.log10(SYMBOLS))
+        length = (tops >> np.uint64(56)).astype(np.int64)
+        logs, at = np.zeros(len(tops)), np.arange(len(tops))
         above = np.full(len(at), -1)  # the context that was escaped from last
         for k in range(self.order, -1, -1):
-            fits = place[at] >= k
-            gram = np.where(fits, keys[k][at], np.uint64(0))
-            context = np.where(fits, ((gram & np.uint64((1 << 56) - 1)) >> np.uint64(8)) | (np.uint64(k + 1) << np.uint64(56)), np.uint64(0))
+            fits = length[at] > k
+            body = tops[at] & np.uint64((1 << 8 * (k + 1)) - 1)
+            gram = np.where(fits, body | np.uint64(k + 1 << 56), np.uint64(0))
+            context = np.where(fits, (body >> np.uint64(8)) | np.uint64(k + 1 << 56), np.uint64(0))
             where = self._find(self.contexts, context)
             active = fits & (where >= 0)
             after = above >= 0
@@ -184,34 +185,19 @@ class Trie:
             above = np.where(fits & (where >= 0), where, above)
             at, above = at[~found], above[~found]
         logs[at] -= np.log10(max(self.unseen, 1.0))
-        return np.bincount(owner, weights=logs, minlength=len(column)).astype(float)
+        return logs
 
 
 def _scored(model):
     def run(batches):
         for batch in batches:
-            if batch.num_rows:
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(model.value.scores(batch.column(1)))], names=["hash", "n", "ppm"])
-
-    return run
-
-
-def _ending(order):
-    """Words to the longest context-symbol string at each of their symbols."""
-
-    def run(batches):
-        for batch in batches:
-            if batch.num_rows:
-                out, owner, place = _symbols(batch.column(1))
-                longest = _gram_keys(out, place, order)[np.minimum(place, order), np.arange(len(out))]
-                use = place > 0
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner[use])), pa.array(longest[use].view(np.int64))], names=["hash", "top"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(model.value.scores(batch.column(0).to_numpy().view(np.uint64)))], names=["top", "n", "log"])
 
     return run
 
 
-def _joined(vocabulary: DataFrame, grams: DataFrame, order: int) -> DataFrame:
-    """(hash, n, ppm) as of Trie.scores, by joins with the table of all strings."""
+def _joined(tops: DataFrame, grams: DataFrame) -> DataFrame:
+    """(top, n, log) as of Trie.scores, by joins with the table of all strings."""
     size = lambda c: F.shiftrightunsigned(c, 56)
     headed = lambda body, n: f"({body}) | shiftleft({n}, 56)"
     # a context has its string's length on top, so that it has one byte fewer than that says
@@ -226,8 +212,7 @@ def _joined(vocabulary: DataFrame, grams: DataFrame, order: int) -> DataFrame:
     left = below.select("context", (F.col("up_total") - F.col("gone")).alias("left_total"), (F.col("up_kinds") - F.col("kinds")).alias("left_kinds"))
     contexts = written(sums.join(left, "context", "left"))
     root = contexts.where(F.col("context") == 1 << 56).first()
-    ending = written(vocabulary.select("hash", "word").mapInArrow(_ending(order), "hash long, top long"))
-    levels = ending.select("top").distinct().withColumn("k", F.explode(F.sequence(F.lit(1).cast("long"), size("top"))))
+    levels = tops.select("top").withColumn("k", F.explode(F.sequence(F.lit(1).cast("long"), size("top"))))
     levels = levels.withColumn("gram", F.expr(headed("top & (CASE WHEN k < 7 THEN shiftleft(1L, cast(8 * k as int)) - 1 ELSE 72057594037927935L END)", "k"))).withColumn("context", context("gram"))
     met = levels.join(contexts, "context", "left").join(grams, "gram", "left")
     after, whole = Window.partitionBy("top").orderBy(F.desc("k")), Window.partitionBy("top")
@@ -235,84 +220,116 @@ def _joined(vocabulary: DataFrame, grams: DataFrame, order: int) -> DataFrame:
     met = met.select("top", "k", "n", F.coalesce(F.lag("left_total").over(after), "total").alias("total"), F.coalesce(F.lag("left_kinds").over(after), "kinds").alias("kinds"), F.max(F.when(F.col("n").isNotNull(), F.col("k"))).over(whole).alias("hit"))
     share = F.when(F.col("kinds") > 0, F.log10(F.when(F.col("k") == F.col("hit"), F.col("n")).otherwise(F.col("kinds")) / (F.col("total") + F.col("kinds")))).otherwise(0.0)
     logs = met.groupBy("top").agg((F.sum(F.when(F.col("hit").isNull() | (F.col("k") >= F.col("hit")), share)) - F.when(F.max("hit").isNull(), float(np.log10(max(SYMBOLS - root["kinds"], 1)))).otherwise(0.0)).alias("log"))
-    return ending.join(logs, "top").groupBy("hash").agg(F.sum("log").alias("ppm")).join(vocabulary.select("hash", "n"), "hash").select("hash", "n", "ppm")
+    return tops.join(logs, "top").select("top", "n", "log")
+
 
+class Words:
+    """Frequent words with what counts for each, looked up by hash and then by bytes."""
 
-def _summed(head):
-    """Documents to their words' count, the sums over frequent words, and the other words with their counts."""
-    names = ["doc_id", "held_out", "n_tokens", "known", "base", "score", "rare", "times"]
+    def __init__(self, found: list[bytes], base: np.ndarray):
+        size = np.array([len(w) for w in found], np.int64)
+        self.raw = np.frombuffer(b"".join(found), np.uint8)
+        self.end = np.cumsum(size)
+        self.begin = self.end - size
+        hashes = word_hashes(self.raw, self.begin, self.end)
+        # of words that share a hash one is here, the others are looked up by the join
+        kinds, one = np.unique(hashes, return_index=True)
+        self.begin, self.end, self.base = self.begin[one], self.end[one], base[one]
+        self.table = Table(kinds)
+
+    def find(self, raw: np.ndarray, begin: np.ndarray, end: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        """The place of each word, -1 where it isn't here."""
+        at = self.table.find(hashes)
+        own, other = word_bytes(raw, begin, end), word_bytes(self.raw, self.begin, self.end) if len(self.begin) else None
+        met = np.flatnonzero(at >= 0)
+        if len(met):
+            equal = pa.compute.equal(own.take(pa.array(met)), other.take(pa.array(at[met]))).to_numpy(zero_copy_only=False)
+            at[met[~equal]] = -1
+        return at
+
+
+def _lists(row: np.ndarray, kind: np.ndarray, n: int) -> tuple[pa.Array, np.ndarray, pa.Array]:
+    """(offsets by row, kinds in that order, how often each) of pairs, for list columns."""
+    pairs, times = np.unique(row.astype(np.int64) << 32 | kind, return_counts=True)
+    ends = pa.array(np.searchsorted(pairs >> 32, np.arange(n + 1)).astype(np.int32))
+    return ends, pairs & 0xFFFFFFFF, pa.array(times.astype(np.int32))
+
+
+def _summed(head, order: int):
+    """Documents to the sums over their frequent words and tops, and the other words and tops with how often each."""
+    names = ["doc_id", "held_out", "n_tokens", "known", "base", "score", "rare", "times", "tops", "top_times"]
 
     def run(batches):
-        hashes, base, ppm, known = head.value
-        for piece in slices(batches, 2, 1 << 22):
-            row, back, kinds, _, _ = _unique_words(piece.column(2))
+        frequent, table, logs = head.value
+        for piece in slices(batches, 2, 1 << 20):
             n = len(piece.column(0))
-            where = Trie._find(hashes, kinds)
-            which = where[back]
-            often = which >= 0
-            pick = which[often]
-            total = np.bincount(row, minlength=n)
-            add = lambda x: np.bincount(row[often], weights=x[pick], minlength=n)
-            code = row[~often].astype(np.int64) << 32 | back[~often]
-            rare, times = np.unique(code, return_counts=True)
-            ends = np.searchsorted(rare >> 32, np.arange(n + 1)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [piece.column(0).cast(pa.int64()), piece.column(1), pa.array(total + 1), pa.array(add(known).astype(np.int64)), pa.array(add(base).astype(float)), pa.array(add(ppm).astype(float)),
-                 pa.ListArray.from_arrays(pa.array(ends), pa.array(kinds[rare & 0xFFFFFFFF].view(np.int64))), pa.ListArray.from_arrays(pa.array(ends), pa.array(times.astype(np.int32)))],
-                names=names,
-            )
+            raw, starts = string_bytes(piece.column(2))
+            begin, end, row = words(raw, starts)
+            hashes, one, back = word_kinds(raw, begin, end)
+            where = frequent.find(raw, begin[one], end[one], hashes)[back]
+            often = where >= 0
+            base = np.bincount(row[often], weights=frequent.base[where[often]], minlength=n)
+            ends, rare, times = _lists(row[~often], back[~often], n)
+            tops, owner = _tops(raw, starts, order)
+            at = table.find(tops)
+            found = at >= 0
+            score = np.bincount(owner[found], weights=logs[at[found]], minlength=n)
+            kinds, kind = np.unique(tops[~found], return_inverse=True)
+            top_ends, top, top_times = _lists(owner[~found], kind, n)
+            lists = [pa.ListArray.from_arrays(ends, word_bytes(raw, begin[one][rare], end[one][rare])), pa.ListArray.from_arrays(ends, times), pa.ListArray.from_arrays(top_ends, pa.array(kinds[top].view(np.int64))), pa.ListArray.from_arrays(top_ends, top_times)]
+            yield pa.RecordBatch.from_arrays([piece.column(0).cast(pa.int64()), piece.column(1), pa.array(np.bincount(row, minlength=n) + 1), pa.array(np.bincount(row[often], minlength=n)), pa.array(base.astype(float)), pa.array(score.astype(float)), *lists], names=names)
 
     return run
 
 
-def ppm_scores(docs: DataFrame, held_out, text: str = "text", key: str = "doc_id", order: int = ORDER, most_words: int = MOST_WORDS, most_grams: int = MOST_GRAMS) -> DataFrame:
+def ppm_scores(docs: DataFrame, held_out, text: str = "text", key: str = "doc_id", order: int = ORDER, most_words: int = MOST_WORDS, most_tops: int = MOST_TOPS, most_grams: int = MOST_GRAMS) -> DataFrame:
     """(key, held_out, n_tokens, n_known, train_tokens, base_score, score).
 
     held_out: a boolean column; the model and the word counts come from the rows where it isn't true.
     """
     if order > 6:
-        raise ValueError("a context has at most 6 bytes")
+        raise ValueError("a context has at most 6 symbols")
+    small_batches(docs.sparkSession)
     context = docs.sparkSession.sparkContext
     docs = docs.select(F.col(key).alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(text).alias("text"))
-    counted = docs.select("text", ~F.col("held_out")).mapInArrow(_counted, "hash long, word binary, n long")
-    vocabulary = written(counted.groupBy("hash").agg(F.min("word").alias("word"), F.sum("n").alias("n")))
-    known = vocabulary.where("n > 0")
-    facts = known.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.count("*").alias("kinds")).first()
+    learnt = docs.select("text", ~F.col("held_out"))
+    vocabulary = written(learnt.mapInArrow(_count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")))
+    tops = written(learnt.mapInArrow(_count_tops(order), "top long, n long").groupBy("top").agg(F.sum("n").alias("n")))
+    facts = vocabulary.where("n > 0").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.count("*").alias("kinds")).first()
     tokens, kinds = facts["tokens"], facts["kinds"]
-    grams = written(known.select("word", "n").mapInArrow(_grams(order), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")))
+    grams = written(tops.where("n > 0").mapInArrow(_suffixes(order), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")))
     if grams.count() > most_grams:
-        scored = written(_joined(vocabulary, grams, order))
+        scored = written(_joined(tops, grams))
     else:
         table = grams.toArrow()
         model = context.broadcast(Trie(table.column("gram").to_numpy().view(np.uint64), table.column("n").to_numpy(), order))
-        scored = written(vocabulary.mapInArrow(_scored(model), "hash long, n long, ppm double"))
-    floor = tokens + 0.1 * (kinds + 1)
-    base = F.log10((F.col("n") + F.lit(0.1)) / F.lit(floor))
-    least = by_count(scored.where("n > 0"), "n", most_words) if kinds else 1
-    often = scored.where(F.col("n") >= least).select("hash", base.alias("base"), "ppm").toArrow()
-    by = np.argsort(often.column("hash").to_numpy().view(np.uint64))
-    hashes = often.column("hash").to_numpy().view(np.uint64)[by]
-    head = context.broadcast((hashes, often.column("base").to_numpy()[by], often.column("ppm").to_numpy()[by], np.ones(len(hashes))))
-    end = scored.where(F.col("hash") == END_HASH).select(base.alias("base"), "ppm", (F.col("n") > 0).cast("long").alias("known")).first()
-    end_base, end_ppm, end_known = (end["base"], end["ppm"], end["known"]) if end else (0.0, 0.0, 0)
-    sums = docs.select("doc_id", "held_out", "text").mapInArrow(_summed(head), "doc_id long, held_out boolean, n_tokens long, known long, base double, score double, rare array<long>, times array<int>")
+        scored = written(tops.mapInArrow(_scored(model), "top long, n long, log double"))
+        model.unpersist()
+    dropped(tops, grams)
+    base = F.log10((F.col("n") + F.lit(0.1)) / F.lit(tokens + 0.1 * (kinds + 1)))
+    least = by_count(vocabulary.where("n > 0"), "n", most_words)
+    often = vocabulary.where((F.col("n") >= least) & (F.col("word") != END)).select("word", base.alias("base")).toArrow()
+    least_top = by_count(scored.where("n > 0"), "n", most_tops)
+    head_tops = scored.where(F.col("n") >= least_top).select("top", "log").toArrow()
+    head = context.broadcast((Words(often.column("word").to_pylist(), often.column("base").to_numpy()), Table(head_tops.column("top").to_numpy().view(np.uint64)), head_tops.column("log").to_numpy()))
+    end = vocabulary.where(F.col("word") == END).select(base.alias("base"), (F.col("n") > 0).cast("long").alias("known")).first()
+    end_base, end_known = (end["base"], end["known"]) if end else (0.0, 0)
+    sums = docs.select("doc_id", "held_out", "text").mapInArrow(_summed(head, order), "doc_id long, held_out boolean, n_tokens long, known long, base double, score double, rare array<binary>, times array<int>, tops array<long>, top_times array<int>")
     sums = written(sums.withColumn("row", F.monotonically_increasing_id()))
-    rare = sums.select("row", F.explode(F.arrays_zip("rare", "times")).alias("w")).select("row", F.col("w.rare").alias("hash"), F.col("w.times").alias("times"))
-    more = (
-        rare.join(scored.where(F.col("n") < least), "hash")
-        .groupBy("row")
-        .agg(F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("more_known"), F.sum(F.col("times") * base).alias("more_base"), F.sum(F.col("times") * F.col("ppm")).alias("more_score"))
-    )
-    dropped(grams)
+    each = lambda a, b: sums.select("row", F.explode(F.arrays_zip(a, b)).alias("w"))
+    rare = each("rare", "times").select("row", F.col("w.rare").alias("word"), F.col("w.times").alias("times"))
+    more = rare.join(vocabulary, "word").groupBy("row").agg(F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("more_known"), F.sum(F.col("times") * base).alias("more_base"))
+    rare_tops = each("tops", "top_times").select("row", F.col("w.tops").alias("top"), F.col("w.top_times").alias("times"))
+    more_tops = rare_tops.join(scored, "top").groupBy("row").agg(F.sum(F.col("times") * F.col("log")).alias("more_score"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    return sums.join(more, "row", "left").select(
+    return sums.drop("rare", "times", "tops", "top_times").join(more, "row", "left").join(more_tops, "row", "left").select(
         F.col("doc_id").alias(key),
         "held_out",
         "n_tokens",
         (F.col("known") + zero("more_known") + F.lit(end_known)).cast("long").alias("n_known"),
         F.lit(tokens).cast("long").alias("train_tokens"),
         (F.col("base") + zero("more_base") + F.lit(end_base)).alias("base_score"),
-        (F.col("score") + zero("more_score") + F.lit(end_ppm)).alias("score"),
+        (F.col("score") + zero("more_score")).alias("score"),
     )
 
 

@@ -3,10 +3,12 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import colliding  # beside this file
 import pytest
 from pyspark.sql import functions as F
 
 from gazelark.llm import ppm
+from gazelark.llm._shared import fold
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -15,29 +17,25 @@ def tokens(text):
     return re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOW))
 
 
-def symbols(word):
-    return b" " + word.encode() + b" " if word is not None else b" \n"
-
-
 def brute(texts, held, order):
     counts = defaultdict(Counter)
     uni = Counter()
+    symbols = lambda text: [254, *(text or "").translate(LOW).encode(), 255]
     for text, out in zip(texts, held, strict=True):
         if out:
             continue
-        for w in [*tokens(text), None]:
-            uni[w] += 1
-            s = symbols(w)
-            for i in range(1, len(s)):
-                for k in range(min(order, i) + 1):
-                    counts[s[i - k : i]][s[i]] += 1
-
-    def code(word):
-        s, total = symbols(word), 0.0
+        uni.update([*tokens(text), None])
+        s = symbols(text)
+        for i in range(1, len(s)):
+            for k in range(min(order, i) + 1):
+                counts[tuple(s[i - k : i])][s[i]] += 1
+
+    def code(text):
+        s, total = symbols(text), 0.0
         for i in range(1, len(s)):
             gone = set()
             for k in range(min(order, i), -1, -1):
-                own = {x: n for x, n in counts.get(s[i - k : i], {}).items() if x not in gone}
+                own = {x: n for x, n in counts.get(tuple(s[i - k : i]), {}).items() if x not in gone}
                 if not own:
                     continue
                 n, t = sum(own.values()), len(own)
@@ -54,19 +52,19 @@ def brute(texts, held, order):
     rows = []
     for text in texts:
         ws = [*tokens(text), None]
-        rows.append((len(ws), sum(uni[w] > 0 for w in ws), n, sum(math.log10((uni[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ws), sum(code(w) for w in ws)))
+        rows.append((len(ws), sum(uni[w] > 0 for w in ws), n, sum(math.log10((uni[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ws), code(text)))
     return rows
 
 
-@pytest.mark.parametrize("most_words", [3, 1 << 18])
-def test_scores_equal_brute_force(spark, most_words):
+@pytest.mark.parametrize("most", [3, 1 << 18])
+def test_scores_equal_brute_force(spark, most):
     rng = random.Random(5)
     vocab = ["".join(rng.choice("abcdeéß") for _ in range(rng.randint(1, 9))) for _ in range(60)]
     texts = [None, "", " \t\n", "A a B", "zzz zzz \x00 😀"] + [" ".join(rng.choice(vocab) for _ in range(rng.randint(1, 30))) for _ in range(60)]
-    texts += [texts[7]] * 3
+    texts += [texts[7]] * 3 + list(colliding.pair(91)) + [" ".join(reversed(texts[9].split()))]
     held = [i % 3 == 0 for i in range(len(texts))]
     docs = spark.createDataFrame([(i, t, h, 1.0) for i, (t, h) in enumerate(zip(texts, held, strict=True))], "doc_id long, text string, held boolean, score double")
-    got = {r["doc_id"]: r for r in ppm.ppm_scores(docs, F.col("held"), order=4, most_words=most_words).collect()}
+    got = {r["doc_id"]: r for r in ppm.ppm_scores(docs, F.col("held"), order=4, most_words=most, most_tops=most).collect()}
     for i, want in enumerate(brute(texts, held, 4)):
         r = got[i]
         assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == want[:3]
@@ -91,4 +89,18 @@ def test_no_rows_and_no_training_rows(spark):
     one = spark.createDataFrame([(1, "ab"), (1, "ab")], "doc_id long, text string")
     rows = ppm.ppm_scores(one, F.lit(True)).collect()
     assert [(r["n_tokens"], r["n_known"], r["train_tokens"]) for r in rows] == [(2, 0, 0)] * 2
-    assert rows[0]["score"] == pytest.approx(-4 * math.log10(256))
+    assert rows[0]["score"] == pytest.approx(-3 * math.log10(256))
+
+
+def test_null_keys_and_very_long_texts(spark):
+    long = "ab cd " * 400_000 + "x" * 300_000
+    docs = spark.createDataFrame([(None, "ab"), (None, "ab"), (3, long)], "doc_id long, text string")
+    rows = sorted(ppm.ppm_scores(docs, fold("doc_id", 10) == 0).collect(), key=lambda r: r["n_tokens"])
+    assert [(r["doc_id"], r["held_out"], r["n_tokens"]) for r in rows] == [(None, False, 2), (None, False, 2), (3, False, 800_002)]
+    assert rows[0] == rows[1] and rows[2]["score"] < rows[0]["score"] < 0
+
+
+def test_scores_see_the_order_of_words(spark):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(["one two three four"] * 9 + ["four two three one"])], "doc_id long, text string")
+    scores = {r["doc_id"]: (r["base_score"], r["score"]) for r in ppm.ppm_scores(docs, F.col("doc_id") == 9).collect()}
+    assert scores[9][0] == pytest.approx(scores[0][0]) and scores[9][1] < scores[0][1] - 1
