@@ -21,15 +21,15 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from ._shared import slices, string_bytes, word_hashes, words
+from ._shared import slices, small_batches, string_bytes, word_kinds, words
 
 WINDOW, BLOCK, END_ID = 2048, 512, 1
 #: Word kinds whose ids a worker keeps; beyond it starts anew.
-KEPT_KINDS = 1 << 21
+KEPT_KINDS = 1 << 18
 
 
 class Ids:
-    """Token ids of texts. A tokenizer that never joins what white space parts is asked once for each kind of word."""
+    """Token ids of texts. A tokenizer that never joins what white space parts is asked once for each word that isn't kept, by its bytes."""
 
     def __init__(self, path: str, by_word: bool = True):
         import os
@@ -42,53 +42,53 @@ class Ids:
         self._reset()
 
     def _reset(self) -> None:
-        self.hashes, self.index = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.start, self.flat = np.zeros(1, np.int64), np.zeros(0, np.uint32)
+        self.place: dict[bytes, int] = {}
+        self.start, self.size = np.zeros(1 << 10, np.int64), np.zeros(1 << 10, np.int64)
+        self.flat, self.used = np.zeros(1 << 12, np.uint32), 0
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, kinds: np.ndarray, texts: list[str]) -> None:
-        if len(self.hashes) + len(kinds) > KEPT_KINDS:
-            self._reset()
-        ids = self.whole(texts)
-        at = np.arange(len(kinds)) + len(self.start) - 1
-        self.start = np.concatenate([self.start, self.start[-1] + np.cumsum([len(x) for x in ids])])
-        self.flat = np.concatenate([self.flat, *ids])
-        place = np.searchsorted(self.hashes, kinds)  # both are sorted
-        self.hashes, self.index = np.insert(self.hashes, place, kinds), np.insert(self.index, place, at)
-
-    def _find(self, kinds: np.ndarray) -> np.ndarray:
-        if not len(self.hashes):
-            return np.full(len(kinds), -1)
-        at = np.minimum(np.searchsorted(self.hashes, kinds), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == kinds, self.index[at], -1)
+    def _learn(self, new: list[bytes]) -> None:
+        ids = self.whole([w.decode() for w in new])
+        size = np.array([len(x) for x in ids], np.int64)
+        first, total = len(self.place), int(size.sum())
+        for name, need in (("start", first + len(new)), ("size", first + len(new)), ("flat", self.used + total)):
+            array = getattr(self, name)
+            if need > len(array):
+                setattr(self, name, np.concatenate([array, np.zeros(max(need - len(array), len(array)), array.dtype)]))
+        self.start[first : first + len(new)] = self.used + np.cumsum(size) - size
+        self.size[first : first + len(new)] = size
+        self.flat[self.used : self.used + total] = np.concatenate(ids)
+        self.used += total
+        self.place.update(zip(new, range(first, first + len(new)), strict=True))
 
     def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All rows' ids end to end, each row's closed by END_ID, and where each row starts."""
         raw, starts = string_bytes(column)
+        data = raw.tobytes()
         # a special token's name is told by case, and words are looked up without it
-        if not self.by_word or b"<|" in raw.tobytes():
+        if not self.by_word or b"<|" in data:
             rows = [np.append(x, np.uint32(END_ID)) for x in self.whole([t or "" for t in column.to_pylist()])]
             return np.concatenate(rows), np.concatenate([[0], np.cumsum([len(x) for x in rows])])
         begin, end, row = words(raw, starts)
-        kinds, first, back = np.unique(word_hashes(raw, begin, end), return_index=True, return_inverse=True)
-        if len(self.hashes) + len(kinds) > KEPT_KINDS:
+        _, one, back = word_kinds(raw, begin, end)
+        low = data.lower()  # A-Z alone, as these are bytes
+        kinds = [low[a:b] for a, b in zip(begin[one].tolist(), end[one].tolist(), strict=True)]
+        if len(self.place) + len(kinds) > KEPT_KINDS:
             self._reset()
-        new = np.flatnonzero(self._find(kinds) < 0)
-        if len(new):
-            data = raw.tobytes()
-            self._learn(kinds[new], [data[begin[i] : end[i]].decode() for i in first[new]])
-        kind = self._find(kinds)[back]
-        size = (self.start[1:] - self.start[:-1])[kind] if len(kind) else np.zeros(0, np.int64)
+        if new := [w for w in kinds if w not in self.place]:
+            self._learn(new)
+        kind = np.array([self.place[w] for w in kinds], np.int64)[back] if kinds else np.zeros(0, np.int64)
+        size = self.size[kind]
         # END_ID after each row's words
         per_row = np.bincount(row, weights=size, minlength=len(column)).astype(np.int64) + 1
         bounds = np.concatenate([[0], np.cumsum(per_row)])
         out = np.full(bounds[-1], END_ID, np.uint32)
-        to = np.cumsum(size) - size + row
-        pick = np.repeat(self.start[kind] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-        place = np.repeat(to - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-        out[place] = self.flat[pick]
+        before = np.cumsum(size) - size
+        run = np.arange(int(size.sum()))
+        pick = np.repeat(self.start[kind] - before, size) + run
+        out[np.repeat(row, size) + run] = self.flat[pick]
         return out, bounds
 
 
@@ -219,6 +219,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, text: str = "text", key
     them and however A to Z are cased.
     """
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+    small_batches(docs.sparkSession)
     packed = docs.select(docs[key].cast("long").alias("doc_id"), docs[text].alias("text")).mapInArrow(_packed(tokenizer_path, window, block, by_word), schema)
     return packed.withColumnRenamed("doc_id", key)
 

@@ -1,6 +1,7 @@
 import zlib
 from itertools import product
 
+import colliding  # beside this file
 import numpy as np
 import pytest
 
@@ -16,7 +17,7 @@ def test_least_slack_is_the_best_subset(counts, room):
 
 
 def test_round_trip(spark):
-    texts = [None, "", "A <|endoftext|> b <|STARTOFTEXT|>", "don't STOP now　été 12ab", "x " * 9000, "\x1c a\tb", "İstanbul ΑΣ ς", *["word%d and more, of it!" % i * (i % 90) for i in range(700)]]
+    texts = [None, "", "A <|endoftext|> b <|STARTOFTEXT|>", "don't STOP now　été 12ab", "x " * 9000, "\x1c a\tb", "İstanbul ΑΣ ς", " ".join(colliding.pair(91)), *["word%d and more, of it!" % i * (i % 90) for i in range(700)]]
     docs = spark.createDataFrame([(i, t, 0) for i, t in enumerate(texts)], "doc_id long, text string, length int").repartition(2)
     rows = packing.pack_documents(docs, packing.word_bpe(), block=200).collect()
     from tokenizers import Tokenizer
@@ -46,3 +47,23 @@ def test_round_trip(spark):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert packing.pack_documents(docs, packing.word_bpe()).collect() == []
+
+
+def test_null_keys_repeated_rows_and_very_long_texts(spark):
+    long = "word " * 300_000
+    rows = [(None, "a b"), (None, "a b"), (3, long), (3, long)]
+    got = packing.pack_documents(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), packing.word_bpe()).collect()
+    assert sum(r["length"] for r in got if r["doc_id"] is None) == 6
+    assert sum(r["length"] for r in got if r["doc_id"] == 3) == 2 * 300_001
+    assert {r["doc_tokens"] for r in got} == {3, 300_001}
+
+
+def test_kept_words_start_anew(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(packing, "KEPT_KINDS", 5)
+    ids = packing.Ids(packing.word_bpe())
+    for texts in (["one two three"], ["three four five six", "one"], ["Seven one TWO"]):
+        flat, bounds = ids(pa.array(texts))
+        want = [[*x.tolist(), 1] for x in ids.whole(texts)]
+        assert [flat[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == want
