@@ -12,8 +12,11 @@ so copies that are already connected never meet pair by pair. Pairs that can't r
 how far along both sets the shared token stands and by parity signatures of the whole sets. Equal sets are one document
 throughout. Verification is exact on the whole sets.
 
+A token's list with more than LANE documents that are still apart is dealt out in lanes, and each pair of lanes meets in a task of its own.
+
 Cases: null text, or one without words, has an empty set and is linked with nothing; a null key takes no part and has a
-null component; rows with one key are one document's parts and share its component; other columns are ignored.
+null component; rows with one key are one document's parts and share its component; very long texts are one piece each, at some 60
+bytes of room a word; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,9 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import components, dropped, mixed, slices, string_bytes, word_hashes, words, written
+from ._shared import components, dropped, mixed, slices, small_batches, string_bytes, word_hashes, words, written
 
-SKETCH_BITS = 18
+SKETCH_BITS, SKETCH_BLOCKS = 18, 64
+#: Documents of a list that meet in one task.
+LANE = 1024
 #: Bits of a set's parity signature.
 PARITY = 512
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
@@ -67,35 +72,47 @@ def shingles(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _sketch_of(k: int):
     def run(batches):
-        seen, total = np.zeros(1 << SKETCH_BITS, np.int64), 0
+        seen = np.zeros(1 << SKETCH_BITS, np.int64)
         for piece in slices(batches, 0):
             _, h = shingles(piece.column(0), k)
-            np.add.at(seen, (h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
-            total += len(h)
-        if total:
-            yield pa.RecordBatch.from_pydict({"sketch": pa.array([seen.tobytes()], pa.binary())})
+            seen += np.bincount((h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(seen))
+        blocks = seen.reshape(SKETCH_BLOCKS, -1)
+        some = np.flatnonzero(blocks.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([blocks[i].tobytes() for i in some], pa.binary())], names=["block", "counts"])
 
     return run
 
 
 def _summed(batches):
-    seen = None
+    seen: dict[int, np.ndarray] = {}
     for batch in batches:
-        for cell in batch.column(0):
-            part = np.frombuffer(cell.as_py(), np.int64)
-            seen = part.copy() if seen is None else seen + part
-    if seen is not None:
-        yield pa.RecordBatch.from_pydict({"sketch": pa.array([seen.tobytes()], pa.binary())})
+        for block, cell in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            part = np.frombuffer(cell.as_buffer(), np.int64)
+            seen[block] = seen[block] + part if block in seen else part.copy()
+    yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int32()), pa.array([x.tobytes() for x in seen.values()], pa.binary())], names=["block", "counts"])
 
 
 def count_sketch(docs: DataFrame, text: str, k: int) -> np.ndarray:
-    """How many documents' shingles fall into each of 2**SKETCH_BITS slots: 2 MB a task, added up on the executors first."""
-    parts = docs.select(text).mapInArrow(_sketch_of(k), "sketch binary")
-    gathered = parts.repartition(8).mapInArrow(_summed, "sketch binary").collect()
-    out = np.zeros(1 << SKETCH_BITS, np.int64)
+    """How many documents' shingles fall into each of 2**SKETCH_BITS slots: 2 MB a task, in blocks that are each added up by one of SKETCH_BLOCKS tasks."""
+    schema = "block int, counts binary"
+    parts = docs.select(text).mapInArrow(_sketch_of(k), schema)
+    # each row is a block of a whole task
+    gathered = parts.repartition(SKETCH_BLOCKS, "block").mapInArrow(_summed, schema).collect()
+    out = np.zeros((SKETCH_BLOCKS, (1 << SKETCH_BITS) // SKETCH_BLOCKS), np.int64)
     for row in gathered:
-        out += np.frombuffer(row["sketch"], np.int64)
-    return out
+        out[row["block"]] += np.frombuffer(row["counts"], np.int64)
+    return out.ravel()
+
+
+def _parity(h: np.ndarray, first: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """A row's signature: each shingle turns one bit over, so two signatures differ in no more bits than the sets differ in shingles."""
+    out = np.zeros((len(first), PARITY // 64), np.uint64)
+    if len(h):
+        bit = (h >> np.uint64(8)) % np.uint64(PARITY)
+        word, value = (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63))
+        for j in range(out.shape[1]):
+            out[some, j] = np.bitwise_xor.reduceat(np.where(word == j, value, np.uint64(0)), first[some])
+    return out.ravel().view(np.int64)
 
 
 def _prefixes(k: int, percent: int, sketch):
@@ -114,9 +131,7 @@ def _prefixes(k: int, percent: int, sketch):
             if len(r):
                 d1[some] = np.add.reduceat(mixed(h ^ _ODD[1]), first[some])
                 d2[some] = np.add.reduceat(mixed(h ^ _ODD[2]), first[some])
-            # each shingle turns one bit over, so two signatures differ in no more bits than the sets differ in shingles
-            bits = np.bincount(r * PARITY + ((h >> np.uint64(8)) % np.uint64(PARITY)).astype(np.int64), minlength=len(column) * PARITY) & 1
-            parity = np.packbits(bits.astype(np.uint8)).view(np.int64)
+            parity = _parity(h, first, some)
             lists = np.maximum(seen[(h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)] - mean, 1)
             order = np.lexsort((h, lists, r))
             h, lists = h[order], lists[order]
@@ -166,6 +181,7 @@ def _linked(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFram
 def jaccard_components(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = 4, percent: int = 85) -> DataFrame:
     """(key, n_shingles, component_id): each document's set size and the least key that it reaches by links."""
     spark = docs.sparkSession
+    small_batches(spark)
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     sketch = spark.sparkContext.broadcast(count_sketch(docs, "text", k))
     wide = written(docs.mapInArrow(_prefixes(k, percent, sketch), "doc_id long, n long, d1 long, d2 long, ell int, cost long, parity array<long>, prefix array<long>"))
@@ -216,9 +232,17 @@ def jaccard_components(docs: DataFrame, text: str = "text", key: str = "doc_id",
     mixed_lists = written(placed.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.min("n").alias("least")).where("low != high").select("token", "least"))
     # who can't reach even the smallest of a list needn't stay in it
     rest = placed.join(mixed_lists, "token").where((100 + percent) * (F.col("n") - F.col("place") + F.col("before")) >= percent * (F.col("n") + F.greatest("least", F.ceil(F.col("n") * percent / 100))))
-    rest = written(rest.select("token", "part", "doc", "n", "place", "before").join(facts, "doc"))
-    x, y = rest.select("token", F.col("part").alias("part_a"), F.col("parity").alias("parity_a"), *side("a")), rest.select("token", F.col("part").alias("part_b"), F.col("parity").alias("parity_b"), *side("b"))
-    cross = candidates(x.join(y, "token").where((F.col("part_a") < F.col("part_b")) & can_link(F.least("before_a", "before_b")) & few_differences("n_a", "n_b", "parity_a", "parity_b")), all_lists=True)
+    rest = written(rest.select("token", "part", "doc", "n", "place", "before"))
+    lanes = rest.groupBy("token").agg(F.ceil(F.count("*") / LANE).cast("int").alias("lanes"))
+    lane = F.pmod(F.xxhash64("doc"), F.col("lanes")).cast("int")
+    placed_lanes = rest.join(lanes, "token").withColumn("lane", lane).join(facts, "doc")
+    # a list of several lanes meets by pairs of them, each pair in a task of its own
+    others = lambda a, b: F.explode(F.transform(F.sequence(F.lit(0), F.col("lanes") - 1), lambda i: F.struct(a(i).alias("la"), b(i).alias("lb")))).alias("l")
+    own = F.col("lane")
+    sided = lambda name, pick: placed_lanes.select("token", F.col("part").alias(f"part_{name}"), F.col("parity").alias(f"parity_{name}"), *side(name), pick).select("*", "l.la", "l.lb").drop("l")
+    x, y = sided("a", others(lambda i: own, lambda i: i)), sided("b", others(lambda i: i, lambda i: own))
+    able = (F.col("part_a") < F.col("part_b")) & can_link(F.least("before_a", "before_b")) & few_differences("n_a", "n_b", "parity_a", "parity_b")
+    cross = candidates(x.join(y, ["token", "la", "lb"]).where(able), all_lists=True)
     tried = stars.select("a", "b").unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
     more = _linked(written(cross.join(tried, ["a", "b"], "left_anti")), docs, k, percent)
     final = components(links.unionByName(more), "a", "b")

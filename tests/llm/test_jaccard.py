@@ -1,6 +1,7 @@
 import random
 import re
 
+import colliding  # beside this file
 import pytest
 
 from gazelark.llm import jaccard
@@ -62,3 +63,21 @@ def test_null_keys_repeated_rows_and_no_rows(spark):
     got = sorted(((r["doc_id"] or 0), r["n_shingles"], r["component_id"] or 0) for r in jaccard.jaccard_components(docs).collect())
     assert got == [(0, 0, 0), (0, 2, 0), (2, 2, 2), (4, 2, 2), (4, 2, 2)]
     assert jaccard.jaccard_components(docs.limit(0)).collect() == []
+
+
+def test_long_lists_meet_by_lanes(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "LANE", 3)
+    rng = random.Random(6)
+    common = [f"c{i}" for i in range(12)]
+    rows = [(i, " ".join(common + [f"v{rng.randrange(40)}" for _ in range(rng.randint(1, 6))])) for i in range(120)]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), k=3, percent=70).collect()}
+    assert got == brute(rows, 3, 70)
+
+
+def test_colliding_words_and_very_long_texts(spark):
+    a, b = colliding.pair(91)
+    rest = " ".join(f"w{i}" for i in range(9))
+    long = " ".join(f"t{i % 99991}" for i in range(400_000))
+    rows = [(1, f"{a} {rest}"), (2, f"{b} {rest}"), (3, long), (4, long + " end")]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1] == (7, 1) and got[2] == (7, 2) and got[3][1] == got[4][1] == 3
