@@ -2,21 +2,24 @@
 
 Each source's documents stand in a hash-shuffled queue that may be passed up to max_epochs times. A copy's virtual
 finish time is its source's words up to and with it, over the source's target; so all sources reach their target at
-time 1. Copies are range-sorted by that time and taken until the whole budget is spent.
+time 1. Copies are range-sorted by that time and taken until the whole budget is spent: ranges before the one in which it ends are
+taken whole, and that one is ranged again until it has EDGE copies at most, whose order then decides.
 
-Cases: a null text has size 0 and is never taken; a null source is a source of its own, last; repeated rows queue as
-rows of their own; an empty table gives an empty result; other columns are ignored.
+Cases: a null text has size 0 and is never taken; a null source is a source of its own, last; repeated rows and rows of one key queue as
+rows of their own; a very long text is one document; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._shared import WORD, written
 
 #: Steps of virtual time below 8, and per doubling above: some ten thousand ranges, however large the input.
 STEPS, STEPS_ABOVE = 1024, 64
+#: Copies that are sorted by one task.
+EDGE = 10_000
 
 
 def source_targets(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = 3) -> DataFrame:
@@ -78,16 +81,15 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str =
     cut = _cut(copies, budget)
     if cut is None:
         return queued.select(F.col("doc_id").alias(key), "source", "size", "source_size", "target", F.when(F.col("size") > 0, F.col("size") * max_epochs).otherwise(F.lit(0)).cast("long").alias("taken"))
-    last, spent = cut
+    low, high, spent = cut
     # the range in which the budget ends is the only one whose order matters
-    step = copies.withColumn("range", _range())
-    order = Window.partitionBy("part").orderBy("time", F.col("source").asc_nulls_last(), "turn", "doc_id", "size", "epoch").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    edge = step.where(F.col("range") == last).withColumn("part", F.lit(0)).withColumn("upto", F.sum("size").over(order) + F.lit(spent)).where(F.col("upto") <= budget)
+    order = Window.orderBy("time", F.col("source").asc_nulls_last(), "turn", "doc_id", "size", "epoch").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    edge = copies.where(F.col("time").between(low, high)).withColumn("upto", F.sum("size").over(order) + F.lit(spent)).where(F.col("upto") <= budget)
     edge = edge.groupBy("doc_id", "source", "turn", "size", "finish").agg(F.count("*").alias("more"))
     whole = F.lit(0)
     for epoch in range(max_epochs):
         time = (F.lit(epoch) * F.col("source_size") + F.col("q.finish")) / F.col("target")
-        whole = whole + F.when(_range(time) < last, 1).otherwise(0)
+        whole = whole + F.when(time < low, 1).otherwise(0)
     joined = queued.alias("q").join(
         edge.alias("e"),
         (F.col("q.turn") == F.col("e.turn")) & F.col("q.doc_id").eqNullSafe(F.col("e.doc_id")) & F.col("q.source").eqNullSafe(F.col("e.source")) & (F.col("q.finish") == F.col("e.finish")) & (F.col("q.size") == F.col("e.size")),
@@ -97,15 +99,20 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str =
     return joined.select(F.col("q.doc_id").alias(key), F.col("q.source").alias("source"), F.col("q.size").alias("size"), "source_size", "target", taken.alias("taken"))
 
 
-def take(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", **how) -> DataFrame:
-    """docs' rows, each as often as the mix takes it. Equal rows are told apart by how often they are taken together."""
-    row = F.xxhash64(F.col(key), F.col(text), F.col(source))
+def identity(docs: DataFrame) -> Column:
+    """128 bits of all of a row's columns, as text."""
+    return F.concat(F.hex(F.xxhash64(*docs.columns)), F.hex(F.xxhash64(F.lit(6), *docs.columns[::-1])))
+
+
+def take(docs: DataFrame, text: str = "text", source: str = "source", **how) -> DataFrame:
+    """docs' rows, each as often as the mix takes it. Rows equal in all columns are told apart by how often they are taken together."""
+    row = identity(docs)
     mixed = mix(docs.select(F.col(text).alias("text"), F.col(source).alias("source"), row.alias("row")), key="row", **how)
     times = mixed.where("taken > 0").groupBy("row").agg(F.sum("taken").alias("words"), F.first("size").alias("size"))
-    times = times.select(F.col("row").alias("_row"), F.explode(F.sequence(F.lit(1), (F.col("words") / F.col("size")).cast("int"))).alias("_copy"))
+    times = times.select("row", F.explode(F.sequence(F.lit(1), (F.col("words") / F.col("size")).cast("int"))).alias("copy"))
     # one of equal rows, then each as often as all of them are taken
-    one = docs.withColumn("_row", row).dropDuplicates(["_row"])
-    return one.join(times, "_row").select(*docs.columns)
+    one = docs.select(row.alias("row"), F.struct("*").alias("all")).dropDuplicates(["row"])
+    return one.join(times, "row").select("all.*")
 
 
 def _range(time=None):
@@ -114,12 +121,24 @@ def _range(time=None):
     return F.when(time < 8, F.floor(time * STEPS)).otherwise(8 * STEPS + F.floor(F.log2(F.greatest(time, F.lit(8.0)) / 8) * STEPS_ABOVE)).cast("long")
 
 
-def _cut(copies: DataFrame, budget: int) -> tuple[int, int] | None:
-    """The range in which the budget ends, and the words before it; None if all ranges fit."""
+def _cut(copies: DataFrame, budget: int) -> tuple[float, float, int] | None:
+    """The least and greatest time of the range in which the budget ends, and the words before it; None if all copies fit.
+
+    A range is split by even steps of time while it has more than EDGE copies and more than one time. What it is split by never falls with time, so
+    ranges are apart, and their own least and greatest times tell them.
+    """
+    inside, step, spent = copies, _range(), 0
     before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    sums = copies.groupBy(_range().alias("range")).agg(F.sum("size").alias("words"))
-    row = sums.withColumn("upto", F.sum("words").over(before)).where(F.col("upto") > budget).orderBy("range").select("range", (F.col("upto") - F.col("words")).alias("spent")).first()
-    return (row["range"], row["spent"]) if row else None
+    while True:
+        sums = inside.groupBy(step.alias("range")).agg(F.sum("size").alias("words"), F.count("*").alias("n"), F.min("time").alias("low"), F.max("time").alias("high"))
+        row = sums.withColumn("upto", F.sum("words").over(before) + F.lit(spent)).where(F.col("upto") > budget).orderBy("range").first()
+        if row is None:
+            return None
+        low, high, spent = row["low"], row["high"], row["upto"] - row["words"]
+        if row["n"] <= EDGE or low == high:
+            return low, high, spent
+        inside = copies.where(F.col("time").between(low, high))
+        step = F.floor((F.col("time") - F.lit(low)) * F.lit(STEPS / (high - low))).cast("long")
 
 
 def op6_fair_queue_mix(spark, sf_dir: str) -> DataFrame:
@@ -151,7 +170,7 @@ copies AS (
 run AS (
   SELECT *, sum(size) OVER (ORDER BY time, source NULLS LAST, turn, doc_id, size, epoch ROWS UNBOUNDED PRECEDING) AS upto FROM copies),
 counted AS (
-  SELECT doc_id, turn, count(*) AS n FROM run WHERE upto <= (SELECT sum(size) FROM sized) GROUP BY doc_id, turn)
-SELECT q.doc_id, q.size, q.source_size, q.target, (q.size * coalesce(c.n, 0))::BIGINT AS taken
-FROM queued q LEFT JOIN counted c ON q.doc_id = c.doc_id AND q.turn = c.turn
+  SELECT source, finish, count(*) AS n FROM run WHERE upto <= (SELECT sum(size) FROM sized) GROUP BY source, finish)
+SELECT q.doc_id, q.size, q.source_size, q.target, (CASE WHEN q.size > 0 THEN q.size * coalesce(c.n, 0) ELSE 0 END)::BIGINT AS taken
+FROM queued q LEFT JOIN counted c ON q.source IS NOT DISTINCT FROM c.source AND q.finish = c.finish
 """

@@ -107,10 +107,33 @@ def test_take_repeats_rows_as_often_as_the_mix_says(spark):
     taken = mixing.take(docs)
     assert taken.columns == docs.columns
     total = sum(len(re.findall(r"[^\x20\x09-\x0D]+", r["text"])) for r in taken.collect())
-    keyed = docs.withColumn("row", F.xxhash64("doc_id", "text", "source"))
+    keyed = docs.withColumn("row", mixing.identity(docs))
     assert total == mixing.mix(keyed, key="row").agg(F.sum("taken")).first()[0]
 
 
+def test_take_loses_no_row_that_differs_in_another_column(spark):
+    rows = [(1, "a b c", "s", n) for n in ("x", "y", None)] * 2 + [(None, "d e", None, "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, row string")
+    took = Counter(tuple(r) for r in mixing.take(docs, budget=1000).collect())
+    assert took == {row: 3 * n for row, n in Counter(rows).items()}
+
+
+def test_mix_of_equal_keys_and_null_keys_as_in_sql(spark, monkeypatch):
+    rows = [(i % 7 if i % 5 else None, " ".join(["w"] * (i % 13)), "en", "ab"[i % 2], 1, "x") for i in range(90)]
+    docs, table = frames(spark, rows)
+    table["doc_id"] = table["doc_id"].astype("Int64")
+    for edge in (10_000, 2):
+        monkeypatch.setattr(mixing, "EDGE", edge)
+        same(mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken"), mixing.OP6_SQL, table)
+
+
+def test_mix_ranges_again_until_few_copies_are_left(spark, monkeypatch):
+    docs, _ = frames(spark, made(11, 300))
+    want = sorted(map(str, mixing.mix(docs).collect()))
+    monkeypatch.setattr(mixing, "EDGE", 1)
+    assert sorted(map(str, mixing.mix(docs).collect())) == want
+
+
 def test_pipeline_stages_do_what_the_operators_say(spark, tmp_path):
     rows = [r[:5] for r in made(8, 120)]
     good = " ".join(f"term{i}" for i in range(40))
