@@ -4,13 +4,14 @@ A language is a distribution over hashed byte trigrams of lower-cased words with
 training documents. A word's likelihood under a language is its trigrams' product, tempered. A document's words come
 from a mixture of languages, whose proportions expectation-maximisation estimates. Which languages are in the mixture at all
 is chosen by penalised likelihood: sets of the largest proportions are held against each other, each language beyond
-the first costing half the logarithm of the number of words (BIC). A document is given its mixture's largest language, and the
-proportion is the score.
+the first costing half the logarithm of the number of words (BIC); sets grow until none beyond can win. A document is given its
+mixture's largest language, and the proportion is the score; the whole mixture is given beside it.
 
 All words of a task's piece go through the steps together, as matrices of words by languages.
 
 Cases: a null text, or one without a letter, is `und` with score 0, as is every text if nothing was learned; rows with a null
-language teach nothing; repeated rows count each; an empty table gives an empty result; other columns are ignored.
+language teach nothing; of languages that tie the first by name is given; repeated rows count each; a very long text is one piece; an empty
+table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,10 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import _LOWER, fold, mixed, slices, string_bytes, words
+from ._shared import _LOWER, fold, mixed, slices, small_batches, string_bytes, word_kinds, words
 
 BUCKETS, MOST_LANGUAGES = 1 << 15, 256
-STEPS, TEMPER, SURE = 8, 0.7, 0.97
+TEMPER = 0.7
+#: Steps of expectation-maximisation end when no proportion moves by more than this, or after so many.
+STILL, MOST_STEPS = 1e-3, 100
 
 
 def _trigrams(raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -41,14 +44,6 @@ def _trigrams(raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.n
     return (mixed(value[use]) % np.uint64(BUCKETS)).astype(np.int64), owner[use]
 
 
-def _kinds(raw, begin, end):
-    """Words by kind, by the bytes themselves: (index of a first word of each kind, kind of each word)."""
-    from ._shared import word_hashes
-
-    _, first, back = np.unique(word_hashes(raw, begin, end), return_index=True, return_inverse=True)
-    return first, back
-
-
 def _learned(batches):
     """(text, lang) to counts by (lang, bucket), one row for each that a task has."""
     counts: dict[str, np.ndarray] = {}
@@ -56,7 +51,7 @@ def _learned(batches):
         labels = piece.column(1).to_pylist()
         raw, starts = string_bytes(piece.column(0))
         begin, end, row = words(raw, starts)
-        first, back = _kinds(raw, begin, end)
+        _, first, back = word_kinds(raw, begin, end)
         bucket, kind = _trigrams(raw, begin[first], end[first])
         names = sorted(set(labels))
         code = np.array([names.index(x) for x in labels])
@@ -83,53 +78,63 @@ class Model:
             out[:, i] = np.bincount(word, weights=self.logs[bucket, i], minlength=len(begin))
         return out * TEMPER
 
-    def mixtures(self, logs: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
-        """Proportions of the languages in each of n documents, whose words have these log likelihoods."""
+    def mixtures(self, logs: np.ndarray, row: np.ndarray, n: int, times: np.ndarray | None = None) -> np.ndarray:
+        """Proportions of the languages in each of n documents, whose words (each so many times) have these log likelihoods."""
         k = logs.shape[1]
-        count = np.bincount(row, minlength=n)
-        top = logs.max(axis=1, keepdims=True)
-        like = np.exp(logs - top)
-        every = np.ones((n, k), bool)
-        share = self._em(like, row, n, every)[0]
-        # documents of more than one language, or which may be: sets of the largest proportions
-        open_ = np.flatnonzero((share.max(axis=1) < SURE) & (count > 0))
-        if not len(open_) or k == 1:
-            return share
-        number = np.full(n, -1)
-        number[open_] = np.arange(len(open_))
-        use = number[row] >= 0
-        like, row, count = like[use], number[row[use]], count[open_]
-        ranked = np.argsort(-share[open_], axis=1, kind="stable")
-        best, best_share = np.full(len(open_), -np.inf), np.zeros((len(open_), k))
-        for size in range(1, min(k, 4) + 1):
+        times = np.ones(len(row)) if times is None else times.astype(float)
+        count = np.bincount(row, weights=times, minlength=n)
+        like = np.exp(logs - logs.max(axis=1, keepdims=True))
+        full, _ = self._em(like, row, times, np.ones((n, k), bool))
+        ranked = np.argsort(-full, axis=1, kind="stable")
+        best, share = np.full(n, -np.inf), np.zeros((n, k))
+        open_ = np.arange(n)
+        bound = np.zeros(n)  # no mixture's likelihood is above that of each word's best language, which is 0 here
+        for size in range(1, k + 1):
             chosen = np.zeros((len(open_), k), bool)
-            np.put_along_axis(chosen, ranked[:, :size], True, axis=1)
-            got, value = self._em(like, row, len(open_), chosen)
-            value = value - 0.5 * (size - 1) * np.log(np.maximum(count, 2))
-            better = value > best
-            best[better], best_share[better] = value[better], got[better]
-        share[open_] = best_share
+            np.put_along_axis(chosen, ranked[open_, :size], True, axis=1)
+            place = np.full(n, -1)
+            place[open_] = np.arange(len(open_))
+            use = np.flatnonzero(place[row] >= 0)
+            got, value = self._em(like[use], place[row[use]], times[use], chosen)
+            cost = 0.5 * np.log(np.maximum(count[open_], 2))
+            value = value - (size - 1) * cost
+            better = value > best[open_]
+            share[open_[better]], best[open_[better]] = got[better], value[better]
+            # a larger set costs more than it could gain
+            open_ = open_[bound[open_] - size * cost > best[open_]]
+            if not len(open_):
+                break
         return share
 
     @staticmethod
-    def _em(like, row, n, chosen):
-        """(proportions, log likelihood) after STEPS steps from even proportions of the chosen languages."""
+    def _em(like, row, times, chosen):
+        """(proportions, log likelihood) from even proportions of the chosen languages; rows of words are sorted or not."""
+        n, k = chosen.shape
         share = chosen / chosen.sum(axis=1, keepdims=True)
-        count = np.maximum(np.bincount(row, minlength=n), 1)[:, None]
-        value = np.zeros(n)
-        for step in range(STEPS if chosen.shape[1] > 1 else 1):
-            joint = like * share[row]
-            total = joint.sum(axis=1)
-            total = np.maximum(total, 1e-300)
-            if step == STEPS - 1 or chosen.shape[1] == 1:
-                value = np.bincount(row, weights=np.log(total), minlength=n)
-            joint /= total[:, None]
-            share = np.stack([np.bincount(row, weights=joint[:, i], minlength=n) for i in range(share.shape[1])], axis=1) / count
+        count = np.maximum(np.bincount(row, weights=times, minlength=n), 1)[:, None]
+        single = chosen.sum(axis=1) == 1
+        active, words = np.flatnonzero(~single), np.flatnonzero(~single[row])
+        for _ in range(MOST_STEPS):
+            if not len(active):
+                break
+            place = np.full(n, -1)
+            place[active] = np.arange(len(active))
+            own = row[words]
+            joint = like[words] * share[own]
+            joint *= (times[words] / np.maximum(joint.sum(axis=1), 1e-300))[:, None]
+            fresh = np.stack([np.bincount(place[own], weights=joint[:, i], minlength=len(active)) for i in range(k)], axis=1) / count[active]
+            moved = np.abs(fresh - share[active]).max(axis=1) > STILL
+            share[active] = fresh
+            active = active[moved]
+            still = np.zeros(n, bool)
+            still[active] = True
+            words = words[still[own]]
+        value = np.bincount(row, weights=times * np.log(np.maximum((like * share[row]).sum(axis=1), 1e-300)), minlength=n)
         return share, value
 
 
 def _predicted(model):
-    names = ["doc_id", "held_out", "lang_pred", "score"]
+    names = ["doc_id", "held_out", "lang_pred", "score", "mixture"]
 
     def run(batches):
         own = model.value
@@ -137,17 +142,21 @@ def _predicted(model):
             column = piece.column(2)
             n = len(column)
             letter = np.array([bool(t) and any(map(str.isalpha, t)) for t in column.to_pylist()])
-            label, score = np.full(n, "und", object), np.zeros(n)
+            label, score, mixture = np.full(n, "und", object), np.zeros(n), np.full(n, "", object)
             if own.names and letter.any():
                 raw, starts = string_bytes(column)
                 begin, end, row = words(raw, starts)
-                first, back = _kinds(raw, begin, end)
-                logs = own.word_logs(raw, begin[first], end[first])[back]
-                share = own.mixtures(logs, row, n)
+                _, first, back = word_kinds(raw, begin, end)
+                logs = own.word_logs(raw, begin[first], end[first])
+                # a document's words by kind
+                pairs, times = np.unique(row << 32 | back, return_counts=True)
+                share = own.mixtures(logs[pairs & 0xFFFFFFFF], pairs >> 32, n, times)
                 best = share.argmax(axis=1)
                 label[letter] = np.array(own.names, object)[best[letter]]
                 score[letter] = np.clip(share[np.arange(n), best][letter], 0.0, 1.0)
-            yield pa.RecordBatch.from_arrays([piece.column(0).cast(pa.int64()), piece.column(1), pa.array(label, pa.string()), pa.array(score)], names=names)
+                for i in np.flatnonzero(letter):
+                    mixture[i] = ",".join(f"{own.names[j]}:{share[i, j]:.3f}" for j in np.argsort(-share[i], kind="stable") if share[i, j] > 0)
+            yield pa.RecordBatch.from_arrays([piece.column(0).cast(pa.int64()), piece.column(1), pa.array(label, pa.string()), pa.array(score), pa.array(mixture, pa.string())], names=names)
 
     return run
 
@@ -168,10 +177,14 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
 
 
 def identify(docs: DataFrame, held_out, text: str = "text", lang: str = "lang", key: str = "doc_id") -> DataFrame:
-    """(key, held_out, lang_pred, score), learned from the rows where held_out isn't true."""
+    """(key, held_out, lang_pred, score, mixture), learned from the rows where held_out isn't true.
+
+    mixture lists language:proportion of the set chosen, largest first.
+    """
+    small_batches(docs.sparkSession)
     held = F.coalesce(held_out, F.lit(False))
     model = docs.sparkSession.sparkContext.broadcast(learn(docs.where(~held), text, lang))
-    out = docs.select(F.col(key).cast("long").alias("doc_id"), held.alias("held_out"), F.col(text).alias("text")).mapInArrow(_predicted(model), "doc_id long, held_out boolean, lang_pred string, score double")
+    out = docs.select(F.col(key).cast("long").alias("doc_id"), held.alias("held_out"), F.col(text).alias("text")).mapInArrow(_predicted(model), "doc_id long, held_out boolean, lang_pred string, score double, mixture string")
     return out.withColumnRenamed("doc_id", key)
 
 
