@@ -14,8 +14,9 @@ equal anchors, about one for 180 bytes. Windows with one anchor form a run of st
    with a common extension of `length` bytes or more are repeats.
 
 A polynomial's collision can only send a stretch further down these steps: nothing is removed but by a digest or by bytes.
-A gram with more than HOT different stretches isn't sent to one task: each of its windows is counted by its own digest, with
-partial sums, so that a passage that a third of all documents hold in different surroundings needs no room anywhere.
+A gram with more than HOT different stretches isn't sent to one task: its runs are cut into parts of WIDTHS[0] windows, which go
+through the same steps grouped by their cores, nearly whole windows; and those of a core with as many different parts are cut into
+single windows, which are only counted. So a passage that a third of all documents hold in different surroundings needs no room anywhere.
 
 Cases: null and empty texts have no bytes; texts shorter than `length` lose nothing; a very long text is cut into overlapping
 chunks of CHUNK windows; repeated rows are documents of their own and so repeat each other; rows with equal or null keys are told apart by their
@@ -25,7 +26,7 @@ text; an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
-from functools import cmp_to_key
+from functools import cmp_to_key, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +38,8 @@ from ._shared import dropped, mixed, slices, string_bytes, written
 LENGTH, GRAM = 400, 32
 #: Windows in a part that is sorted; different stretches above which a gram's windows are counted one by one; bytes that a task hashes at once.
 STEP, HOT, CHUNK = 4, 4096, 1 << 19
+#: Windows in a part of a crowded gram's run, and of a crowded part's.
+WIDTHS = (24, 1)
 _PLACE = np.uint64((1 << 30) - 1)
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -131,7 +134,7 @@ def _runs(length: int, gram: int):
                 hull = _digests(raw.tobytes(), low.tolist(), (high + length).tolist())
                 at = (p - starts[r] + before) << 32 | (p - high) << 16 | (p - low)
                 keys = [piece.column(i).to_numpy(zero_copy_only=False)[r] for i in (0, 1)]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*keys, at, g.view(np.int64), hull[:, 0], hull[:, 1])], names=["key_a", "key_b", "at", "gram", "hull_a", "hull_b"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*keys, at, np.ones(len(at), np.int64), g.view(np.int64), hull[:, 0], hull[:, 1])], names=["key_a", "key_b", "at", "copies", "group", "hull_a", "hull_b"])
 
     return run
 
@@ -144,7 +147,7 @@ def _needed(batches, most: int):
             data = text.encode() if isinstance(text, str) else text
             for one in runs:
                 at = one["at"]
-                for c, v in zip(columns, (key_a, key_b, data, at, one["copies"], one["gram"]), strict=True):
+                for c, v in zip(columns, (key_a, key_b, data, at, one["copies"], one["group"]), strict=True):
                     c.append(v)
                 if len(columns[0]) >= most:
                     yield columns
@@ -172,20 +175,23 @@ def _stretches(length: int):
     return run
 
 
-def _windows(length: int):
-    """Rows (key_a, key_b, text, runs) to one row for each window of each run, by its own digest."""
+def _parts(length: int, gram: int, width: int):
+    """Rows (key_a, key_b, text, runs) to a row for each part of each run: runs of their own, grouped by what all windows of the part share."""
 
     def run(batches):
-        for a, b, data, at, copies, _ in _needed(batches, 128):
-            columns: list[list] = [[] for _ in range(4)]
-            digests = []
+        for a, b, data, at, copies, _ in _needed(batches, 4096 if width > 1 else 256):
+            columns: list[list] = [[] for _ in range(5)]
+            hulls, cores = [], []
             for i, (place, near, far) in enumerate(zip(*[x.tolist() for x in _unpacked(at)], strict=True)):
-                begin = range(place - far, place - near + 1)
-                digests.append(_digests(data[i], list(begin), [x + length for x in begin]))
-                for c, v in zip(columns, ([a[i]] * len(begin), [b[i]] * len(begin), begin, [copies[i]] * len(begin)), strict=True):
+                lows = [lo for lo in range(near - near % width, far + 1, width)]
+                ends = [(max(lo, near), min(lo + width - 1, far)) for lo in lows]
+                hulls.append(_digests(data[i], [place - y for _, y in ends], [place - x + length for x, _ in ends]))
+                # of the part as it is in any run, whichever of its windows this one has
+                cores.append(_digests(data[i], [place - lo for lo in lows], [max(place + gram, place - lo - width + 1 + length) for lo in lows]) if width > 1 else hulls[-1])
+                for c, v in zip(columns, ([a[i]] * len(lows), [b[i]] * len(lows), [place << 32 | x << 16 | y for x, y in ends], [copies[i]] * len(lows), lows), strict=True):
                     c += v
-            both = np.concatenate(digests)
-            yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in columns], pa.array(both[:, 0]), pa.array(both[:, 1])], names=["key_a", "key_b", "start", "copies", "window_a", "window_b"])
+            hull, core = np.concatenate(hulls), np.concatenate(cores)[:, 0]
+            yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in columns[:4]], pa.array(core ^ np.array(columns[4], np.int64)), pa.array(hull[:, 0]), pa.array(hull[:, 1])], names=["key_a", "key_b", "at", "copies", "group", "hull_a", "hull_b"])
 
     return run
 
@@ -379,34 +385,50 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
     """(key_a, key_b, spans): for each (key_a, key_b, text) with repeats, the covered stretches, which may overlap."""
     if length >= 1 << 16:
         raise ValueError("length must be below 65536")
-    keys, hull = ["key_a", "key_b"], ["hull_a", "hull_b"]
-    runs = written(docs.mapInArrow(_runs(length, gram), "key_a long, key_b long, at long, gram long, hull_a long, hull_b long"))
-    often = runs.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
-    maybe = written(runs.join(often, "gram", "left_semi"))
-    dropped(runs)
+    kinds = "key_a long, key_b long, at long, copies long, group long, hull_a long, hull_b long"
+    rest, runs = [], docs.mapInArrow(_runs(length, gram), kinds)
+    for width in (*WIDTHS, 0):
+        settled, need, used = _level(runs, length)
+        few = _texts_of(docs, need.where(F.col("contexts") <= hot))
+        stretches = few.mapInArrow(_stretches(length), "key_a long, key_b long, at long, copies long, group long, stretch binary")
+        dealt = stretches.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "group").sortWithinPartitions("group")
+        rest += [settled, dealt.mapInArrow(_settled(length, gram), _SPANS)]
+        rest = [written(reduce(DataFrame.unionByName, rest))]
+        crowded = need.where(F.col("contexts") > hot)
+        if crowded.isEmpty():
+            dropped(need, *used)
+            break
+        runs = written(_texts_of(docs, crowded).mapInArrow(_parts(length, gram, width), kinds))
+        dropped(need, *used)
+    spans = written(rest[0].groupBy(*_KEYS).agg(F.collect_set(F.struct("start", "end")).alias("spans")))
+    dropped(*rest)
+    return spans
+
+
+_KEYS, _HULL = ["key_a", "key_b"], ["hull_a", "hull_b"]
+
+
+def _level(runs: DataFrame, length: int) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """(spans that equal hulls settle, one run for each hull of the groups that are open, tables that the spans are read from)."""
+    counted = written(runs)
+    # written, so that a group of many runs can be split where it is joined
+    often = written(counted.groupBy("group").agg(F.sum("copies").alias("n")).where("n > 1").select("group"))
+    maybe = written(counted.join(often, "group", "left_semi"))
+    dropped(counted, often)
     # any of a hull's runs stands for it
-    hulls = written(maybe.groupBy(*hull, "gram").agg(F.count("*").alias("copies"), *[F.first(c).alias(c) for c in (*keys, "at")]))
-    open_grams = hulls.groupBy("gram").agg(F.count("*").alias("contexts"), F.min("copies").alias("least")).where("least = 1 AND contexts > 1").select("gram", "contexts")
-    need = written(hulls.join(open_grams, "gram").select("gram", "contexts", "copies", *keys, "at"))
-    settled = maybe.join(hulls.where("copies > 1").select(*hull), hull, "left_semi")
+    hulls = written(maybe.groupBy(*_HULL, "group").agg(F.sum("copies").alias("copies"), *[F.first(c).alias(c) for c in (*_KEYS, "at")]))
+    open_ = written(hulls.groupBy("group").agg(F.count("*").alias("contexts"), F.min("copies").alias("least")).where("least = 1 AND contexts > 1").select("group", "contexts"))
+    need = written(hulls.join(open_, "group").select("group", "contexts", "copies", *_KEYS, "at"))
+    dropped(open_)
     place, near, far = F.shiftright("at", 32), F.shiftright("at", 16).bitwiseAND(F.lit(0xFFFF)), F.col("at").bitwiseAND(F.lit(0xFFFF))
-    settled = settled.select(*keys, (place - far).alias("start"), (place - near + length).alias("end"))
-
-    def texts_of(some: DataFrame) -> DataFrame:
-        runs = some.groupBy(*keys).agg(F.collect_list(F.struct("at", "copies", "gram")).alias("runs"))
-        return docs.join(runs, keys).select(*keys, "text", "runs")
-
-    stretches = texts_of(need.where(F.col("contexts") <= hot)).mapInArrow(_stretches(length), "key_a long, key_b long, at long, copies long, group long, stretch binary")
-    dealt = stretches.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "group").sortWithinPartitions("group")
-    rest = dealt.mapInArrow(_settled(length, gram), _SPANS)
-    crowded = need.where(F.col("contexts") > hot)
-    if not crowded.isEmpty():
-        windows = written(texts_of(crowded).mapInArrow(_windows(length), "key_a long, key_b long, start long, copies long, window_a long, window_b long"))
-        again = windows.groupBy("window_a", "window_b").agg(F.sum("copies").alias("n")).where("n > 1")
-        rest = rest.unionByName(windows.join(again, ["window_a", "window_b"], "left_semi").select(*keys, "start", (F.col("start") + length).alias("end")))
-    spans = written(settled.unionByName(rest).groupBy(*keys).agg(F.collect_set(F.struct("start", "end")).alias("spans")))
-    dropped(maybe, hulls, need)
-    return spans
+    settled = maybe.join(hulls.where("copies > 1").select(*_HULL), _HULL, "left_semi").select(*_KEYS, (place - far).alias("start"), (place - near + length).alias("end"))
+    return settled, need, [maybe, hulls]
+
+
+def _texts_of(docs: DataFrame, need: DataFrame) -> DataFrame:
+    """(key_a, key_b, text, runs) of the documents with needed runs."""
+    runs = need.groupBy(*_KEYS).agg(F.collect_list(F.struct("at", "copies", "group")).alias("runs"))
+    return docs.join(runs, _KEYS).select(*_KEYS, "text", "runs")
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", length: int = LENGTH, gram: int = GRAM, hot: int = HOT, with_bytes: bool = True) -> DataFrame:

@@ -45,7 +45,7 @@ def texts_of(seed):
     return texts
 
 
-@pytest.mark.parametrize("seed,hot", [(1, 4096), (2, 4096), (3, 2)])
+@pytest.mark.parametrize("seed,hot", [(1, 4096), (2, 4096), (3, 2), (4, 1)])
 def test_removed_bytes_equal_brute_force(spark, seed, hot):
     texts = texts_of(seed)
     docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, n_bytes string")
