@@ -9,19 +9,22 @@ of its kind that it overlaps saw only a part and become one with it.
 A transducer only fires on strict forms, to leave ordinary prose alone: a bracketed at or dot, or a bare `at` that a spelled
 `dot` and a top-level name follow; spelled digits only in runs of PHONE_DIGITS digits or more, or four by four in an address; and identifiers must pass the same checks.
 
-Cases: null and empty texts have no spans; very long texts are scanned in linear time, since runs are walked from their ends;
-repeated rows are scanned each; an empty table gives an empty result; other columns are ignored.
+Cases: null and empty texts have no spans; very long texts are scanned in linear time, since no pattern begins with a run that it could
+begin anew within, and what stands around an at or a bracket is walked from there; repeated rows and null keys are scanned each; an empty table
+gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ._shared import small_batches
+
 KINDS = ("email", "ip", "card", "phone")
 PHONE_DIGITS, MOST_DIGITS = 9, 19
 
@@ -60,12 +63,17 @@ _SPELLED_DOT = r"(?:\s*[\[({<]\s*(?:dot|\.)\s*[\])}>]\s*|\s+dot\s+|\.)"
 _SPELLED_IP = re.compile(rf"(?i)(?<![A-Za-z0-9]){_OCTET}(?:{_SPELLED_DOT}{_OCTET}){{3}}(?![A-Za-z0-9])")
 _SPELLED_OCTET = re.compile(rf"(?i){_DIGIT_WORD}(?:[ \-]{_DIGIT_WORD}){{0,2}}")
 _SPELLED_ONE = re.compile(rf"(?i){_DIGIT_WORD}|plus|\+|[0-9]+")
-_BRACKETED = re.compile(r"(?i)\s*[\[({<]\s*(?:at|@|dot|\.)\s*[\])}>]\s*")
+_BRACKETED = re.compile(r"(?i)[\[({<]\s*(?:at|@|dot|\.)\s*[\])}>]\s*")
 _SPACED_AT = re.compile(r"(?i)(?<=[a-z0-9])\s+@\s*(?=[a-z0-9-]+\s*\.)|(?<=[a-z0-9])@\s+(?=[a-z0-9-]+\s*\.)")
 _SPACED_DOT = re.compile(r"(?i)[a-z0-9](?:\s+|_)dot(?:\s+|_)[a-z0-9]")
 # Top-level names that end a spelled-out address; none is an everyday word.
 TOP_LEVEL = "com org net edu gov mil int info biz io ai app dev co uk de fr es pt nl ch eu ru pl br mx ca au jp cn test example local".split()
-_SPACED_MAIL = re.compile(r"(?i)(?<![a-z0-9._%+-])[a-z0-9.%+-]+(?:(?:\s+|_)dot(?:\s+|_)[a-z0-9%+-]+)*(?:\s+|_)at(?:\s+|_)[a-z0-9-]+(?:(?:\s+|_)dot(?:\s+|_)[a-z0-9-]+)*(?:\s+|_)dot(?:\s+|_)(?:" + "|".join(TOP_LEVEL) + r")\b")
+_LABEL, _SEPARATOR = "[a-z0-9-]+", r"(?:\s+|_)"
+_SPACED_WORD_AT = re.compile(rf"(?i)(?<=[a-z0-9.%+-]){_SEPARATOR}at{_SEPARATOR}(?={_LABEL})")
+_SPACED_LABEL = re.compile(rf"(?i)(?!at{_SEPARATOR}){_LABEL}")
+_SPACED_NEXT = re.compile(rf"(?i){_SEPARATOR}dot{_SEPARATOR}(?={_LABEL})")
+_TOP_LEVEL_NAME = re.compile(r"(?i)(?:" + "|".join(TOP_LEVEL) + r")\b")
+_BEFORE_AT = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789.%+-")
 _SPACED_PART = re.compile(r"(?i)(?:\s+|_)(at|dot)(?:\s+|_)")
 _SPACED_IP = re.compile(r"(?i)(?<![0-9])[0-9]{1,3}(?:\s+dot\s+[0-9]{1,3}){3}(?![0-9])")
 
@@ -111,6 +119,29 @@ def detect(text: str) -> dict[str, list[tuple[int, int]]]:
     return found
 
 
+class Spans:
+    """Spans apart, in order; what overlaps becomes one."""
+
+    def __init__(self, spans: list[tuple[int, int]]):
+        self.starts, self.ends = [a for a, _ in spans], [b for _, b in spans]
+
+    def holds(self, start: int, end: int) -> bool:
+        i = bisect_right(self.starts, start) - 1
+        return i >= 0 and end <= self.ends[i]
+
+    def meets(self, start: int, end: int) -> bool:
+        return bisect_right(self.ends, start) < bisect_left(self.starts, end)
+
+    def add(self, start: int, end: int) -> None:
+        i, j = bisect_right(self.ends, start), bisect_left(self.starts, end)
+        if i < j:
+            start, end = min(start, self.starts[i]), max(end, self.ends[j - 1])
+        self.starts[i:j], self.ends[i:j] = [start], [end]
+
+    def listed(self) -> list[tuple[int, int]]:
+        return list(zip(self.starts, self.ends, strict=True))
+
+
 class Rewritten:
     """A text with stretches replaced, and where each of its characters comes from."""
 
@@ -153,8 +184,9 @@ def _lookalike_edits(text: str) -> list[tuple[int, int, str]]:
 def _spelled_edits(text: str) -> list[tuple[int, int, str]]:
     addresses = [m.span() for m in _SPELLED_IP.finditer(text)]
     edits = [(m.start(), m.end(), "".join(SPELLED[x[0].lower()] for x in _SPELLED_ONE.finditer(m[0]))) for a, b in addresses for m in _SPELLED_OCTET.finditer(text, a, b)]
+    taken = Spans(addresses)
     for m in _SPELLED_RUN.finditer(text):
-        if any(a < m.end() and m.start() < b for a, b in addresses):
+        if taken.meets(m.start(), m.end()):
             continue
         run = m[0].rstrip(" -,.()")
         if sum(1 for _ in re.finditer(rf"(?i){_DIGIT_WORD}", run)) >= 3:
@@ -165,12 +197,50 @@ def _spelled_edits(text: str) -> list[tuple[int, int, str]]:
     return sorted(edits)
 
 
+def _word_before(text: str, end: int) -> int | None:
+    """Where the word of an address that ends here starts; None if there is none, or it is an `at`."""
+    start = end
+    while start and text[start - 1] in _BEFORE_AT:
+        start -= 1
+    return None if start == end or text[start:end].lower() == "at" else start
+
+
+def _blanks_before(text: str, end: int) -> int:
+    """Where the blanks or the underscore that end here start."""
+    if end and text[end - 1] == "_":
+        return end - 1
+    while end and text[end - 1].isspace():
+        end -= 1
+    return end
+
+
+def _spaced_mails(text: str) -> list[tuple[int, int]]:
+    """Addresses spelled out with a bare `at` and `dot`, walked from each `at` to both sides; no word before or behind it is an `at`, so that no word is walked twice for one side."""
+    out, last = [], 0
+    for m in _SPACED_WORD_AT.finditer(text):
+        if m.start() < last:
+            continue
+        ends, label = [], _SPACED_LABEL.match(text, m.end())
+        while label and (dot := _SPACED_NEXT.match(text, label.end())):
+            if top := _TOP_LEVEL_NAME.match(text, dot.end()):
+                ends.append(top.end())
+            label = _SPACED_LABEL.match(text, dot.end())
+        start = _word_before(text, m.start())
+        if not ends or start is None:
+            continue
+        while (gap := _blanks_before(text, start)) < start and text[max(gap - 3, 0) : gap].lower() == "dot" and (more := _blanks_before(text, gap - 3)) < gap - 3 and (word := _word_before(text, more)) is not None:
+            start = word
+        if start >= last and not (start and text[start - 1] == "_"):
+            last = ends[-1]
+            out.append((start, last))
+    return out
+
+
 def _disguise_edits(text: str) -> list[tuple[int, int, str]]:
-    edits = [(m.start(), m.end(), "@" if re.search(r"(?i)at|@", m[0]) else ".") for m in _BRACKETED.finditer(text)]
+    edits = [(_blanks_before(text, m.start()) if text[m.start() - 1 : m.start()].isspace() else m.start(), m.end(), "@" if re.search(r"(?i)at|@", m[0]) else ".") for m in _BRACKETED.finditer(text)]
     if _SPACED_DOT.search(text):
-        for pattern in (_SPACED_MAIL, _SPACED_IP):
-            for m in pattern.finditer(text):
-                edits += [(m.start() + p.start(), m.start() + p.end(), "@" if p[1].lower() == "at" else ".") for p in _SPACED_PART.finditer(m[0])]
+        for a, b in [*_spaced_mails(text), *[m.span() for m in _SPACED_IP.finditer(text)]]:
+            edits += [(p.start(), p.end(), "@" if p[1].lower() == "at" else ".") for p in _SPACED_PART.finditer(text, a, b)]
     if "@" in text:
         edits += [(m.start(), m.end(), "@") for m in _SPACED_AT.finditer(text)]
     if any(x[2] == "@" for x in edits):  # the dots of an address with a disguised at may be spelled
@@ -207,7 +277,7 @@ def find(text: str) -> tuple[dict[str, list[tuple[int, int]]], dict[str, list[tu
             now = stages[-1].text
     if not stages:
         return base, base
-    spans = {kind: list(x) for kind, x in base.items()}
+    firm, spans = [Spans(x) for x in base.values()], {kind: Spans(x) for kind, x in base.items()}
     found = [(kind, start, end, len(stages)) for kind, own in detect(now).items() for start, end in own]
     for start, end, depth, digits in numbers:
         if len(digits) >= 13 and luhn(digits):
@@ -223,10 +293,9 @@ def find(text: str) -> tuple[dict[str, list[tuple[int, int]]], dict[str, list[tu
             start += 1
         while end > start and text[end - 1].isspace():
             end -= 1
-        if edited and start < end and not any(a <= start and end <= b for k in KINDS for a, b in spans[kind] + base[k]):
-            over = [x for x in spans[kind] if start < x[1] and x[0] < end]
-            spans[kind] = [x for x in spans[kind] if x not in over] + [(min([start, *[a for a, _ in over]]), max([end, *[b for _, b in over]]))]
-    return base, {kind: sorted(x) for kind, x in spans.items()}
+        if edited and start < end and not any(x.holds(start, end) for x in (*firm, *spans.values())):
+            spans[kind].add(start, end)
+    return base, {kind: x.listed() for kind, x in spans.items()}
 
 
 def listed(spans: dict[str, list[tuple[int, int]]]) -> str:
@@ -259,12 +328,14 @@ def _scan(batches):
 
 def pii_spans(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, n_email, n_ip, n_card, n_phone of the base spans, base_sha256, spans with the disguised ones)."""
+    small_batches(docs.sparkSession)
     out = docs.select(docs[key].cast("long").alias("doc_id"), docs[text].alias("text")).mapInArrow(_scan, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
     return out.withColumnRenamed("doc_id", key)
 
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with all spans of the text column replaced by [kind]; null stays null."""
+    small_batches(docs.sparkSession)
     schema, at = docs.schema, docs.columns.index(text)
 
     def run(batches):

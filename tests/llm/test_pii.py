@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import pytest
 
@@ -97,3 +98,38 @@ def test_query_shape(spark):
     assert rows[1] == rows[2] and rows[1][:5] == (2, 1, 0, 0, 1) and rows[1][6] == "email:0:5,phone:8:23"
     assert rows[0][6] == "" and rows[0][5] == "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
     assert [tuple(r) for r in pii.redact(docs.where("doc_id = 2").limit(1)).collect()] == [(2, "[email] é [phone]", 6)]
+
+
+@pytest.mark.parametrize(
+    "text",
+    [" " * 1_000_000, "( " * 300_000, "(" + " " * 500_000 + "x", "a dot " * 100_000, "a at " * 100_000, "at dot " * 100_000, "at a dot " * 100_000, "a @ b" * 100_000, "one two " * 100_000, "1 dot " * 100_000, "a_dot_" * 100_000, "x at y dot com " * 50_000, "one two three four five six seven eight nine; " * 20_000, "jоhn@example.com " * 30_000],
+)
+def test_long_texts_take_linear_time(text):
+    def seconds(t):
+        began = time.thread_time()
+        pii.find(t)
+        return time.thread_time() - began
+
+    seconds(text[:1000])
+    part, whole = seconds(text[: len(text) // 8]), seconds(text)
+    assert whole < 30 * part + 1  # a square would be 64 times
+
+
+def test_spelled_addresses_of_many_dots_and_labels_named_at():
+    for text, inner in (("mail a dot b dot c at x dot y dot co dot uk now", "a dot b dot c at x dot y dot co dot uk"), ("see foo_at_bar_dot_com ok", "foo_at_bar_dot_com"), ("we met at noon dot com", "met at noon dot com")):
+        _, spans = pii.find(text)
+        assert spans["email"] == [(text.index(inner), text.index(inner) + len(inner))]
+
+
+def test_spans_that_overlap_become_one():
+    spans = pii.Spans([(0, 3), (5, 9), (20, 22)])
+    assert spans.holds(5, 9) and not spans.holds(2, 4) and spans.meets(2, 4) and not spans.meets(3, 5)
+    spans.add(2, 6)
+    spans.add(10, 12)
+    assert spans.listed() == [(0, 9), (10, 12), (20, 22)]
+
+
+def test_no_rows_and_null_keys(spark):
+    docs = spark.createDataFrame([(None, "a@b.cd"), (None, None)], "doc_id long, text string")
+    assert sorted(r["n_email"] for r in pii.pii_spans(docs).collect()) == [0, 1]
+    assert pii.pii_spans(docs.limit(0)).collect() == [] and pii.redact(docs.limit(0)).collect() == []
