@@ -5,8 +5,9 @@ towards the rate of all hosts by a beta prior fitted to the hosts' own rates (me
 documents isn't judged by them alone. The host verdicts are joined back: on a rejected host only documents that break
 no rule at all stay; on other hosts a document goes only if it breaks a base rule.
 
-Cases: a null text has no words; a null host is a host of its own; repeated rows count each; an empty table gives an
-empty result; other columns are ignored. The rule on repeated lines takes ten words as a line.
+Cases: a null text has no words; a null host is a host of its own; repeated rows and rows of one key count each and get a verdict each; a
+very long text takes room for its words in one row; an empty table gives an empty result; other columns are ignored. The rule on
+repeated lines takes ten words as a line.
 """
 
 from __future__ import annotations
