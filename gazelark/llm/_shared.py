@@ -205,11 +205,11 @@ def word_bytes(raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> pa.Array:
 
 
 class Table:
-    """Where 64-bit keys stand in a list of different ones: open addressing over four slots a key, all keys at once."""
+    """Where 64-bit keys stand in a list of different ones: open addressing over two to four slots a key, all keys at once."""
 
     def __init__(self, keys: np.ndarray):
         self.keys = keys
-        self.mask = (1 << max(10, (4 * len(keys)).bit_length())) - 1
+        self.mask = (1 << max(10, (2 * len(keys)).bit_length())) - 1
         self.slots = np.full(self.mask + 1, -1, np.int32)
         todo, at = np.arange(len(keys), dtype=np.int32), self._home(keys)
         while len(todo):
@@ -226,6 +226,10 @@ class Table:
         out = np.full(len(keys), -1, np.int64)
         if not len(self.keys):
             return out
+        if len(keys) > 1 << 17:  # little room at once
+            for i in range(0, len(keys), 1 << 17):
+                out[i : i + (1 << 17)] = self.find(keys[i : i + (1 << 17)])
+            return out
         todo, at = np.arange(len(keys)), self._home(keys)
         while len(todo):
             got = self.slots[at]

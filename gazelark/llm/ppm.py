@@ -7,10 +7,10 @@ symbols, among its count and those), and the next shorter context then predicts
 the shortest, the symbols left are equally likely. So a text's score is the logarithm of a proper probability.
 
 Scale: what decides on a symbol is the string of its longest context and itself, its top. Tops are counted in one pass, shorter strings are
-sums over them, and the model is scored once for each different top. Broadcast are, each with a bound: the trie where it has at
-most MOST_GRAMS context-symbol strings (50 MB), the MOST_TOPS most frequent tops with their scores (34 MB) and the MOST_WORDS most frequent
-words with their counts (10 MB). A larger trie stays a table and tops are scored by joins with it, to the same scores; a document's other tops
-and words are looked up by joins.
+sums over them, and the model is scored once for each different top: the trie is a table of these strings, and tops are scored by joins with it. What is
+left after an escape depends on the context alone, so it is worked out once for each. Broadcast are, each with a bound: the MOST_TOPS most
+frequent tops with their scores (34 MB) and the MOST_WORDS most frequent words with their counts (10 MB). A document's other tops and
+words are looked up by joins.
 
 Cases: a null or empty text is just its end symbol; with no training documents every count is 0 and the model is even over its
 symbols; a null key counts as a training document, as its checksum is null; repeated rows are scored each; very long texts
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from ._shared import _LOWER, Table, by_count, dropped, fold, slices, small_batches, string_bytes, word_bytes, word_hashes, word_kinds, words, written
 
 ORDER, SYMBOLS = 5, 256
-MOST_WORDS, MOST_TOPS, MOST_GRAMS = 1 << 18, 1 << 20, 1 << 21
+MOST_WORDS, MOST_TOPS = 1 << 18, 1 << 20
 #: Bytes that no UTF-8 text has.
 START, STOP = 0xFE, 0xFF
 #: The end stands among the words as what can't be one.
@@ -64,7 +64,7 @@ def _tops(raw: np.ndarray, starts: np.ndarray, order: int) -> tuple[np.ndarray,
 
 def _count_words(batches):
     """(text, training) to (word, count in training documents), for the words of a piece."""
-    for piece in slices(batches, 0, 1 << 21):
+    for piece in slices(batches, 0, 1 << 20):
         raw, starts = string_bytes(piece.column(0))
         begin, end, row = words(raw, starts)
         _, one, back = word_kinds(raw, begin, end)
@@ -78,7 +78,7 @@ def _count_tops(order: int):
     """(text, training) to (top, count in training documents)."""
 
     def run(batches):
-        for piece in slices(batches, 0, 1 << 20):
+        for piece in slices(batches, 0):
             train = piece.column(1)
             for part, times in ((piece.filter(train), 1), (piece.filter(pa.compute.invert(train)), 0)):
                 if part.num_rows:
@@ -105,99 +105,8 @@ def _suffixes(order: int):
     return run
 
 
-class Trie:
-    """Contexts and their symbols' counts, as sorted arrays; log10 probabilities of symbols after contexts.
-
-    For each string of context and symbol: log10 of its share in the context, of it among what a longer context leaves, and so
-    on. What is left after an escape from a context depends on that context alone, so it is worked out once for each.
-    """
-
-    def __init__(self, grams: np.ndarray, counts: np.ndarray, order: int):
-        self.order = order
-        order_ = np.argsort(grams)
-        self.grams, self.counts = grams[order_], counts[order_].astype(float)
-        lengths = self.grams >> np.uint64(56)
-        body = self.grams & np.uint64((1 << 56) - 1)
-        context = (body >> np.uint64(8)) | (lengths << np.uint64(56))
-        self.contexts, back = np.unique(context, return_inverse=True)
-        total = np.bincount(back, weights=self.counts, minlength=len(self.contexts))
-        kinds = np.bincount(back, minlength=len(self.contexts)).astype(float)
-        # by context: what its next shorter context's counts are without the symbols that it has itself
-        parent = self._shorter(self.contexts)
-        place = self._find(self.contexts, parent)
-        lower = self._shorter_gram(self.grams)
-        seen = self._find(self.grams, lower)
-        lower_count = np.where((seen >= 0) & (lengths > 1), self.counts[seen], 0.0)
-        gone = np.bincount(back, weights=lower_count, minlength=len(self.contexts))
-        gone_kinds = np.bincount(back, weights=(lower_count > 0).astype(float), minlength=len(self.contexts))
-        known = place >= 0
-        self.left_total = np.where(known, total[place] - gone, 0.0)
-        self.left_kinds = np.where(known, kinds[place] - gone_kinds, 0.0)
-        self.total, self.kinds = total, kinds
-        root = self._find(self.contexts, np.array([np.uint64(1) << np.uint64(56)]))[0]
-        self.unseen = SYMBOLS - (kinds[root] if root >= 0 else 0.0)
-
-    @staticmethod
-    def _find(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
-        """Where the keys are in the sorted table; -1 where not."""
-        if not len(table):
-            return np.full(len(keys), -1)
-        at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
-        return np.where(table[at] == keys, at, -1)
-
-    @staticmethod
-    def _shorter(contexts: np.ndarray) -> np.ndarray:
-        """Each context without its first byte; 0 for the empty one."""
-        length = (contexts >> np.uint64(56)).astype(np.int64) - 1  # bytes
-        keep = np.uint64(8) * np.maximum(length - 1, 0).astype(np.uint64)
-        body = contexts & ((np.uint64(1) << keep) - np.uint64(1))
-        return np.where(length > 0, body | (length.astype(np.uint64) << np.uint64(56)), np.uint64(0))
-
-    @classmethod
-    def _shorter_gram(cls, grams: np.ndarray) -> np.ndarray:
-        return cls._shorter(grams + (np.uint64(1) << np.uint64(56))) - np.where((grams >> np.uint64(56)) > 0, np.uint64(1) << np.uint64(56), np.uint64(0))
-
-    def scores(self, tops: np.ndarray) -> np.ndarray:
-        """log10 probability of each top's last symbol after the others."""
-        if not len(self.grams):
-            return np.full(len(tops), -np.log10(SYMBOLS))
-        length = (tops >> np.uint64(56)).astype(np.int64)
-        logs, at = np.zeros(len(tops)), np.arange(len(tops))
-        above = np.full(len(at), -1)  # the context that was escaped from last
-        for k in range(self.order, -1, -1):
-            fits = length[at] > k
-            body = tops[at] & np.uint64((1 << 8 * (k + 1)) - 1)
-            gram = np.where(fits, body | np.uint64(k + 1 << 56), np.uint64(0))
-            context = np.where(fits, (body >> np.uint64(8)) | np.uint64(k + 1 << 56), np.uint64(0))
-            where = self._find(self.contexts, context)
-            active = fits & (where >= 0)
-            after = above >= 0
-            total = np.where(after, self.left_total[above], self.total[where])
-            kinds = np.where(after, self.left_kinds[above], self.kinds[where])
-            active &= kinds > 0  # a context with nothing new is passed without cost
-            hit = self._find(self.grams, gram)
-            found = active & (hit >= 0)
-            share = np.ones(len(at))
-            share[found] = self.counts[hit[found]] / (total + kinds)[found]
-            escaped = active & ~found
-            share[escaped] = kinds[escaped] / (total + kinds)[escaped]
-            logs[at] += np.log10(share)
-            above = np.where(fits & (where >= 0), where, above)
-            at, above = at[~found], above[~found]
-        logs[at] -= np.log10(max(self.unseen, 1.0))
-        return logs
-
-
-def _scored(model):
-    def run(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(model.value.scores(batch.column(0).to_numpy().view(np.uint64)))], names=["top", "n", "log"])
-
-    return run
-
-
 def _joined(tops: DataFrame, grams: DataFrame) -> DataFrame:
-    """(top, n, log) as of Trie.scores, by joins with the table of all strings."""
+    """(top, n, log10 probability of the top's last symbol after the others), by joins with the table of all strings."""
     size = lambda c: F.shiftrightunsigned(c, 56)
     headed = lambda body, n: f"({body}) | shiftleft({n}, 56)"
     # a context has its string's length on top, so that it has one byte fewer than that says
@@ -219,7 +128,7 @@ def _joined(tops: DataFrame, grams: DataFrame) -> DataFrame:
     # after an escape, what the longer context leaves
     met = met.select("top", "k", "n", F.coalesce(F.lag("left_total").over(after), "total").alias("total"), F.coalesce(F.lag("left_kinds").over(after), "kinds").alias("kinds"), F.max(F.when(F.col("n").isNotNull(), F.col("k"))).over(whole).alias("hit"))
     share = F.when(F.col("kinds") > 0, F.log10(F.when(F.col("k") == F.col("hit"), F.col("n")).otherwise(F.col("kinds")) / (F.col("total") + F.col("kinds")))).otherwise(0.0)
-    logs = met.groupBy("top").agg((F.sum(F.when(F.col("hit").isNull() | (F.col("k") >= F.col("hit")), share)) - F.when(F.max("hit").isNull(), float(np.log10(max(SYMBOLS - root["kinds"], 1)))).otherwise(0.0)).alias("log"))
+    logs = met.groupBy("top").agg((F.sum(F.when(F.col("hit").isNull() | (F.col("k") >= F.col("hit")), share)) - F.when(F.max("hit").isNull(), float(np.log10(max(SYMBOLS - (root["kinds"] if root else 0), 1)))).otherwise(0.0)).alias("log"))
     return tops.join(logs, "top").select("top", "n", "log")
 
 
@@ -261,7 +170,7 @@ def _summed(head, order: int):
 
     def run(batches):
         frequent, table, logs = head.value
-        for piece in slices(batches, 2, 1 << 20):
+        for piece in slices(batches, 2):
             n = len(piece.column(0))
             raw, starts = string_bytes(piece.column(2))
             begin, end, row = words(raw, starts)
@@ -282,7 +191,7 @@ def _summed(head, order: int):
     return run
 
 
-def ppm_scores(docs: DataFrame, held_out, text: str = "text", key: str = "doc_id", order: int = ORDER, most_words: int = MOST_WORDS, most_tops: int = MOST_TOPS, most_grams: int = MOST_GRAMS) -> DataFrame:
+def ppm_scores(docs: DataFrame, held_out, text: str = "text", key: str = "doc_id", order: int = ORDER, most_words: int = MOST_WORDS, most_tops: int = MOST_TOPS) -> DataFrame:
     """(key, held_out, n_tokens, n_known, train_tokens, base_score, score).
 
     held_out: a boolean column; the model and the word counts come from the rows where it isn't true.
@@ -298,13 +207,7 @@ def ppm_scores(docs: DataFrame, held_out, text: str = "text", key: str = "doc_id
     facts = vocabulary.where("n > 0").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.count("*").alias("kinds")).first()
     tokens, kinds = facts["tokens"], facts["kinds"]
     grams = written(tops.where("n > 0").mapInArrow(_suffixes(order), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")))
-    if grams.count() > most_grams:
-        scored = written(_joined(tops, grams))
-    else:
-        table = grams.toArrow()
-        model = context.broadcast(Trie(table.column("gram").to_numpy().view(np.uint64), table.column("n").to_numpy(), order))
-        scored = written(tops.mapInArrow(_scored(model), "top long, n long, log double"))
-        model.unpersist()
+    scored = written(_joined(tops, grams))
     dropped(tops, grams)
     base = F.log10((F.col("n") + F.lit(0.1)) / F.lit(tokens + 0.1 * (kinds + 1)))
     least = by_count(vocabulary.where("n > 0"), "n", most_words)
