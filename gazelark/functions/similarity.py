@@ -11,20 +11,36 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+#: Letters of b in one number.
+_BLOCK = 62
+
+
 def common_subsequence(a: Column, b: Column) -> Column:
-    """Length of the longest common subsequence: one pass over a, keeping a row of best lengths for each prefix of b."""
+    """Length of the longest common subsequence, bit-parallel: a zero in the row of bits for each letter of b that makes the best length grow.
+
+    Each letter of a adds the bits where b has it to the row, block by block with the carry, so a pair costs the product of both lengths.
+    """
+    full = (1 << _BLOCK) - 1
 
     def rows(letters: Column) -> Column:
-        zero = F.array_repeat(F.lit(0), F.size(letters) + 1)
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(letters) - 1) / _BLOCK).cast("int")), lambda w: F.slice(letters, w * _BLOCK + 1, F.lit(_BLOCK)))
 
         def step(row: Column, char: Column) -> Column:
-            return F.aggregate(
-                F.sequence(F.lit(1), F.size(letters)),
-                F.array(F.lit(0)),
-                lambda new, j: F.concat(new, F.array(F.greatest(F.element_at(row, j + 1), F.element_at(new, -1), F.element_at(row, j) + F.when(F.element_at(letters, j) == char, 1).otherwise(0)))),
-            )
-
-        return F.element_at(F.aggregate(F.split(a, ""), zero, step), -1)
+            def block(acc: Column, w: Column) -> Column:
+                bits = F.aggregate(F.transform(w["letters"], lambda x, i: F.when(x == char, F.expr("1L")).otherwise(F.expr("0L")) * F.pow(F.lit(2.0), i).cast("long")), F.expr("0L"), lambda s, x: s + x)
+                return _let(
+                    F.struct(w["row"].alias("v"), bits.alias("m")),
+                    lambda p: _let(
+                        F.struct((p["v"] + p["v"].bitwiseAND(p["m"]) + acc["carry"]).alias("s"), p["v"].bitwiseAND(F.bitwise_not(p["m"])).alias("kept")),
+                        lambda q: F.struct(F.shiftright(q["s"], _BLOCK).alias("carry"), F.concat(acc["out"], F.array(q["s"].bitwiseOR(q["kept"]).bitwiseAND(F.lit(full)))).alias("out")),
+                    ),
+                )
+
+            start = F.struct(F.expr("0L").alias("carry"), F.array().cast("array<bigint>").alias("out"))
+            return F.aggregate(F.transform(F.arrays_zip(row.alias("row"), blocks.alias("letters")), lambda z: F.struct(z["row"].alias("row"), z["letters"].alias("letters"))), start, block)["out"]
+
+        last = F.aggregate(F.split(a, ""), F.transform(blocks, lambda w: F.lit(full)), step)
+        return F.aggregate(last, F.lit(0), lambda n, v: n + _BLOCK - F.bit_count(v))
 
     return F.when((F.length(a) == 0) | (F.length(b) == 0), F.lit(0)).otherwise(_let(F.split(b, ""), rows))
 

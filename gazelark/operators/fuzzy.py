@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.similarity import token_set_ratio
 from ..functions.text import tokens
+from ..session import scratch
 from ..spec import EntitySpec
 from .fts import TextIndex
 
@@ -35,6 +36,7 @@ def rounds_of_rows(queries: DataFrame, df: DataFrame, index: TextIndex) -> DataF
     spec = index.spec
     words = _query_words(queries).where(F.size("parts") > 0)
     needed = words.groupBy("qid", "rounds").agg(F.count_distinct("no").alias("needed"))
+    # an index that is stored or cached is read; else each of these reads the table
     vocabulary = index.postings.select("token").distinct()
     # each known word under each of its beginnings, so that a prefix is an equal key
     beginnings = vocabulary.select("token", F.explode(F.transform(F.sequence(F.lit(1), F.length("token")), lambda n: F.substring(F.col("token"), F.lit(1), n))).alias("beginning"))
@@ -96,13 +98,28 @@ def search(queries: DataFrame, df: DataFrame, index: TextIndex, limit: int | Non
     spec: EntitySpec = index.spec
     weights = spec.weights if weights is None else weights
     order_fields = spec.order_fields if order_fields is None else order_fields
-    admitted = rounds_of_rows(queries, df, index)
-    pairs = admitted.join(queries, "qid").join(df, admitted["id"] == df[spec.key]).drop(*([] if spec.key == "id" else ["id"]))
-    if spec.key == "id":
-        pairs = admitted.join(queries, "qid").join(df, "id")
-    scored = pairs.withColumn("score", weighted_score(F.lower("query"), weights))
-    kept = scored.join(stop_rounds(scored.select("qid", "rounds", "round", "score")), "qid").where((F.col("score") >= MATCH) & (F.col("round") <= F.col("stop")))
-    order = Window.partitionBy("qid").orderBy(F.col("score").desc(), *[F.col(f).desc() for f in order_fields], "round", spec.key)
+    scored = _scored(queries, df, index, weights, order_fields)
+    kept = scored.join(stop_rounds(scored), "qid").where((F.col("score") >= MATCH) & (F.col("round") <= F.col("stop")))
+    order = Window.partitionBy("qid").orderBy(F.col("score").desc(), *[F.col(f"_by{i}").desc() for i in range(len(order_fields))], "round", "id")
     ranked = kept.withColumn("place", F.row_number().over(order))
     ranked = ranked.where(F.col("place") <= limit) if limit else ranked
-    return ranked.select("qid", "place", "score", "round", *df.columns)
+    found = ranked.select("qid", "place", "score", "round", F.col("id").alias("_id"))
+    return found.join(df, F.col("_id") == df[spec.key]).select("qid", "place", "score", "round", *[df[c] for c in df.columns])
+
+
+def _scored(queries: DataFrame, df: DataFrame, index: TextIndex, weights: dict[str, float], order_fields: tuple[str, ...]) -> DataFrame:
+    """(qid, id, rounds, round, score, the order fields) of all rows that come in, as a written table: rounds and results both read it.
+
+    Rows with equal values in the weighted fields are scored once for a query.
+    """
+    spark = df.sparkSession
+    named = df.select(F.col(index.spec.key).alias("id"), *[F.col(f).cast("string").alias(f"_f{i}") for i, f in enumerate(weights)], *[F.col(f).alias(f"_by{i}") for i, f in enumerate(order_fields)])
+    pairs = rounds_of_rows(queries, df, index).join(named, "id")
+    values = [f"_f{i}" for i in range(len(weights))]
+    texts = pairs.select("qid", F.struct(*values).alias("values")).distinct().join(queries, "qid").select("qid", "values", "query", "values.*")
+    score = weighted_score(F.lower("query"), dict(zip(values, weights.values(), strict=True)))
+    once = texts.select("qid", "values", score.alias("score"))
+    path = scratch(spark, "scored")
+    out = pairs.withColumn("values", F.struct(*values)).join(once, ["qid", "values"]).drop("values", *values)
+    out.write.parquet(path)
+    return spark.read.schema(out.schema).parquet(path)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import like, py_tokens
+from ..session import scratch
 from ..spec import EntitySpec
 
 
@@ -40,7 +41,9 @@ def with_ids(df: DataFrame, *order: str, key: str = "id") -> DataFrame:
     """Ids from 1 in the given order. One range exchange sorts the rows; a row's number is its partition's offset and its place."""
     ranged = df.repartitionByRange(*[F.col(c) for c in order]).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
     # the ranges come from a sample, so both uses below must see one and the same
-    ranged = ranged.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else ranged.persist()
+    spark, path = df.sparkSession, scratch(df.sparkSession, "ranged")
+    ranged.write.parquet(path)
+    ranged = spark.read.schema(ranged.schema).parquet(path)
     sizes = ranged.groupBy("_part").agg(F.count("*").alias("n"))
     before = sizes.withColumn("_before", F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
     place = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
@@ -75,6 +78,9 @@ def get_by_id_match(spec: EntitySpec, value) -> Column:
 
 def batch_get(keys: DataFrame, df: DataFrame, key: str, column: str) -> DataFrame:
     """One row a key that is there, the first by id where several match: an equi-join that Spark broadcasts only by size."""
+    first = df.groupBy(F.col(column).alias("_key")).agg(F.min("id").alias("_first")) if "id" in df.columns and column != "id" else None
+    if first is not None:
+        df = df.join(first, (F.col(column) == F.col("_key")) & (F.col("id") == F.col("_first"))).drop("_key", "_first")
     return keys.join(df, F.col(key) == F.col(column))
 
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.similarity import token_set_ratio
-from ..functions.text import ascii_name, comparable, decomposed, deduped, directions_differ, hash_id, is_latin, join_bar, match_threshold, split_bar, titled
+from ..functions.text import ascii_name, comparable, decomposed, deduped, directions_differ, hash_id, is_latin, join_bar, match_threshold, titled
 from ..operators.lookup import with_ids
+from ..sources import tables
 
 # The feature codes of populated places that count as cities.
 CITY_CODES = ("PPL", "PPLA", "PPLA2", "PPLA3", "PPLA4", "PPLA5", "PPLC", "PPLF", "PPLL", "PPLS", "STLMT")
@@ -75,7 +78,7 @@ def geonames_subdivisions(rows: DataFrame, countries: DataFrame) -> DataFrame:
     known = countries.select(F.col("alpha2"), F.col("alpha3"), F.col("name").alias("country_name"))
     joined = parsed_codes(rows).join(known, "alpha2")
     aliases = F.when((F.col("ascii") != F.col("name")) & (F.col("ascii") != ""), F.array("ascii")).otherwise(F.array().cast("array<string>"))
-    return _hashed(joined.select("name", "alpha2", "alpha3", "country_name", "admin_level", F.col("code").alias("geonames_code"), F.lit("").alias("iso_code"), F.lit("").alias("type"), aliases.alias("alt_names"), "parent_code"))
+    return _hashed(joined.select("name", "alpha2", "alpha3", "country_name", "admin_level", F.col("code").alias("geonames_code"), F.lit("").alias("iso_code"), F.lit("").alias("type"), aliases.alias("alt_names"), "parent_code", *(["seq"] if "seq" in rows.columns else [])))
 
 
 def _hashed(df: DataFrame) -> DataFrame:
@@ -102,39 +105,43 @@ def iso_subdivisions(rows: DataFrame, countries: DataFrame) -> DataFrame:
     return _hashed(out)
 
 
-def first_match(iso: DataFrame, geo: DataFrame) -> DataFrame:
-    """(iso_code, id): for each ISO subdivision the first one by id of its country and level with a name that matches one of its own.
+def first_match(iso: DataFrame, geo: DataFrame, order: str = "id") -> DataFrame:
+    """(iso_code, id): for each ISO subdivision the first one by order of its country and level with a name that matches one of its own.
 
     The block join is by (country, level). Matches see the GeoNames rows as they were; see resolved() for the sequential order.
     """
     names = lambda: F.array_distinct(F.concat(F.array("name"), "alt_names"))
     left = iso.select("iso_code", "alpha2", "admin_level", F.explode(names()).alias("n")).select("iso_code", "alpha2", "admin_level", comparable("n").alias("a")).distinct()
-    right = geo.select("id", "alpha2", "admin_level", F.explode(names()).alias("n")).select("id", "alpha2", "admin_level", comparable("n").alias("b")).distinct()
+    right = geo.select("id", F.col(order).alias("order"), "alpha2", "admin_level", F.explode(names()).alias("n")).select("id", "order", "alpha2", "admin_level", comparable("n").alias("b")).distinct()
     pairs = left.join(right, ["alpha2", "admin_level"])
     good = pairs.where((token_set_ratio(F.col("a"), F.col("b")) >= match_threshold("a", "b")) & ~directions_differ("a", "b"))
-    return good.groupBy("iso_code").agg(F.min("id").alias("id"))
+    return good.groupBy("iso_code").agg(F.min_by("id", "order").alias("id"))
 
 
-def resolved(iso: DataFrame, geo: DataFrame, seq: str = "iso_code") -> DataFrame:
+def resolved(iso: DataFrame, geo: DataFrame, seq: str = "iso_code", order: str = "id") -> DataFrame:
     """Entity resolution in order: (iso_code, id of the row it merged with, or null), one group of country and level at a time.
 
-    A merge adds the ISO row's names to the GeoNames row, and later ISO rows see them, so a group is walked in the order of seq.
-    Its size is bounded by the subdivisions of one level of one country.
+    A merge adds the ISO row's names to the GeoNames row, and later ISO rows see them, so a group is walked: ISO rows in the order of
+    seq, each against GeoNames rows in theirs, which for a file is its lines'. A group's size is bounded by the subdivisions of one level
+    of one country.
     """
-    each = lambda df, side, order: df.select("alpha2", "admin_level", F.lit(side).alias("side"), F.col(order).cast("string").alias("order"), F.col("id").cast("string").alias("id"), "iso_code", F.concat(F.array("name"), "alt_names").alias("names"))
-    both = each(iso, "iso", seq).unionByName(each(geo, "geo", "id"))
-    # the names as they are compared, worked out in Spark; a row's list stays in order
-    flat = both.select("alpha2", "admin_level", "side", "order", "id", "iso_code", F.posexplode("names").alias("at", "n")).withColumn("n", comparable("n"))
-    ready = flat.groupBy("alpha2", "admin_level", "side", "order", "id", "iso_code").agg(F.array_sort(F.collect_list(F.struct("at", "n")))["n"].alias("names"))
+
+    def each(df: DataFrame, side: str, by: str) -> DataFrame:
+        place = F.row_number().over(Window.partitionBy("alpha2", "admin_level").orderBy(by))
+        return df.select("alpha2", "admin_level", F.lit(side).alias("side"), place.alias("place"), F.col("id").cast("string").alias("id"), "iso_code", F.concat(F.array("name"), "alt_names").alias("names"))
+
+    both = each(iso, "iso", seq).unionByName(each(geo, "geo", order))
+    # the names as they are compared, worked out in Spark
+    ready = both.withColumn("names", F.transform("names", comparable))
     return ready.groupBy("alpha2", "admin_level").applyInPandas(_walk, "iso_code string, id string")
 
 
 def _walk(group):
     import pandas as pd
 
-    geo = [(r.id, list(r.names)) for r in group[group.side == "geo"].sort_values("order").itertuples()]
+    geo = [(r.id, list(r.names)) for r in group[group.side == "geo"].sort_values("place").itertuples()]
     out = []
-    for r in group[group.side == "iso"].sort_values("order").itertuples():
+    for r in group[group.side == "iso"].sort_values("place").itertuples():
         hit = next((g for g in geo if any(_same(a, b) for a in r.names for b in g[1])), None)
         if hit:
             hit[1].extend(n for n in r.names if n not in hit[1])
@@ -221,10 +228,43 @@ def cities(raw: DataFrame, countries: DataFrame, subdivisions: DataFrame) -> Dat
     return out.select(F.col("geonameid").alias("geonames_id"), "name", F.array_join(city_aliases(F.col("name"), F.col("alternatenames"), F.col("asciiname")), "|").alias("alt_names"), "admin1", "admin2", "country", F.col("population").cast("bigint").alias("population"), F.col("latitude").cast("double").alias("lat"), F.col("longitude").cast("double").alias("lng"))
 
 
-def latest(df: DataFrame, key: str, order: str) -> DataFrame:
-    """The last row of each key."""
-    return df.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(F.col(order).desc()))).where("_n = 1").drop("_n")
+@dataclass
+class Sources:
+    """What the entity tables are built from, as the readers give it; seq columns count lines."""
 
+    iso: DataFrame  # ISO 3166-1: alpha_2, alpha_3, numeric, name, common_name, official_name, flag
+    wikidata: DataFrame  # name, alpha2, alpha3, aliases
+    codes: DataFrame  # GeoNames countries: alpha2, alpha3, name
+    admin: DataFrame  # GeoNames admin1 and admin2: code, name, ascii, seq
+    iso_subdivisions: DataFrame  # ISO 3166-2: country_code, iso_code, name, localVariant, category, parent_iso_code, seq
+    overlay: DataFrame  # iso_code, id, names, added
+    cities: DataFrame  # a GeoNames dump
+    names: dict[str, str] = field(default_factory=dict)
+    official: dict[str, str] = field(default_factory=dict)
+    aliases: dict[str, list[str]] = field(default_factory=dict)
 
-def alias_lists(df: DataFrame, column: str = "alt_names") -> DataFrame:
-    return df.withColumn(column, split_bar(column))
+
+def ingest(sources: Sources, path: str) -> dict[str, DataFrame]:
+    """Build countries, subdivisions and cities, each replaced as a whole under path; returns them by name.
+
+    A step reads what the one before has written, so an error leaves the tables after it as they were.
+    """
+    spark = sources.iso.sparkSession
+
+    def put(name: str, df: DataFrame) -> DataFrame:
+        tables.replace_atomically(df, f"{path}/{name}")
+        return spark.read.parquet(f"{path}/{name}")
+
+    merged_countries = merge_codes(merge_aliases(seed_countries(sources.iso, sources.names, sources.official, sources.aliases), sources.wikidata), sources.codes)
+    countries = put("countries", with_ids(dumped_countries(merged_countries), "alpha2"))
+    geo = put("work/geonames", geonames_subdivisions(sources.admin, countries))
+    iso = put("work/iso", iso_subdivisions(sources.iso_subdivisions, countries))
+    matches = put("work/matches", resolved(iso, geo, order="seq"))
+    added, manual = with_overlay(iso.join(matches.where("id IS NULL").select("iso_code"), "iso_code"), sources.overlay)
+    every = matches.where("id IS NOT NULL").unionByName(manual.withColumn("id", F.col("id").cast("string")))
+    whole = merged(iso, geo, every).drop("seq").unionByName(added.select(*[c for c in geo.columns if c != "seq"]))
+    subdivisions = put("subdivisions", final_subdivisions(whole))
+    by_code = countries.select(F.col("alpha2").alias("key"), join_bar("name", "alpha2", "alpha3").alias("value"))
+    by_geonames = subdivisions.where("geonames_code <> ''").select(F.col("geonames_code").alias("key"), join_bar("name", "geonames_code", "iso_code").alias("value"))
+    built = cities(sources.cities, by_code, by_geonames)
+    return {"countries": countries, "subdivisions": subdivisions, "cities": put("cities", with_ids(built.withColumn("_n", F.col("geonames_id").cast("bigint")), "_n").drop("_n"))}

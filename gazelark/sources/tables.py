@@ -49,7 +49,15 @@ def write_tsv(df: DataFrame, path: str, columns: tuple[str, ...]) -> None:
 
 
 def write_json(df: DataFrame, path: str) -> None:
-    df.coalesce(1).write.mode("overwrite").json(path, ignoreNullFields=False)
+    """Rows as lines of JSON, with nulls."""
+    df.write.mode("overwrite").json(path, ignoreNullFields=False)
+
+
+def write_json_object(df: DataFrame, path: str, key: str) -> None:
+    """One indented JSON object of a small table: each row's other columns by its key, in order. A key that repeats is an error."""
+    entry = F.struct(F.col(key).cast("string").alias("key"), F.struct(*[c for c in df.columns if c != key]).alias("value"))
+    whole = df.agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(entry))), {"pretty": "true", "ignoreNullFields": "false"}).alias("value"))
+    whole.write.mode("overwrite").text(path)
 
 
 def upserted(store: DataFrame, changes: DataFrame, key: str = "key", order: str = "seq") -> DataFrame:
