@@ -6,8 +6,9 @@ templates are then held against the block word by word, and the one with fewest
 and none is a number or a word that tells licences apart. So compression ranks and exact wording decides. The winner's stretch is cut
 out and what is left on both sides is judged again, until nothing more is confirmed.
 
-Cases: null and empty texts, and texts without cues, have no blocks; long texts are scanned once and only their candidate blocks
-are compressed; repeated rows are scanned each; an empty table gives an empty result; other columns are ignored.
+Cases: null and empty texts, and texts without cues, have no blocks; very long texts are scanned once and only their candidate blocks
+are compressed; of templates with as few differences the one that makes the block smallest wins, then the first; repeated rows and null keys are
+scanned each; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from difflib import SequenceMatcher
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ._shared import small_batches
+
 MAX_DIFFERENT = 0.15
 
 # The wording of common licence notices and grants.
@@ -206,6 +209,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, list[str]] | None = None
     n_blocks candidates, n_licenses confirmed ones; spans lists licence:start:end in code points; differences has a `-` before words
     that a block lacks and a `+` before those that it has instead; reduction is the largest share of size saved.
     """
+    small_batches(docs.sparkSession)
     schema = "doc_id long, n_blocks long, n_licenses long, licenses string, spans string, n_differences long, differences string, reduction double"
     out = docs.select(docs[key].cast("long").alias("doc_id"), docs[text].alias("text")).mapInArrow(_scan(templates or TEMPLATES), schema)
     return out.withColumnRenamed("doc_id", key)

@@ -155,3 +155,38 @@ def test_pipeline_stages_do_what_the_operators_say(spark, tmp_path):
     for r in packed:
         sizes[r["sequence_id"]] += r["length"]
     assert all(n == packing.WINDOW or n & (n - 1) == 0 for n in sizes.values()) and {r["doc_id"] for r in packed} <= firsts
+
+
+def test_quality_of_repeated_keys_null_keys_and_very_long_texts(spark):
+    long = " ".join(f"w{i}" for i in range(200_000))
+    rows = [(None, "a b c", "s"), (None, "a b c", "s"), (7, long, None), (7, "x " * 60, "s"), (7, None, "s")]
+    got = sorted((r["doc_id"] or 0, r["n_words"], r["n_repeat_words"], r["base_failed"]) for r in quality.quality(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect())
+    assert got == [(0, 3, 0, True), (0, 3, 0, True), (7, 0, 0, True), (7, 60, 60, True), (7, 200_000, 0, False)]
+
+
+CLASHING = "doc_id long, text string, lang string, source string, n_chars long, row string, word string, part string, host string, _row string, size string"
+
+
+def odd(n=30):
+    good = lambda k: " ".join(f"t{k}w{i}" for i in range(30))
+    rest = ("r", None, "p", "h", "_", "s")
+    rows = [(None, good(0), "en", "a", 1, *rest), (None, good(0), "en", "a", 1, *rest), (5, good(1), "en", "a", 1, *rest), (5, good(1), "en", "a", 1, *rest), (5, good(2), "en", None, 1, *rest), (6, good(2), "en", "b", 1, *rest), (7, None, None, None, None, *rest), (8, "", "en", "a", 0, *rest)]
+    return rows + [(10 + i, good(10 + i), "en", "ab"[i % 2], 1, *rest) for i in range(n)]
+
+
+def test_pipeline_stages_on_odd_rows_clashing_columns_and_no_rows(spark):
+    docs = spark.createDataFrame(odd(), CLASHING)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, "").columns == docs.columns
+        none = stage(spark, docs.limit(0), "")
+        assert none.collect() == [] and none.columns == docs.columns
+    assert corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), "").collect() == []
+    kept = corpus_pipeline.quality_stage(spark, docs, "")
+    assert Counter(r["doc_id"] for r in kept.collect()) == Counter([None, None, 5, 5, 5, 6, *range(10, 40)])
+    unique = Counter((r["doc_id"], r["text"][:3]) for r in corpus_pipeline.near_duplicate_stage(spark, kept, "").collect())
+    # rows without an id stay; of one document the two texts stay, each once; 6 is a copy of a part of 5
+    assert unique == Counter([(None, "t0w"), (None, "t0w"), (5, "t1w"), (5, "t2w"), *[(i, f"t{i}") for i in range(10, 40)]])
+    taken = corpus_pipeline.mixing_stage(spark, kept, "")
+    assert {r["text"] for r in taken.collect()} <= {r["text"] for r in kept.collect()}
+    packed = corpus_pipeline.packing_stage(spark, kept, "").collect()
+    assert Counter(r["doc_id"] for r in packed if r["start"] == 0) == Counter(r["doc_id"] for r in kept.collect())
