@@ -1,5 +1,6 @@
 """Readers, writers, key-value stores and the building of entity tables."""
 
+import decimal
 import json
 
 import pytest
@@ -141,3 +142,47 @@ def test_tables(spark):
     with pytest.raises(ValueError):
         tables.insert(spark.createDataFrame([("x", 1)], "a string, c int"), "gz_t")
     tables.drop(spark, "gz_t")
+
+
+def test_json_object(spark, tmp_path):
+    df = spark.createDataFrame([(2, "b", None), (1, "a", [1, 2])], "id int, name string, n array<int>")
+    tables.write_json_object(df, str(tmp_path / "o"), "id")
+    (part,) = (tmp_path / "o").glob("part-*")
+    text = part.read_text()
+    assert json.loads(text) == {"1": {"name": "a", "n": [1, 2]}, "2": {"name": "b", "n": None}} and "\n" in text.strip()
+    with pytest.raises(Exception):
+        tables.write_json_object(df.unionByName(df), str(tmp_path / "p"), "id")
+
+
+def brute_resolution(iso, geo):
+    """(iso code, id) in order, names growing as rows merge; by difflib-free plain Python."""
+    geo = [(key, list(names)) for key, names in geo]
+    out = {}
+    for code, names in iso:
+        out[code] = None
+        for key, own in geo:
+            if any(etl._same(a, b) for a in names for b in own):
+                out[code] = str(key)
+                own += [n for n in names if n not in own]
+                break
+    return out
+
+
+def test_entity_resolution_walks_in_file_order(spark):
+    import random
+
+    rng = random.Random(3)
+    words = ["alpha", "beta", "gamma", "delta", "north", "river", "lake"]
+    name = lambda: " ".join(rng.choice(words) for _ in range(rng.randint(1, 3))) + rng.choice(["", "s", "x"])
+    # ids as numbers, as text and by line give three different orders
+    ids = rng.sample([*range(1, 12), *range(95, 120), *range(1000, 1010)], 40)
+    geo = [(decimal.Decimal(i), name(), ["g" + name()], k) for k, i in enumerate(ids)]
+    iso = [(f"X-{k:02}", name(), [name()]) for k in range(40)]
+    shape = "alpha2 string, admin_level int, iso_code string, alt_names array<string>"
+    g = spark.createDataFrame([(i, n, k, "XX", 1, "", a) for i, n, a, k in geo], "id decimal(20,0), name string, seq int, " + shape)
+    i = spark.createDataFrame([(decimal.Decimal(0), n, "XX", 1, c, a) for c, n, a in iso], "id decimal(20,0), name string, " + shape)
+    got = {r["iso_code"]: r["id"] for r in etl.resolved(i, g, order="seq").collect()}
+    want = brute_resolution([(c, [n, *a]) for c, n, a in iso], [(i, [n, *a]) for i, n, a, _ in geo])
+    assert got == want and sum(v is not None for v in want.values()) > 10
+    first = {r["iso_code"]: str(r["id"]) for r in etl.first_match(i, g, "seq").collect()}
+    assert first[iso[0][0]] == want[iso[0][0]] if want[iso[0][0]] else iso[0][0] not in first

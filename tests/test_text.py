@@ -89,3 +89,41 @@ def test_match_threshold(spark, a, b, want):
 def test_directions(spark):
     assert one(spark, text.directions_differ("a", "b"), a="North X", b="x south") is True
     assert one(spark, text.directions_differ("a", "b"), a="North X", b="x north") is False
+
+
+def test_common_subsequence_of_long_texts(spark):
+    import random
+
+    from gazelark.functions import similarity
+
+    rng = random.Random(1)
+
+    def plain(a, b):
+        row = [0] * (len(b) + 1)
+        for c in a:
+            before = 0
+            for j, d in enumerate(b):
+                before, row[j + 1] = row[j + 1], max(row[j + 1], row[j], before + (c == d))
+        return row[-1]
+
+    made = lambda sizes: "".join(rng.choice("abcé ") for _ in range(rng.choice(sizes)))
+    pairs = [(made([0, 1, 5, 61, 62, 63, 130]), made([0, 1, 5, 61, 62, 63, 124, 125, 130])) for _ in range(60)]
+    rows = spark.createDataFrame(pairs, "a string, b string").select("a", "b", similarity.common_subsequence(F.col("a"), F.col("b")).alias("n")).collect()
+    assert [r["n"] for r in rows] == [plain(a, b) for a, b in pairs]
+
+
+def test_latin_letters_of_very_long_texts(spark):
+    rows = [("é" * 300_000, True), ("a b-c'd’e " * 20_000, True), ("a" * 300_000 + "ж", False), ("", True), ("ª", False), ("a1", False)]
+    got = spark.createDataFrame(rows, "t string, want boolean").select(text.is_latin("t").alias("got"), "want").collect()
+    assert all(r["got"] == r["want"] for r in got)
+
+
+def test_typos_change_as_much_as_they_say(spark):
+    from gazelark.functions import typos
+
+    rows = [(i, "the quick brown fox jumps"[: 3 + i]) for i in range(20)]
+    df = spark.createDataFrame(rows, "i int, t string")
+    one = [(r["t"], r["x"]) for r in df.select("t", typos.with_typos(F.col("t"), F.col("i")).alias("x")).collect()]
+    assert one == [(r["t"], r["x"]) for r in df.repartition(3).orderBy("i").select("t", typos.with_typos(F.col("t"), F.col("i")).alias("x")).collect()]
+    assert all(t[0] == x[0] and abs(len(t) - len(x)) <= max(1, int(len(t) * 0.075)) for t, x in one)
+    assert one[0][0] == one[0][1] and sum(t != x for t, x in one[1:]) >= 15
