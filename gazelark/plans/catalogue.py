@@ -200,43 +200,57 @@ def _ranked(df: DataFrame) -> DataFrame:
     return df.select("id", F.round("rank", 6).alias("rank"))
 
 
+#: Where indexes of this application lie, by table and files.
+_INDEXES: dict[tuple, str] = {}
+
+
+def stored_index(spark: SparkSession, df: DataFrame, spec: EntitySpec) -> fts.TextIndex:
+    """The table's index, sorted by token: written by the first query that needs it, read by all; a lookup reads its tokens' row groups."""
+    kind = (spark.sparkContext.applicationId, spec.name, tuple(sorted(df.inputFiles())))
+    if kind not in _INDEXES or not tables.exists(spark, f"{_INDEXES[kind]}/sizes"):
+        path = scratch(spark, "index")
+        fts.TextIndex.build(df, spec).write(path)
+        _INDEXES[kind] = path
+    return fts.TextIndex.read(spark, _INDEXES[kind], spec)
+
+
 _PF = ["name", "brand", "type"]
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = parts(spark, sf_dir)
-    return fts.filtered(df, fts.TextIndex.build(df, PARTS), limit=20, name="small")
+    return fts.filtered(df, stored_index(spark, df, PARTS), limit=20, name="small")
 
 
 @_query(f"SELECT * FROM {_bm25_sql(_PARTS, _PF, [(None, ['small'], False), (None, ['brand'], False)])}")
 def fts_all_columns(spark, d):
-    return _ranked(fts.fts_match(fts.TextIndex.build(parts(spark, d), PARTS), "SMALL brand"))
+    return _ranked(fts.fts_match(stored_index(spark, parts(spark, d), PARTS), "SMALL brand"))
 
 
 @_query(f"SELECT * FROM {_bm25_sql(_PARTS, _PF, [('type', ['small'], False)])}")
 def fts_one_column(spark, d):
-    return _ranked(fts.fts_match(fts.TextIndex.build(parts(spark, d), PARTS), fields={"type": "small"}))
+    return _ranked(fts.fts_match(stored_index(spark, parts(spark, d), PARTS), fields={"type": "small"}))
 
 
 @_query(f"SELECT * FROM {_bm25_sql(_PARTS, _PF, [('name', ['small'], False), ('name', ['gear'], False), ('type', ['small'], False)])}")
 def fts_multi_column(spark, d):
-    return _ranked(fts.fts_match(fts.TextIndex.build(parts(spark, d), PARTS), "ignored", {"name": "gear small", "type": "SMALL"}))
+    return _ranked(fts.fts_match(stored_index(spark, parts(spark, d), PARTS), "ignored", {"name": "gear small", "type": "SMALL"}))
 
 
 @_query(f"SELECT * FROM {_bm25_sql(_PARTS, _PF, [(None, ['sm'], True), (None, ['g'], True)])}")
 def fts_prefix(spark, d):
-    return _ranked(fts.fts_match(fts.TextIndex.build(parts(spark, d), PARTS), "sm g", exact=False))
+    return _ranked(fts.fts_match(stored_index(spark, parts(spark, d), PARTS), "sm g", exact=False))
 
 
 @_query(f"SELECT * FROM {_bm25_sql(_PARTS, _PF, [(None, ['brand', '4'], False), (None, ['economy'], False)])}")
 def fts_phrase(spark, d):
-    return _ranked(fts.fts_match(fts.TextIndex.build(parts(spark, d), PARTS), "Brand#4 economy"))
+    return _ranked(fts.fts_match(stored_index(spark, parts(spark, d), PARTS), "Brand#4 economy"))
 
 
 @_query(f"SELECT id, rank FROM {_bm25_sql(_ITEMS, ['name'], [(None, ['that'], False), (None, ['the'], False)])} ORDER BY rank, id LIMIT 15")
 def fts_bm25_topk(spark, d):
     df = items(spark, d)
-    return _ranked(fts.filtered(df, fts.TextIndex.build(df, ITEMS), "that the", limit=15))
+    return _ranked(fts.filtered(df, stored_index(spark, df, ITEMS), "that the", limit=15))
 
 
 _DOCS = "(SELECT doc_id AS id, text AS name FROM documents)"
@@ -251,31 +265,31 @@ def fts_documents_folded(spark, d):
 @_query(f"SELECT p.id, p.name, p.size FROM {_PARTS} p WHERE list_contains(string_split(name, ' '), 'small') ORDER BY size, id LIMIT 12")
 def fts_order_by(spark, d):
     df = parts(spark, d)
-    return fts.filtered(df, fts.TextIndex.build(df, PARTS), order_by=("size",), limit=12, name="small").select("id", "name", "size")
+    return fts.filtered(df, stored_index(spark, df, PARTS), order_by=("size",), limit=12, name="small").select("id", "name", "size")
 
 
 @_query(f"SELECT id, rank FROM {_bm25_sql(_PARTS, _PF, [(None, ['ring'], False)])} ORDER BY rank, id LIMIT 7 OFFSET 5")
 def fts_limit_offset(spark, d):
     df = parts(spark, d)
-    return _ranked(fts.filtered(df, fts.TextIndex.build(df, PARTS), "ring", limit=7, offset=5))
+    return _ranked(fts.filtered(df, stored_index(spark, df, PARTS), "ring", limit=7, offset=5))
 
 
 @_query(f"SELECT *, 0.0::DOUBLE AS rank FROM {_PARTS} WHERE false")
 def filter_unknown_kwarg(spark, d):
     df = parts(spark, d)
-    return fts.filtered(df, fts.TextIndex.build(df, PARTS), colour="red")
+    return fts.filtered(df, stored_index(spark, df, PARTS), colour="red")
 
 
 @_query(f"SELECT *, 0.0::DOUBLE AS rank FROM {_PARTS} WHERE false")
 def filter_falsy(spark, d):
     df = parts(spark, d)
-    return fts.filtered(df, fts.TextIndex.build(df, PARTS), "")
+    return fts.filtered(df, stored_index(spark, df, PARTS), "")
 
 
 @_query(f"SELECT id, name FROM {_PARTS} WHERE false")
 def filter_punctuation(spark, d):
     df = parts(spark, d)
-    return fts.filtered(df, fts.TextIndex.build(df, PARTS), "!@#$%").select("id", "name")
+    return fts.filtered(df, stored_index(spark, df, PARTS), "!@#$%").select("id", "name")
 
 
 # --- hierarchy
@@ -494,13 +508,6 @@ def _search_sql(queries: tuple[str, ...], limit: int) -> str:
   SELECT qid::INT AS qid, place::INT AS place, round(score, 6) AS score, round::INT AS round, id, name FROM placed WHERE place <= {limit}"""
 
 
-def stored_index(spark: SparkSession, df: DataFrame, spec: EntitySpec) -> fts.TextIndex:
-    """The table's index, written once, sorted by token; lookups read their tokens' row groups."""
-    path = scratch(spark, "index")
-    fts.TextIndex.build(df, spec).write(path)
-    return fts.TextIndex.read(spark, path, spec)
-
-
 def _searched(spark, d, queries: tuple[str, ...], limit: int) -> DataFrame:
     df = named_parts(spark, d)
     asked = spark.createDataFrame(list(enumerate(queries)), "qid int, query string")

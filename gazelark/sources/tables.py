@@ -28,6 +28,11 @@ def insert(df: DataFrame, name: str) -> None:
     df.write.mode("append").saveAsTable(name)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
 def replace_atomically(df: DataFrame, path: str) -> None:
     """Write beside the table and swap when all is there; an error leaves the old table."""
     spark = df.sparkSession
