@@ -27,6 +27,8 @@ BUCKETS, MOST_LANGUAGES = 1 << 15, 256
 TEMPER = 0.7
 #: Steps of expectation-maximisation end when no proportion moves by more than this, or after so many.
 STILL, MOST_STEPS = 1e-3, 100
+#: What the likelihood may still gain when they end, at most.
+SLACK = 0.1
 
 
 def _trigrams(raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -84,11 +86,11 @@ class Model:
         times = np.ones(len(row)) if times is None else times.astype(float)
         count = np.bincount(row, weights=times, minlength=n)
         like = np.exp(logs - logs.max(axis=1, keepdims=True))
-        full, _ = self._em(like, row, times, np.ones((n, k), bool))
+        full, bound = self._em(like, row, times, np.ones((n, k), bool))
+        bound += SLACK  # no set's likelihood is above that of all languages
         ranked = np.argsort(-full, axis=1, kind="stable")
         best, share = np.full(n, -np.inf), np.zeros((n, k))
         open_ = np.arange(n)
-        bound = np.zeros(n)  # no mixture's likelihood is above that of each word's best language, which is 0 here
         for size in range(1, k + 1):
             chosen = np.zeros((len(open_), k), bool)
             np.put_along_axis(chosen, ranked[open_, :size], True, axis=1)
