@@ -192,6 +192,16 @@ def table_replace(spark, d):
     return spark.read.schema(good.schema).parquet(path)
 
 
+@_query("SELECT s_suppkey AS id, s_name AS name FROM supplier")
+def table_relocate(spark, d):
+    """A stored table moved to another place and read there."""
+    path = scratch(spark, "here")
+    rows = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))
+    rows.write.parquet(path)
+    tables.relocate(spark, path, f"{path}-moved/there")
+    return spark.read.schema(rows.schema).parquet(f"{path}-moved/there")
+
+
 @_query("SELECT event_type || ':' || user_id AS key, CASE WHEN count(*) % 2 = 1 THEN '0' ELSE '2' END AS value FROM events GROUP BY ALL")
 def store_flags_reset(spark, d):
     flags = table(spark, d, "events").groupBy(F.concat_ws(":", "event_type", "user_id").alias("key")).agg(F.when(F.count("*") % 2 == 1, "1").otherwise("2").alias("value"))

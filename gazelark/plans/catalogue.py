@@ -550,9 +550,8 @@ def etl_dense_ids(spark, d):
 def etl_upsert_meta(spark, d):
     """The earlier half of the events is in the store, the later half changes it: the last one of a key wins."""
     events = table(spark, d, "events").select(F.concat_ws(":", "event_type", "user_id").alias("key"), F.col("props").alias("value"), F.col("event_id").alias("seq"))
-    middle = events.agg(F.avg("seq").alias("middle"))
-    split = events.join(F.broadcast(middle))  # one row
-    store, changes = split.where("seq < middle").drop("middle"), split.where("seq >= middle").drop("middle")
+    middle = F.lit(events.agg(F.avg("seq").alias("middle")).first()["middle"])
+    store, changes = events.where(F.col("seq") < middle), events.where(F.col("seq") >= middle)
     return tables.upserted(tables.upserted(store.limit(0), store), changes).select("key", "value")
 
 

@@ -48,6 +48,18 @@ def replace_atomically(df: DataFrame, path: str) -> None:
     fs.delete(old, True)
 
 
+def relocate(spark: SparkSession, path: str, to: str) -> None:
+    """Move a stored table. What is at the new place already is refused; between stores the files are copied and then removed."""
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    old, new = hadoop.Path(path), hadoop.Path(to)
+    if exists(spark, to):
+        raise FileExistsError(to)
+    from_store, to_store = old.getFileSystem(conf), new.getFileSystem(conf)
+    to_store.mkdirs(new.getParent())
+    if not hadoop.FileUtil.copy(from_store, old, to_store, new, True, conf):
+        raise OSError(f"{path} wasn't moved to {to}")
+
+
 def write_tsv(df: DataFrame, path: str, columns: tuple[str, ...]) -> None:
     """One tab-separated file with a header, columns in the given order."""
     df.select(*columns).coalesce(1).write.mode("overwrite").option("sep", "\t").option("header", True).option("escape", '"').option("emptyValue", "").csv(path)

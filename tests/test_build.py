@@ -186,3 +186,21 @@ def test_entity_resolution_walks_in_file_order(spark):
     assert got == want and sum(v is not None for v in want.values()) > 10
     first = {r["iso_code"]: str(r["id"]) for r in etl.first_match(i, g, "seq").collect()}
     assert first[iso[0][0]] == want[iso[0][0]] if want[iso[0][0]] else iso[0][0] not in first
+
+
+def test_relocate(spark, tmp_path):
+    spark.range(3).write.parquet(str(tmp_path / "a"))
+    tables.relocate(spark, str(tmp_path / "a"), str(tmp_path / "deep" / "b"))
+    assert spark.read.parquet(str(tmp_path / "deep" / "b")).count() == 3 and not tables.exists(spark, str(tmp_path / "a"))
+    spark.range(1).write.parquet(str(tmp_path / "c"))
+    with pytest.raises(FileExistsError):
+        tables.relocate(spark, str(tmp_path / "c"), str(tmp_path / "deep" / "b"))
+    assert spark.read.parquet(str(tmp_path / "c")).count() == 1
+
+
+def test_batch_get_gives_the_first_of_several(spark):
+    from gazelark.operators import lookup
+
+    df = spark.createDataFrame([(3, "a"), (1, "a"), (2, "b")], "id int, k string")
+    keys = spark.createDataFrame([("a",), ("b",), ("c",), ("a",)], "want string")
+    assert sorted((r["want"], r["id"]) for r in lookup.batch_get(keys, df, "want", "k").collect()) == [("a", 1), ("a", 1), ("b", 2)]
