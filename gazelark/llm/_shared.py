@@ -243,25 +243,33 @@ class Table:
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component) for every node of an edge: the least node that it reaches.
 
-    Labels fall to the least label among the neighbours and then to their own label's label, until none changes;
-    each round is a written table, so its lineage stays short and an executor's loss costs one round.
+    In each round a node goes over to its neighbour of least rank, if that is below its own, and edges go with it; equal ones and those within
+    a node fall away. Ranks are drawn anew for each round, so about half of the nodes go, and a chain in any order takes as many rounds as its
+    length has binary digits. Each round is a written table, so its lineage stays short and an executor's loss costs one round.
     """
-    both = written(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).unionByName(edges.select(F.col(b).alias("u"), F.col(a).alias("v"))).where("u != v").distinct())
-    labels = written(both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("low")).select("node", F.least("node", "low").alias("label")))
-    while True:
-        seen = both.join(labels.select(F.col("node").alias("v"), "label"), "v").groupBy(F.col("u").alias("node")).agg(F.min("label").alias("near"))
-        lower = labels.join(seen, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("beyond"))
-        fresh = written(lower.join(jump, "label", "left").select("node", "old", F.least("label", F.coalesce("beyond", "label")).alias("label")))
-        moved = fresh.where("label != old").limit(1).count()
-        dropped(labels)
-        labels = fresh.select("node", "label")
-        labels._gazelark_path = fresh._gazelark_path
-        if not moved:
-            dropped(both)
-            out = labels.withColumnRenamed("label", "component")
-            out._gazelark_path = labels._gazelark_path
-            return out
+    ordered = lambda df, x, y: df.select(F.least(x, y).alias("u"), F.greatest(x, y).alias("v")).where("u != v").distinct()
+    live = written(ordered(edges, F.col(a), F.col(b)))
+    labels, turn = None, 0
+    while not live.isEmpty():
+        rank = lambda c, turn=turn: F.xxhash64(F.lit(turn), c)
+        both = live.unionByName(live.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        near = both.groupBy("u").agg(F.min_by("v", rank("v")).alias("near"))
+        moves = written(near.select(F.col("u").alias("node"), F.when(rank("near") < rank("u"), F.col("near")).otherwise(F.col("u")).alias("to")))
+        if labels is None:
+            fresh = written(moves.select("node", F.col("to").alias("label")))
+        else:
+            fresh = written(labels.join(moves.withColumnRenamed("node", "label"), "label", "left").select("node", F.coalesce("to", "label").alias("label")))
+            dropped(labels)
+        side = lambda c: moves.select(F.col("node").alias(c), F.col("to").alias(f"to_{c}"))
+        after = written(ordered(live.join(side("u"), "u").join(side("v"), "v"), F.col("to_u"), F.col("to_v")))
+        dropped(live, moves)
+        live, labels, turn = after, fresh, turn + 1
+    if labels is None:
+        return live.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    least = labels.groupBy("label").agg(F.min("node").alias("component"))
+    out = written(labels.join(least, "label").select("node", "component"))
+    dropped(labels, live)
+    return out
 
 
 def fold(key: str | Column, modulus: int) -> Column:
