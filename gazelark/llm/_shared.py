@@ -39,7 +39,8 @@ def _run_folder(spark: SparkSession) -> str:
 
 def small_batches(spark: SparkSession) -> None:
     """Bound what a Python worker holds at once, from here on in this session."""
-    if int(spark.conf.get(_BATCH, str(1 << 30)).rstrip("bB")) > BATCH_BYTES:
+    now = spark.conf.get(_BATCH, None)
+    if now is None or spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(now) > BATCH_BYTES:
         spark.conf.set(_BATCH, str(BATCH_BYTES))
 
 

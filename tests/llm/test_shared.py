@@ -57,3 +57,18 @@ def test_written_tables_go_and_a_cluster_needs_a_shared_folder(spark):
     assert df.count() == 5 and path.startswith(_shared.shared_folder(spark))
     _shared.dropped(df)
     assert not list(__import__("pathlib").Path(path.removeprefix("file:")).glob("*"))
+
+
+def test_batches_are_small_unless_the_session_says_smaller(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    try:
+        for given, want in (("64m", str(_shared.BATCH_BYTES)), ("1m", "1m")):
+            spark.conf.set(name, given)
+            _shared.small_batches(spark)
+            assert spark.conf.get(name) == want
+        spark.conf.set(name, "64k")
+        sizes = spark.range(40, numPartitions=1).selectExpr("repeat('x', 10000) AS t").mapInArrow(lambda batches: (b.slice(0, 1) for b in batches), "t string").count()
+        assert sizes >= 5  # as many batches
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
