@@ -120,6 +120,16 @@ def country_filter(spark, d):
     return registries.Countries.read(spark, _countries_file(spark, d)).filter(official_name="east", alt_name="middle").select("id", "name")
 
 
+@_query(f"SELECT id, name FROM {_REGIONS} WHERE name = 'EUROPE'")
+def registry_stored(spark, d):
+    """A registry's table and index stored, opened again and asked."""
+    path = scratch(spark, "registry")
+    registries.Countries.read(spark, _countries_file(spark, d)).store(path)
+    opened = registries.Countries()
+    opened.open(spark, path)
+    return opened.search("eurpe", limit=1).select("id", "name")
+
+
 @_query(f"SELECT id AS geonames_id, name FROM {_PLACES} WHERE type = 'BUILDING' AND country LIKE 'ASIA|%'")
 def city_filter(spark, d):
     registry = registries.Cities()

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import clean, compound, join_bar, split_bar
 from ..operators import fts, fuzzy, hierarchy, lookup
-from ..sources import readers
+from ..sources import readers, tables
 from ..spec import CITIES, COUNTRIES, SUBDIVISIONS, EntitySpec
 
 
@@ -36,6 +36,19 @@ class Registry:
             self._df.unpersist()
         self._df = self._index = self._count = None
 
+    def store(self, path: str) -> None:
+        """Write the table and its index, each replaced as a whole; open() reads them without building anything."""
+        fresh = f"{path}/index.fresh"
+        tables.replace_atomically(self.table, f"{path}/table")
+        fts.TextIndex.build(self.table, self.spec).write(fresh)
+        tables.remove(self.table.sparkSession, f"{path}/index")
+        tables.relocate(self.table.sparkSession, fresh, f"{path}/index")
+
+    def open(self, spark: SparkSession, path: str) -> None:
+        """Take what store() has written."""
+        self._df, self._count = spark.read.parquet(f"{path}/table"), None
+        self._index = fts.TextIndex.read(spark, f"{path}/index", self.spec)
+
     @property
     def table(self) -> DataFrame:
         if self._df is None:

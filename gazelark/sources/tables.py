@@ -48,6 +48,11 @@ def replace_atomically(df: DataFrame, path: str) -> None:
     fs.delete(old, True)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def relocate(spark: SparkSession, path: str, to: str) -> None:
     """Move a stored table. What is at the new place already is refused; between stores the files are copied and then removed."""
     hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()

@@ -204,3 +204,19 @@ def test_batch_get_gives_the_first_of_several(spark):
     df = spark.createDataFrame([(3, "a"), (1, "a"), (2, "b")], "id int, k string")
     keys = spark.createDataFrame([("a",), ("b",), ("c",), ("a",)], "want string")
     assert sorted((r["want"], r["id"]) for r in lookup.batch_get(keys, df, "want", "k").collect()) == [("a", 1), ("a", 1), ("b", 2)]
+
+
+def test_command_line_loads_counts_searches_and_unloads(spark, tmp_path, capsys):
+    from gazelark import cli
+
+    path, store = tmp_path / "c.tsv", str(tmp_path / "store")
+    rows = [("Germany", "DE", "DEU"), ("Georgia", "GE", "GEO"), ("Ghana", "GH", "GHA")]
+    path.write_text("\t".join(readers.COUNTRY_COLUMNS) + "\n" + "".join(f"{n}\t\t{a}\t{b}\t{i}\t\tf\n" for i, (n, a, b) in enumerate(rows)))
+    assert cli.main(["count", "countries", store], spark) == 1
+    for _ in range(2):  # loading again replaces
+        assert cli.main(["load", "countries", str(path), store], spark) == 0
+    capsys.readouterr()
+    assert cli.main(["count", "countries", store], spark) == 0 and capsys.readouterr().out == "3\n"
+    assert cli.main(["search", "countries", store, "Germny"], spark) == 0
+    assert capsys.readouterr().out.startswith("1\tGermany\t0.9")
+    assert cli.main(["unload", "countries", store], spark) == 0 and cli.main(["count", "countries", store], spark) == 1
