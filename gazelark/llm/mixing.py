@@ -100,8 +100,9 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str =
 
 
 def identity(docs: DataFrame) -> Column:
-    """128 bits of all of a row's columns, as text."""
-    return F.concat(F.hex(F.xxhash64(*docs.columns)), F.hex(F.xxhash64(F.lit(6), *docs.columns[::-1])))
+    """128 bits of all of a row's columns, as text; maps, which have no hash, count as their JSON."""
+    every = [F.to_json(F.col(f"`{name}`")) if kind.startswith("map<") else F.col(f"`{name}`") for name, kind in docs.dtypes]
+    return F.concat(F.hex(F.xxhash64(*every)), F.hex(F.xxhash64(F.lit(6), *every[::-1])))
 
 
 def take(docs: DataFrame, text: str = "text", source: str = "source", **how) -> DataFrame:

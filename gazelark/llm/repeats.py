@@ -392,8 +392,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
         few = _texts_of(docs, need.where(F.col("contexts") <= hot))
         stretches = few.mapInArrow(_stretches(length), "key_a long, key_b long, at long, copies long, group long, stretch binary")
         dealt = stretches.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "group").sortWithinPartitions("group")
-        rest += [settled, dealt.mapInArrow(_settled(length, gram), _SPANS)]
-        rest = [written(reduce(DataFrame.unionByName, rest))]
+        before, rest = rest, [written(reduce(DataFrame.unionByName, [*rest, settled, dealt.mapInArrow(_settled(length, gram), _SPANS)]))]
+        dropped(*before)
         crowded = need.where(F.col("contexts") > hot)
         if crowded.isEmpty():
             dropped(need, *used)

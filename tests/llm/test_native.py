@@ -116,6 +116,8 @@ def test_take_loses_no_row_that_differs_in_another_column(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, row string")
     took = Counter(tuple(r) for r in mixing.take(docs, budget=1000).collect())
     assert took == {row: 3 * n for row, n in Counter(rows).items()}
+    odd = docs.withColumns({"a.b": F.create_map(F.lit("k"), F.col("row")), "copy": F.lit(1)})
+    assert mixing.take(odd, budget=1000).columns == odd.columns and mixing.take(odd, budget=1000).count() == 21
 
 
 def test_mix_of_equal_keys_and_null_keys_as_in_sql(spark, monkeypatch):
