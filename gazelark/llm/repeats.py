@@ -411,17 +411,17 @@ _KEYS, _HULL = ["key_a", "key_b"], ["hull_a", "hull_b"]
 def _level(runs: DataFrame, length: int) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
     """(spans that equal hulls settle, one run for each hull of the groups that are open, tables that the spans are read from)."""
     counted = written(runs)
-    # written, so that a group of many runs can be split where it is joined
+    # written, so that a group of many runs can be split where it is joined; dealt by key at every size, as these tables grow with the data
     often = written(counted.groupBy("group").agg(F.sum("copies").alias("n")).where("n > 1").select("group"))
-    maybe = written(counted.join(often, "group", "left_semi"))
+    maybe = written(counted.join(often.hint("merge"), "group", "left_semi"))
     dropped(counted, often)
     # any of a hull's runs stands for it
     hulls = written(maybe.groupBy(*_HULL, "group").agg(F.sum("copies").alias("copies"), *[F.first(c).alias(c) for c in (*_KEYS, "at")]))
     open_ = written(hulls.groupBy("group").agg(F.count("*").alias("contexts"), F.min("copies").alias("least")).where("least = 1 AND contexts > 1").select("group", "contexts"))
-    need = written(hulls.join(open_, "group").select("group", "contexts", "copies", *_KEYS, "at"))
+    need = written(hulls.join(open_.hint("merge"), "group").select("group", "contexts", "copies", *_KEYS, "at"))
     dropped(open_)
     place, near, far = F.shiftright("at", 32), F.shiftright("at", 16).bitwiseAND(F.lit(0xFFFF)), F.col("at").bitwiseAND(F.lit(0xFFFF))
-    settled = maybe.join(hulls.where("copies > 1").select(*_HULL), _HULL, "left_semi").select(*_KEYS, (place - far).alias("start"), (place - near + length).alias("end"))
+    settled = maybe.join(hulls.where("copies > 1").select(*_HULL).hint("merge"), _HULL, "left_semi").select(*_KEYS, (place - far).alias("start"), (place - near + length).alias("end"))
     return settled, need, [maybe, hulls]
 
 
