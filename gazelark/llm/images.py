@@ -6,10 +6,11 @@ tell which images share words, and those that share MIN_SHARED are held against
 other by Hamming distance, MAX_DISTANCE at most, match, and each match says how one image would map to the other: scale, turn and shift. Two images are linked if
 enough different features, and enough of all matches, agree on the same of these, in overlapping bins, so that chance matches don't add up.
 
-A word that more than CROWD images share is lengthened by STEP_BITS of its table's further bits, and again, until its list is short: what
-many pictures have in common tells little; a list that is crowded at full length holds copies of one picture's detail. In each list
-every image meets the list's least first, and then every two that are still apart meet, by the components that the list
-holds, so that edited copies of a picture that a third of all rows hold aren't paired with each other.
+In the list of a word that more than CROWD features have, two features count as sharing it if all their bits are within MAX_DISTANCE, as
+features that match are: every two of the list are held against each other, so none that can match is lost, however
+many share the word. In each list every image meets the list's least first, and then every two that are still apart meet: those of a
+component that has more than LANE of the list aren't paired with each other, so that edited copies of a picture that a third of all
+rows hold cost little, and what is left of a long list is dealt out in lanes, each pair of which meets in a task of its own.
 
 Pixel-identical images are one image throughout. Only features (48 bytes each) are kept and sent, never pixels.
 
@@ -29,16 +30,18 @@ import struct
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._shared import components, dropped, small_batches, written
 
-BITS, TABLES, WORD_BITS, STEP_BITS, STEPS, MAX_DISTANCE, MIN_VOTES = 256, 4, 32, 16, 3, 40, 6
+BITS, TABLES, WORD_BITS, MAX_DISTANCE, MIN_VOTES = 256, 4, 32, 40, 6
 #: The share of two images' matches that must agree.
 MIN_SHARE = 0.25
-#: Words that two images must share to be held against each other; images that share a word before it is lengthened.
+#: Words that two images must share to be held against each other; features that share a word before their other bits are compared too.
 MIN_SHARED, CROWD = 2, 8
+#: Rows of a list that meet in one task.
+LANE = 1024
 RADIUS, TURNS, MIN_SIDE, MOST_FEATURES = 15, 30, 40, 128
 SCALES = (1.0, 0.7071, 0.5, 0.3536)
 
@@ -82,7 +85,7 @@ def _scaled(x: np.ndarray, scale: float) -> np.ndarray:
 _rng = np.random.default_rng(20240)
 _TESTS = np.clip(_rng.normal(0, RADIUS / 2.5, (BITS, 4)), -RADIUS + 4, RADIUS - 4)
 _TURNED = np.stack([np.stack([_TESTS[:, [0, 2]] * np.cos(t) - _TESTS[:, [1, 3]] * np.sin(t), _TESTS[:, [0, 2]] * np.sin(t) + _TESTS[:, [1, 3]] * np.cos(t)], -1) for t in np.arange(TURNS) * 2 * np.pi / TURNS]).round().astype(int)  # turn, test, point, (x, y)
-_PICKED = np.stack([_rng.choice(BITS, WORD_BITS + STEPS * STEP_BITS, replace=False) for _ in range(TABLES)])
+_PICKED = np.stack([_rng.choice(BITS, 80, replace=False)[:WORD_BITS] for _ in range(TABLES)])
 _FEATURE = np.dtype([("x", "<f4"), ("y", "<f4"), ("scale", "<f4"), ("turn", "<f4"), ("bits", "<u8", BITS // 64)])
 _dy, _dx = np.mgrid[-RADIUS : RADIUS + 1, -RADIUS : RADIUS + 1]
 _DISC = (_dx**2 + _dy**2 <= RADIUS**2).astype(np.float32)
@@ -124,13 +127,10 @@ def features(image: np.ndarray | None, most: int = MOST_FEATURES) -> np.ndarray:
 
 
 def words(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(word with its table, its further bits) of all features and tables, each once."""
+    """(word with its table, place of its feature) of all features and tables."""
     tests = np.unpackbits(np.ascontiguousarray(found["bits"]).view(np.uint8).reshape(len(found), BITS // 8), axis=1).astype(np.int64)
-    picked = tests[:, _PICKED]
-    word = (picked[..., :WORD_BITS] @ (1 << np.arange(WORD_BITS))) * TABLES + np.arange(TABLES)
-    more = picked[..., WORD_BITS:] @ (1 << np.arange(STEPS * STEP_BITS))
-    both = np.unique(np.stack([word.ravel(), more.ravel()], axis=1), axis=0)
-    return both[:, 0], both[:, 1]
+    word = (tests[:, _PICKED] @ (1 << np.arange(WORD_BITS))) * TABLES + np.arange(TABLES)
+    return word.ravel(), np.repeat(np.arange(len(found), dtype=np.int32), TABLES)
 
 
 def agree(a: np.ndarray, b: np.ndarray) -> bool:
@@ -178,11 +178,22 @@ def _described(decoder, most):
 
 
 def _index(batches):
-    """(pic, features) to (word, more, pic)."""
+    """(pic, features) to (word, pic, place of the feature)."""
     for batch in batches:
         for pic, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            word, more = words(np.frombuffer(packed, _FEATURE))
-            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(more), pa.array(np.full(len(word), pic))], names=["word", "more", "pic"])
+            word, at = words(np.frombuffer(packed, _FEATURE))
+            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(np.full(len(word), pic)), pa.array(at)], names=["word", "pic", "at"])
+
+
+_BITS = [f"b{i}" for i in range(BITS // 64)]
+
+
+def _whole(batches):
+    """(pic, words, places, features) to (list, pic, all bits of the feature)."""
+    for batch in batches:
+        for pic, word, at, packed in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), batch.column(3).to_pylist(), strict=True):
+            bits = np.frombuffer(packed, _FEATURE)["bits"][at.values.to_numpy()].view(np.int64)
+            yield pa.RecordBatch.from_arrays([word.values, pa.array(np.full(len(bits), pic)), *(pa.array(np.ascontiguousarray(bits[:, i])) for i in range(len(_BITS)))], names=["list", "pic", *_BITS])
 
 
 def _agreeing(batches):
@@ -193,34 +204,22 @@ def _agreeing(batches):
         yield pa.RecordBatch.from_arrays([pa.array([a[k] for k in hits], pa.int64()), pa.array([b[k] for k in hits], pa.int64())], names=["a", "b"])
 
 
-def _lists(index: DataFrame) -> DataFrame:
-    """(list, pic): rows of words that several images share, each in the list of its word at the length that leaves CROWD images at most, or at full length."""
-    several = lambda df: df.agg(F.count("*").alias("n"), F.min("pic").alias("low"), F.max("pic").alias("high")).where("low != high").drop("low", "high")
-    often = written(several(index.groupBy("word")))
+def _lists(pics: DataFrame) -> DataFrame:
+    """(list, pic, bits): rows of all words that several images share, with the feature's bits (a row for each) where more than CROWD features have the word, else null."""
+    index = pics.mapInArrow(_index, "word long, pic long, at int")
+    often = written(index.groupBy("word").agg(F.count("*").alias("n"), F.min("pic").alias("low"), F.max("pic").alias("high")).where("low != high").select("word", "n"))
     rows = written(index.join(often, "word"))
     dropped(often)
-    parts, bits = [rows.where(F.col("n") <= CROWD).select(F.xxhash64("word").alias("list"), "pic")], 0
-    rest = rows.where(F.col("n") > CROWD).drop("n")
-    for step in range(1, STEPS + 1):
-        bits = step * STEP_BITS
-        rest = rest.withColumn("cut", F.col("more").bitwiseAND(F.lit((1 << bits) - 1)))
-        often = written(several(rest.groupBy("word", "cut")))
-        rest = rest.join(often, ["word", "cut"])
-        last = step == STEPS
-        short = rest if last else rest.where(F.col("n") <= CROWD)
-        parts.append(short.select(F.xxhash64("word", "cut", F.lit(bits)).alias("list"), "pic"))
-        rest = rest.where(F.col("n") > CROWD).drop("n", "cut")
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    out = written(out.distinct())
+    short = rows.where(F.col("n") <= CROWD).select(F.col("word").alias("list"), "pic").distinct().select("*", *(F.lit(None).cast("long").alias(c) for c in _BITS))
+    crowded = rows.where(F.col("n") > CROWD).groupBy("pic").agg(F.collect_list(F.struct("word", "at")).alias("e")).join(pics, "pic").select("pic", "e.word", "e.at", "features")
+    out = written(short.unionByName(crowded.mapInArrow(_whole, f"list long, pic long, {', '.join(f'{c} long' for c in _BITS)}").distinct()))
     dropped(rows)
     return out
 
 
 def _held(met: DataFrame, pics: DataFrame) -> DataFrame:
-    """(a, b) of the met pairs (a, b, a row for each word) that share MIN_SHARED words and agree."""
-    pairs = written(met.groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_SHARED).select("a", "b"))
+    """(a, b) of the met pairs (a, b, list) that share MIN_SHARED words and agree."""
+    pairs = written(met.groupBy("a", "b").agg(F.count_distinct("list").alias("n")).where(F.col("n") >= MIN_SHARED).select("a", "b"))
     side = lambda s: pics.select(F.col("pic").alias(s), F.col("features").alias("f" + s))
     out = written(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "fa", "fb").mapInArrow(_agreeing, "a long, b long"))
     dropped(pairs)
@@ -229,18 +228,32 @@ def _held(met: DataFrame, pics: DataFrame) -> DataFrame:
 
 def links(pics: DataFrame) -> DataFrame:
     """(a, b): linked images of (pic, features), at least so many that each reaches all that it is linked to."""
-    some = pics.where(F.length("features") > 0)
-    lists = _lists(some.select("pic", "features").mapInArrow(_index, "word long, more long, pic long"))
-    star = lists.join(lists.groupBy("list").agg(F.min("pic").alias("a")), "list").where("pic != a").select("a", F.col("pic").alias("b"))
+    some = pics.where(F.length("features") > 0).select("pic", "features")
+    lists = _lists(some)
+    named = lambda s, *more: [*(F.col(c).alias(c + s) for c in ("part", "pic", *_BITS)), *more]
+    near_bits = lambda x, y: F.col(_BITS[0] + x).isNull() | (sum((F.bit_count(F.col(c + x).bitwiseXOR(F.col(c + y))) for c in _BITS), F.lit(0)) <= MAX_DISTANCE)
+    least = lists.groupBy("list").agg(F.min(F.struct("pic", *_BITS)).alias("s")).select("list", *(F.col(f"s.{c}").alias(f"{c}_s") for c in ("pic", *_BITS)))
+    star = lists.join(least, "list").where((F.col("pic") != F.col("pic_s")) & near_bits("", "_s")).select(F.col("pic_s").alias("a"), F.col("pic").alias("b"), "list")
     first = _held(star, some)
     near = components(first, "a", "b")
-    placed = written(lists.join(near.withColumnRenamed("node", "pic"), "pic", "left").select("list", "pic", F.coalesce("component", "pic").alias("part")))
-    held = placed.select("list", "part").distinct()
-    apart = held.withColumnRenamed("part", "pa").join(held.withColumnRenamed("part", "pb"), "list").where("pa < pb")
-    side = lambda p, s: placed.select("list", F.col("part").alias(p), F.col("pic").alias(s))
-    met = apart.join(side("pa", "x"), ["list", "pa"]).join(side("pb", "y"), ["list", "pb"]).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    more = _held(met, some)
-    dropped(lists, placed, near)
+    placed = lists.join(near.withColumnRenamed("node", "pic"), "pic", "left").withColumn("part", F.coalesce("component", "pic")).drop("component")
+    whole = Window.partitionBy("list")
+    placed = placed.select("*", F.min("part").over(whole).alias("low"), F.max("part").over(whole).alias("high"), F.count("*").over(whole).alias("n")).where("low != high")
+    rest = written(placed.select("list", "part", "pic", *_BITS, F.ceil(F.col("n") / LANE).cast("int").alias("lanes"), (F.count("*").over(Window.partitionBy("list", "part")) > LANE).alias("large")))
+    dropped(lists, near)
+    # a list of several lanes meets by pairs of them, each pair in a task of its own; a component is in one lane
+    own = F.pmod(F.xxhash64("part"), F.col("lanes")).cast("int")
+    others = lambda a, b: F.explode(F.transform(F.sequence(F.lit(0), F.col("lanes") - 1), lambda i: F.struct(a(i).alias("la"), b(i).alias("lb")))).alias("l")
+    sided = lambda s, pick: rest.where("NOT large").select("list", *named(s, pick)).select("*", "l.la", "l.lb").drop("l")
+    x, y = sided("_x", others(lambda i: own, lambda i: i)), sided("_y", others(lambda i: i, lambda i: own))
+    small = x.join(y, ["list", "la", "lb"]).where((F.col("part_x") < F.col("part_y")) & near_bits("_x", "_y"))
+    # a large component meets what isn't its own, two of them once
+    large = rest.where("large").select("list", "part").distinct().withColumnRenamed("part", "part_x")
+    y = rest.select("list", *named("_y", F.col("large"))).join(large, "list").where("part_x != part_y AND NOT (large AND part_y < part_x)")
+    crowds = rest.where("large").select("list", *named("_x")).join(y, ["list", "part_x"]).where(near_bits("_x", "_y"))
+    met = small.select("list", "pic_x", "pic_y").unionByName(crowds.select("list", "pic_x", "pic_y"))
+    more = _held(met.select(F.least("pic_x", "pic_y").alias("a"), F.greatest("pic_x", "pic_y").alias("b"), "list"), some)
+    dropped(rest)
     return first.unionByName(more)
 
 
@@ -251,11 +264,13 @@ def image_classes(media: DataFrame, column: str = "media", key: str = "media_id"
     every = written(rows.mapInArrow(_described(decoder, most), "media long, digest binary, features binary"))
     pics = every.where("digest IS NOT NULL AND media IS NOT NULL").groupBy("digest").agg(F.min("media").alias("media"), F.first("features").alias("features"))
     pics = written(pics.select(F.monotonically_increasing_id().alias("pic"), "*"))
+    slim = written(every.select("media", "digest"))
+    dropped(every)
     classes = written(components(links(pics), "a", "b").join(pics.select(F.col("pic").alias("node"), "media", "digest"), "node"))
     least = classes.groupBy("component").agg(F.min("media").alias("class_id"))
     found = classes.join(least, "component").select("digest", "class_id")
     found = pics.select("digest", "media", (F.length("features") / _FEATURE.itemsize).cast("long").alias("n_features")).join(found, "digest", "left").select("digest", F.coalesce("class_id", "media").alias("class_id"), "n_features")
-    out = every.select("media", "digest").join(found, "digest", "left")
+    out = slim.join(found, "digest", "left")
     return out.select(F.col("media").alias(key), F.when(F.col("media").isNotNull(), F.coalesce("class_id", "media")).alias("class_id"), F.coalesce("n_features", F.lit(0)).cast("long").alias("n_features"))
 
 

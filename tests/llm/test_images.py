@@ -71,6 +71,28 @@ def test_copies_whose_words_are_all_crowded_are_found(spark):
     assert got == {(i, 40 + i) for i in range(40)}
 
 
+def test_pairs_whose_crowded_words_differ_beyond_their_bits_are_found(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    free = np.setdiff1d(np.arange(images.BITS), images._PICKED[:, : images.WORD_BITS])  # bits of no word
+    base = rng.integers(0, 2, (8, images.BITS)).astype(np.uint8)
+    found, partners = [], []
+    for _ in range(40):
+        place = rng.integers(0, 100_000, (8, 2)).tolist()
+        for to in (found, partners):
+            tests = base.copy()
+            tests[:, rng.choice(free, 18, replace=False)] ^= 1
+            to.append(packed(np.packbits(tests, axis=1).view("<u8"), place))
+    want = {(i, 40 + i) for i in range(40)}
+    pics = pics_of(spark, found + partners)
+    assert {(r["a"], r["b"]) for r in images.links(pics).collect()} == want
+    # lists of many lanes, and components of more than a lane
+    monkeypatch.setattr(images, "LANE", 7, raising=False)
+    copies = pics_of(spark, found + partners + [found[0]] * 10)
+    got = {(r["a"], r["b"]) for r in images.links(copies).collect()}
+    label = reached(90, got)
+    assert [label[i] for i in range(40, 80)] == list(range(40)) and label[80:] == [0] * 10
+
+
 def test_recall_against_all_pairs_is_above_nine_tenths(spark):
     rng, found = np.random.default_rng(17), []
     for _ in range(16):
