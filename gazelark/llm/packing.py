@@ -26,12 +26,27 @@ from ._shared import slices, small_batches, string_bytes, word_kinds, words
 WINDOW, BLOCK, END_ID = 2048, 512, 1
 #: Word kinds whose ids a worker keeps; beyond it starts anew.
 KEPT_KINDS = 1 << 18
+#: How a tokenizer parts words, so that a run of letters is one part and a mark after a letter or digit begins another.
+LETTERS_APART = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_MARK, _PLAIN = np.zeros(256, bool), np.zeros(256, bool)
+_MARK[list(b".,;:!?")] = True
+_PLAIN[[*range(ord("0"), ord("9") + 1), *range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1)]] = True
+
+
+def without_marks(raw: np.ndarray, begin: np.ndarray, end: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words with a last mark after an ASCII letter or digit as a word of its own."""
+    marked = np.flatnonzero((end - begin > 1) & _MARK[raw[end - 1]] & _PLAIN[raw[end - 2]])
+    end = end.copy()
+    end[marked] -= 1
+    at = marked + 1
+    return np.insert(begin, at, end[marked]), np.insert(end, at, end[marked] + 1), np.insert(row, at, row[marked])
 
 
 class Ids:
     """Token ids of texts. A tokenizer that never joins what white space parts is asked once for each word that isn't kept, by its bytes."""
 
     def __init__(self, path: str, by_word: bool = True):
+        import json
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -39,6 +54,20 @@ class Ids:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.by_word = by_word
+        with open(path, encoding="utf-8") as file:
+            config = json.load(file)
+        parts = config.get("pre_tokenizer") or {}
+        alone = [t for t in config.get("added_tokens") or [] if not (t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"]) and t["content"].startswith("<|")]
+        self.parting = (alone[0]["content"], alone[0]["id"]) if alone else None
+        first = (parts.get("pretokenizers") or [parts])[0]
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.letters_apart = bool(suffix) and first.get("type") == "Split" and first["pattern"].get("Regex") == LETTERS_APART
+        if self.letters_apart:
+            closing = {token: i for token, i in self.tokenizer.get_vocab().items() if token.endswith(suffix)}
+            self.closes = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
+            self.closes[list(closing.values())] = True
+            # any byte can close a word
+            self.letters_apart = sum(len(token) == len(suffix) + 1 for token in closing) >= 256
         self._reset()
 
     def _reset(self) -> None:
@@ -49,9 +78,34 @@ class Ids:
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _sized(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The words' ids end to end, and how many each has; many at once, parted by a special token, which no word holds."""
+        if self.parting:
+            name, own = self.parting
+            flat = np.concatenate(self.whole(["".join([w + name for w in new[i : i + 512]]) for i in range(0, len(new), 512)]))
+            cuts = np.flatnonzero(flat == own)
+            if len(cuts) == len(new):
+                return flat[flat != own], np.diff(cuts, prepend=-1) - 1
+        ids = self.whole(new)
+        return np.concatenate(ids), np.array([len(x) for x in ids], np.int64)
+
+    def _sized_letters(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for words of letters, many at once: where as many ids close a word as there are words, each has one part, whose last id closes it."""
+        parts = [new[i : i + 512] for i in range(0, len(new), 512)]
+        out = []
+        for part, flat in zip(parts, self.whole([" ".join(part) for part in parts]), strict=True):
+            ends = np.flatnonzero(self.closes[flat]) + 1
+            out.append((flat, np.diff(ends, prepend=0)) if len(ends) == len(part) and ends[-1] == len(flat) else self._sized(part))
+        return np.concatenate([flat for flat, _ in out]), np.concatenate([size for _, size in out])
+
     def _learn(self, new: list[bytes]) -> None:
-        ids = self.whole([w.decode() for w in new])
-        size = np.array([len(x) for x in ids], np.int64)
+        texts = [w.decode() for w in new]
+        letters = [self.letters_apart and t.isalpha() for t in texts]
+        for some, sized in ((True, self._sized_letters), (False, self._sized)):
+            if part := [i for i, x in enumerate(letters) if x is some]:
+                self._add([new[i] for i in part], *sized([texts[i] for i in part]))
+
+    def _add(self, new: list[bytes], ids: np.ndarray, size: np.ndarray) -> None:
         first, total = len(self.place), int(size.sum())
         for name, need in (("start", first + len(new)), ("size", first + len(new)), ("flat", self.used + total)):
             array = getattr(self, name)
@@ -59,7 +113,7 @@ class Ids:
                 setattr(self, name, np.concatenate([array, np.zeros(max(need - len(array), len(array)), array.dtype)]))
         self.start[first : first + len(new)] = self.used + np.cumsum(size) - size
         self.size[first : first + len(new)] = size
-        self.flat[self.used : self.used + total] = np.concatenate(ids)
+        self.flat[self.used : self.used + total] = ids
         self.used += total
         self.place.update(zip(new, range(first, first + len(new)), strict=True))
 
@@ -72,14 +126,18 @@ class Ids:
             rows = [np.append(x, np.uint32(END_ID)) for x in self.whole([t or "" for t in column.to_pylist()])]
             return np.concatenate(rows), np.concatenate([[0], np.cumsum([len(x) for x in rows])])
         begin, end, row = words(raw, starts)
+        if self.letters_apart:
+            begin, end, row = without_marks(raw, begin, end, row)
         _, one, back = word_kinds(raw, begin, end)
         low = data.lower()  # A-Z alone, as these are bytes
         kinds = [low[a:b] for a, b in zip(begin[one].tolist(), end[one].tolist(), strict=True)]
         if len(self.place) + len(kinds) > KEPT_KINDS:
             self._reset()
-        if new := [w for w in kinds if w not in self.place]:
-            self._learn(new)
-        kind = np.array([self.place[w] for w in kinds], np.int64)[back] if kinds else np.zeros(0, np.int64)
+        at = list(map(self.place.get, kinds))
+        if None in at:
+            self._learn([w for w, i in zip(kinds, at, strict=True) if i is None])
+            at = [self.place[w] if i is None else i for w, i in zip(kinds, at, strict=True)]
+        kind = np.array(at, np.int64)[back] if at else np.zeros(0, np.int64)
         size = self.size[kind]
         # END_ID after each row's words
         per_row = np.bincount(row, weights=size, minlength=len(column)).astype(np.int64) + 1
@@ -199,7 +257,7 @@ def _packed(path: str, window: int, block: int, by_word: bool):
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
 
-        for piece in slices(batches, 1):
+        for piece in slices(batches, 1, 1 << 20):
             flat, bounds = ids(piece.column(1))
             for i, key in enumerate(piece.column(0).to_pylist()):
                 keys.append(key)

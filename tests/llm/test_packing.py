@@ -67,3 +67,19 @@ def test_kept_words_start_anew(monkeypatch):
         flat, bounds = ids(pa.array(texts))
         want = [[*x.tolist(), 1] for x in ids.whole(texts)]
         assert [flat[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == want
+
+
+def test_new_words_are_asked_for_many_at_once():
+    import pyarrow as pa
+
+    ids, asked = packing.Ids(packing.word_bpe()), []
+    odd = ["it's.", "İstanbul. x.", "é. é! é", "x́.", "≠.", "don't? 'S, ''", "12, 3.5; a.b: ..", "<. <| .", "nbsp a.", "​ ſ. ŉ!", "ΑΣ. ς,", "日本。語.", None, ""]
+    texts = odd + [" ".join("abcdefghij"[int(d)] for d in str(i)).replace(" ", "") + ("." if i % 3 else "-x%d" % i) for i in range(5000)]
+    want = [[*ids.tokenizer.encode(t or "", add_special_tokens=False).ids, 1] for t in texts]
+    whole = ids.whole
+    ids.whole = lambda some: asked.extend(some) or whole(some)
+    for some, expected in ((texts, want), ([t for t in texts if "<|" not in (t or "")], [w for t, w in zip(texts, want, strict=True) if "<|" not in (t or "")])):
+        asked.clear()
+        flat, bounds = ids(pa.array(some, pa.string()))
+        assert [flat[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == expected
+    assert len(asked) < 600, len(asked)  # 5000 words and a chunk of odd ones
