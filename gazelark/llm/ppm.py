@@ -29,6 +29,8 @@ from ._shared import _LOWER, Table, by_count, dropped, fold, slices, small_batch
 
 ORDER, SYMBOLS = 5, 256
 MOST_WORDS, MOST_TOPS = 1 << 18, 1 << 20
+#: Rows of counted strings that a task gathers before equal ones are added up.
+GATHERED = 1 << 20
 #: Bytes that no UTF-8 text has.
 START, STOP = 0xFE, 0xFF
 #: The end stands among the words as what can't be one.
@@ -74,17 +76,38 @@ def _count_words(batches):
         yield pa.RecordBatch.from_arrays([pa.array([END], pa.binary()), pa.array([int(train.sum())], pa.int64())], names=["word", "n"])
 
 
+def _added_up(tops: list[np.ndarray], n: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Each top once, with the sum of its counts; the parts are sorted, so a stable sort only merges them."""
+    top, n = np.concatenate(tops), np.concatenate(n)
+    order = np.argsort(top, kind="stable")
+    top = top[order]
+    first = np.flatnonzero(np.concatenate([[True], top[1:] != top[:-1]]))
+    return top[first], np.add.reduceat(n[order], first)
+
+
 def _count_tops(order: int):
-    """(text, training) to (top, count in training documents)."""
+    """(text, training) to (top, count in training documents); a task's equal tops are added up as long as GATHERED rows hold them."""
 
     def run(batches):
+        out = lambda top, n: pa.RecordBatch.from_arrays([pa.array(top.view(np.int64)), pa.array(n)], names=["top", "n"])
+        tops, counts, rows = [], [], 0
         for piece in slices(batches, 0):
             train = piece.column(1)
             for part, times in ((piece.filter(train), 1), (piece.filter(pa.compute.invert(train)), 0)):
                 if part.num_rows:
                     raw, starts = string_bytes(part.column(0))
-                    tops, n = np.unique(_tops(raw, starts, order)[0], return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(tops.view(np.int64)), pa.array(n * times)], names=["top", "n"])
+                    top, n = np.unique(_tops(raw, starts, order)[0], return_counts=True)
+                    tops.append(top)
+                    counts.append(n * times)
+                    rows += len(top)
+            if rows > GATHERED:
+                top, n = _added_up(tops, counts)
+                tops, counts, rows = [top], [n], len(top)
+                if rows > GATHERED // 2:
+                    yield out(top, n)
+                    tops, counts, rows = [], [], 0
+        if tops:
+            yield out(*_added_up(tops, counts))
 
     return run
 

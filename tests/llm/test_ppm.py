@@ -4,6 +4,7 @@ import re
 from collections import Counter, defaultdict
 
 import colliding  # beside this file
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -104,3 +105,23 @@ def test_scores_see_the_order_of_words(spark):
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(["one two three four"] * 9 + ["four two three one"])], "doc_id long, text string")
     scores = {r["doc_id"]: (r["base_score"], r["score"]) for r in ppm.ppm_scores(docs, F.col("doc_id") == 9).collect()}
     assert scores[9][0] == pytest.approx(scores[0][0]) and scores[9][1] < scores[0][1] - 1
+
+
+def test_a_task_adds_up_its_equal_tops(monkeypatch):
+    import pyarrow as pa
+
+    texts = ["the same words over and over", "", None, "other ones", "é and the same"]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts * 4, pa.string()), pa.array([True, True, False, False, True] * 4)], names=["text", "train"])
+    tops = lambda some: ppm._tops(*ppm.string_bytes(pa.array(some, pa.string())), 5)[0].view(np.int64).tolist()
+    want = dict.fromkeys(tops(texts), 0)
+    for t in tops([texts[0], texts[1], texts[4]]):
+        want[t] += 4 * 30
+    rows = [r for b in ppm._count_tops(5)(iter([batch] * 30)) for r in b.to_pylist()]
+    assert len(rows) == len(want) and {r["top"]: r["n"] for r in rows} == want
+    monkeypatch.setattr(ppm, "GATHERED", 70)
+    got = dict.fromkeys(want, 0)
+    for b in ppm._count_tops(5)(iter([batch] * 30)):
+        for r in b.to_pylist():
+            got[r["top"]] += r["n"]
+    assert got == want
+    assert list(ppm._count_tops(5)(iter([]))) == []
