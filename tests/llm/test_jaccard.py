@@ -2,6 +2,7 @@ import random
 import re
 
 import colliding  # beside this file
+import numpy as np
 import pytest
 
 from gazelark.llm import jaccard
@@ -81,3 +82,13 @@ def test_colliding_words_and_very_long_texts(spark):
     rows = [(1, f"{a} {rest}"), (2, f"{b} {rest}"), (3, long), (4, long + " end")]
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[1] == (7, 1) and got[2] == (7, 2) and got[3][1] == got[4][1] == 3
+
+
+def test_signatures_tell_long_unlike_sets_apart():
+    rng = np.random.default_rng(2)
+    for n in (200, 1500, 2000):
+        sets = rng.integers(0, 1 << 63, 2 * n).astype(np.uint64)
+        a, b = jaccard._parity(sets, np.array([0, n]), np.array([True, True])).view(np.uint64).reshape(2, -1)
+        differ = int(np.bitwise_count(a ^ b).sum())
+        assert differ <= 2 * n  # a bound of what the sets differ in
+        assert 180 * (2 * n - differ) < 2 * 80 * 2 * n  # too much for a similarity of 80 %
