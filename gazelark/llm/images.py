@@ -25,6 +25,7 @@ this was built on has no image codecs. as_media() makes it; a decoder for other
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import struct
 
@@ -126,11 +127,10 @@ def features(image: np.ndarray | None, most: int = MOST_FEATURES) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, _FEATURE)
 
 
-def words(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(word with its table, place of its feature) of all features and tables."""
+def words(found: np.ndarray, tables: np.ndarray) -> np.ndarray:
+    """The word, with its table, of each feature (row) in each of these tables (column)."""
     tests = np.unpackbits(np.ascontiguousarray(found["bits"]).view(np.uint8).reshape(len(found), BITS // 8), axis=1).astype(np.int64)
-    word = (tests[:, _PICKED] @ (1 << np.arange(WORD_BITS))) * TABLES + np.arange(TABLES)
-    return word.ravel(), np.repeat(np.arange(len(found), dtype=np.int32), TABLES)
+    return (tests[:, _PICKED[tables]] @ (1 << np.arange(WORD_BITS))) * TABLES + tables
 
 
 def agree(a: np.ndarray, b: np.ndarray) -> bool:
@@ -177,23 +177,28 @@ def _described(decoder, most):
     return run
 
 
+_BITS = [f"b{i}" for i in range(BITS // 64)]
+
+
 def _index(batches):
-    """(pic, features) to (word, pic, place of the feature)."""
+    """(pic, features) to (word, pic), for all tables."""
     for batch in batches:
         for pic, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            word, at = words(np.frombuffer(packed, _FEATURE))
-            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(np.full(len(word), pic)), pa.array(at)], names=["word", "pic", "at"])
+            word = words(np.frombuffer(packed, _FEATURE), np.arange(TABLES)).ravel()
+            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(np.full(len(word), pic))], names=["word", "pic"])
 
 
-_BITS = [f"b{i}" for i in range(BITS // 64)]
+def _index_whole(table: int):
+    """(pic, features) to (word, pic, all bits of the feature), for one table."""
 
+    def run(batches):
+        for batch in batches:
+            for pic, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                found = np.frombuffer(packed, _FEATURE)
+                bits = found["bits"].view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(words(found, np.array([table])).ravel()), pa.array(np.full(len(found), pic)), *(pa.array(np.ascontiguousarray(bits[:, i])) for i in range(len(_BITS)))], names=["word", "pic", *_BITS])
 
-def _whole(batches):
-    """(pic, words, places, features) to (list, pic, all bits of the feature)."""
-    for batch in batches:
-        for pic, word, at, packed in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), batch.column(3).to_pylist(), strict=True):
-            bits = np.frombuffer(packed, _FEATURE)["bits"][at.values.to_numpy()].view(np.int64)
-            yield pa.RecordBatch.from_arrays([word.values, pa.array(np.full(len(bits), pic)), *(pa.array(np.ascontiguousarray(bits[:, i])) for i in range(len(_BITS)))], names=["list", "pic", *_BITS])
+    return run
 
 
 def _agreeing(batches):
@@ -204,16 +209,19 @@ def _agreeing(batches):
         yield pa.RecordBatch.from_arrays([pa.array([a[k] for k in hits], pa.int64()), pa.array([b[k] for k in hits], pa.int64())], names=["a", "b"])
 
 
-def _lists(pics: DataFrame) -> DataFrame:
-    """(list, pic, bits): rows of all words that several images share, with the feature's bits (a row for each) where more than CROWD features have the word, else null."""
-    index = pics.mapInArrow(_index, "word long, pic long, at int")
-    often = written(index.groupBy("word").agg(F.count("*").alias("n"), F.min("pic").alias("low"), F.max("pic").alias("high")).where("low != high").select("word", "n"))
-    rows = written(index.join(often, "word"))
+def _lists(pics: DataFrame) -> list[DataFrame]:
+    """(list, pic, bits) by tables: rows of all words that several images share, with the feature's bits (a row for each) where more than CROWD features have the word, else null.
+
+    Bits come with every word from the first, as many rows as there are features, whichever words turn out to be crowded: how many those
+    are grows faster than the table. One table at a time, so that no more of them are on disk at once.
+    """
+    counts = pics.mapInArrow(_index, "word long, pic long").groupBy("word").agg(F.count("*").alias("n"), F.min("pic").alias("low"), F.max("pic").alias("high"))
+    often = written(counts.where("low != high").select("word", "n"))
+    out = []
+    for table in range(TABLES):
+        rows = pics.mapInArrow(_index_whole(table), f"word long, pic long, {', '.join(f'{c} long' for c in _BITS)}").join(often.where(F.pmod("word", F.lit(TABLES)) == table), "word")
+        out.append(written(rows.select(F.col("word").alias("list"), "pic", *(F.when(F.col("n") > CROWD, F.col(c)).alias(c) for c in _BITS)).distinct()))
     dropped(often)
-    short = rows.where(F.col("n") <= CROWD).select(F.col("word").alias("list"), "pic").distinct().select("*", *(F.lit(None).cast("long").alias(c) for c in _BITS))
-    crowded = rows.where(F.col("n") > CROWD).groupBy("pic").agg(F.collect_list(F.struct("word", "at")).alias("e")).join(pics, "pic").select("pic", "e.word", "e.at", "features")
-    out = written(short.unionByName(crowded.mapInArrow(_whole, f"list long, pic long, {', '.join(f'{c} long' for c in _BITS)}").distinct()))
-    dropped(rows)
     return out
 
 
@@ -229,7 +237,8 @@ def _held(met: DataFrame, pics: DataFrame) -> DataFrame:
 def links(pics: DataFrame) -> DataFrame:
     """(a, b): linked images of (pic, features), at least so many that each reaches all that it is linked to."""
     some = pics.where(F.length("features") > 0).select("pic", "features")
-    lists = _lists(some)
+    tables = _lists(some)
+    lists = functools.reduce(DataFrame.unionByName, tables)
     named = lambda s, *more: [*(F.col(c).alias(c + s) for c in ("part", "pic", *_BITS)), *more]
     near_bits = lambda x, y: F.col(_BITS[0] + x).isNull() | (sum((F.bit_count(F.col(c + x).bitwiseXOR(F.col(c + y))) for c in _BITS), F.lit(0)) <= MAX_DISTANCE)
     least = lists.groupBy("list").agg(F.min(F.struct("pic", *_BITS)).alias("s")).select("list", *(F.col(f"s.{c}").alias(f"{c}_s") for c in ("pic", *_BITS)))
@@ -240,7 +249,7 @@ def links(pics: DataFrame) -> DataFrame:
     whole = Window.partitionBy("list")
     placed = placed.select("*", F.min("part").over(whole).alias("low"), F.max("part").over(whole).alias("high"), F.count("*").over(whole).alias("n")).where("low != high")
     rest = written(placed.select("list", "part", "pic", *_BITS, F.ceil(F.col("n") / LANE).cast("int").alias("lanes"), (F.count("*").over(Window.partitionBy("list", "part")) > LANE).alias("large")))
-    dropped(lists, near)
+    dropped(*tables, near)
     # a list of several lanes meets by pairs of them, each pair in a task of its own; a component is in one lane
     own = F.pmod(F.xxhash64("part"), F.col("lanes")).cast("int")
     others = lambda a, b: F.explode(F.transform(F.sequence(F.lit(0), F.col("lanes") - 1), lambda i: F.struct(a(i).alias("la"), b(i).alias("lb")))).alias("l")

@@ -112,3 +112,15 @@ def test_repeated_rows_large_images_and_keys_of_two_images(spark):
     rows = [(5, a), (5, a), (5, b), (9, b), (None, a), (7, images.as_media(picture(1, 700, 900)[100:600, 50:800]))]
     got = sorted(((r["media_id"] or 0, r["class_id"]) for r in images.image_classes(spark.createDataFrame(rows, "media_id long, media binary")).collect()), key=repr)
     assert got == [(0, None), (5, 5), (5, 5), (5, 5), (7, 5), (9, 5)]
+
+
+def test_rows_of_the_lists_follow_the_images_however_many_words_are_crowded(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    bits, places = rng.integers(0, 1 << 62, (8, 4)), rng.integers(0, 100_000, (8, 2)).tolist()
+    pics = pics_of(spark, [packed(bits, places)] * (5 * images.CROWD))
+    made, run = [], type(pics).mapInArrow
+    monkeypatch.setattr(type(pics), "mapInArrow", lambda df, f, schema, *more: made[-1].append((out := run(df, f, schema, *more)).count()) or out)
+    for n in (images.CROWD, 5 * images.CROWD):
+        made.append([])
+        images._lists(pics.where(f"pic < {n}"))
+    assert made[1] == [5 * n for n in made[0]], made
