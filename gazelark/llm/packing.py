@@ -15,6 +15,7 @@ same for a rerun over the same files.
 from __future__ import annotations
 
 import zlib
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from ._shared import slices, small_batches, string_bytes, word_kinds, words
 
 WINDOW, BLOCK, END_ID = 2048, 512, 1
-#: Word kinds whose ids a worker keeps; beyond it starts anew.
+#: Word kinds whose ids a worker keeps; beyond it those go that weren't met again.
 KEPT_KINDS = 1 << 18
 #: How a tokenizer parts words, so that a run of letters is one part and a mark after a letter or digit begins another.
 LETTERS_APART = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -68,13 +69,21 @@ class Ids:
             self.closes[list(closing.values())] = True
             # any byte can close a word
             self.letters_apart = sum(len(token) == len(suffix) + 1 for token in closing) >= 256
-        self._reset()
-
-    def _reset(self) -> None:
         self.place: dict[bytes, int] = {}
-        self.start, self.size = np.zeros(1 << 10, np.int64), np.zeros(1 << 10, np.int64)
+        self.start, self.size, self.again = np.zeros(1 << 10, np.int64), np.zeros(1 << 10, np.int64), np.zeros(1 << 10, bool)
         self.flat, self.used = np.zeros(1 << 12, np.uint32), 0
 
+    def _thin(self) -> None:
+        """Keep the words that were met again since the last time, three quarters of KEPT_KINDS at most."""
+        keep = np.flatnonzero(self.again[: len(self.place)])[-(KEPT_KINDS * 3 // 4) :]
+        names = list(self.place)  # by place
+        start, size = self.start[keep], self.size[keep]
+        ends = np.cumsum(size)
+        self.used = int(size.sum())
+        self.flat = self.flat[np.repeat(start - ends + size, size) + np.arange(self.used)]
+        self.place = {names[i]: place for place, i in enumerate(keep.tolist())}
+        self.start, self.size, self.again = ends - size, size, np.zeros(len(keep), bool)
+
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -107,7 +116,7 @@ class Ids:
 
     def _add(self, new: list[bytes], ids: np.ndarray, size: np.ndarray) -> None:
         first, total = len(self.place), int(size.sum())
-        for name, need in (("start", first + len(new)), ("size", first + len(new)), ("flat", self.used + total)):
+        for name, need in (*((name, first + len(new)) for name in ("start", "size", "again")), ("flat", self.used + total)):
             array = getattr(self, name)
             if need > len(array):
                 setattr(self, name, np.concatenate([array, np.zeros(max(need - len(array), len(array)), array.dtype)]))
@@ -132,12 +141,15 @@ class Ids:
         low = data.lower()  # A-Z alone, as these are bytes
         kinds = [low[a:b] for a, b in zip(begin[one].tolist(), end[one].tolist(), strict=True)]
         if len(self.place) + len(kinds) > KEPT_KINDS:
-            self._reset()
-        at = list(map(self.place.get, kinds))
-        if None in at:
-            self._learn([w for w, i in zip(kinds, at, strict=True) if i is None])
-            at = [self.place[w] if i is None else i for w, i in zip(kinds, at, strict=True)]
-        kind = np.array(at, np.int64)[back] if at else np.zeros(0, np.int64)
+            self._thin()
+        at = np.fromiter(map(self.place.get, kinds, repeat(-1)), np.int64, len(kinds))
+        unknown = np.flatnonzero(at < 0)
+        self.again[at[at >= 0]] = True
+        if len(unknown):
+            new = [kinds[i] for i in unknown.tolist()]
+            self._learn(new)
+            at[unknown] = [self.place[w] for w in new]
+        kind = at[back]
         size = self.size[kind]
         # END_ID after each row's words
         per_row = np.bincount(row, weights=size, minlength=len(column)).astype(np.int64) + 1

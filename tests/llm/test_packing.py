@@ -83,3 +83,19 @@ def test_new_words_are_asked_for_many_at_once():
         flat, bounds = ids(pa.array(some, pa.string()))
         assert [flat[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == expected
     assert len(asked) < 600, len(asked)  # 5000 words and a chunk of odd ones
+
+
+def test_words_met_again_stay_kept_when_others_go(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(packing, "KEPT_KINDS", 40)
+    ids, learned = packing.Ids(packing.word_bpe()), []
+    learn = ids._learn
+    ids._learn = lambda new: learned.extend(new) or learn(new)
+    letters = ["".join("abcdefghij"[int(d)] for d in str(i)) for i in range(300, 600)]
+    for i in range(30):
+        text = " ".join(["the Quick brown, fox's été 12", *letters[10 * i : 10 * i + 10], letters[0]])
+        flat, bounds = ids(pa.array([text, None]))
+        assert flat.tolist() == [*ids.whole([text])[0].tolist(), 1, 1] and bounds.tolist() == [0, len(flat) - 1, len(flat)]
+        assert len(ids.place) <= 40
+    assert len(learned) == len(set(learned)) == 307, len(learned)
