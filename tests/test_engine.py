@@ -215,6 +215,14 @@ def test_search_scores_a_text_once_for_all_its_rows(spark, monkeypatch):
     assert max(scored) <= 2 * len(names)
 
 
+def test_ties_of_misspelt_searches_are_cut_by_rows_not_texts(spark):
+    """A limit counts the rows of better texts, so worse texts come in only where it leaves room."""
+    kept = spark.createDataFrame([(0, 0.9, 4), (0, 0.9, 5), (0, 0.8, 1), (0, 0.7, 1), (1, 0.7, 1), (1, 0.6, 9)], "qid int, score double, n bigint")
+    best = lambda limit: sorted((r["qid"], r["score"], r["n"]) for r in fuzzy._best(kept, limit).collect())
+    assert best(10) == [(0, 0.8, 1), (0, 0.9, 4), (0, 0.9, 5), (1, 0.6, 9), (1, 0.7, 1)]
+    assert best(9) == [(0, 0.9, 4), (0, 0.9, 5), (1, 0.6, 9), (1, 0.7, 1)] and best(1) == [(0, 0.9, 4), (0, 0.9, 5), (1, 0.7, 1)]
+
+
 def test_ids_are_dense(spark):
     df = spark.range(1000).select((F.col("id") * 7919 % 1009).alias("k"))
     rows = sorted((r["id"], r["k"]) for r in lookup.with_ids(df, "k").collect())
