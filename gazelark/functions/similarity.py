@@ -18,16 +18,17 @@ _BLOCK = 62
 def common_subsequence(a: Column, b: Column) -> Column:
     """Length of the longest common subsequence, bit-parallel: a zero in the row of bits for each letter of b that makes the best length grow.
 
-    Each letter of a adds the bits where b has it to the row, block by block with the carry, so a pair costs the product of both lengths.
+    Each letter of a adds the bits where b has it to the row, block by block with the carry, so a pair costs the product of both lengths,
+    less the letters that both begin or end with, which are always common.
     """
     full = (1 << _BLOCK) - 1
 
-    def rows(letters: Column) -> Column:
+    def rows(by: Column, letters: Column) -> Column:
         blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(letters) - 1) / _BLOCK).cast("int")), lambda w: F.slice(letters, w * _BLOCK + 1, F.lit(_BLOCK)))
 
         def step(row: Column, char: Column) -> Column:
             def block(acc: Column, w: Column) -> Column:
-                bits = F.aggregate(F.transform(w["letters"], lambda x, i: F.when(x == char, F.expr("1L")).otherwise(F.expr("0L")) * F.pow(F.lit(2.0), i).cast("long")), F.expr("0L"), lambda s, x: s + x)
+                bits = F.aggregate(F.transform(w["letters"], lambda x, i: F.when(x == char, F.call_function("shiftleft", F.expr("1L"), i)).otherwise(F.expr("0L"))), F.expr("0L"), lambda s, x: s + x)
                 return _let(
                     F.struct(w["row"].alias("v"), bits.alias("m")),
                     lambda p: _let(
@@ -39,10 +40,25 @@ def common_subsequence(a: Column, b: Column) -> Column:
             start = F.struct(F.expr("0L").alias("carry"), F.array().cast("array<bigint>").alias("out"))
             return F.aggregate(F.transform(F.arrays_zip(row.alias("row"), blocks.alias("letters")), lambda z: F.struct(z["row"].alias("row"), z["letters"].alias("letters"))), start, block)["out"]
 
-        last = F.aggregate(F.split(a, ""), F.transform(blocks, lambda w: F.lit(full)), step)
+        last = F.aggregate(by, F.transform(blocks, lambda w: F.lit(full)), step)
         return F.aggregate(last, F.lit(0), lambda n, v: n + _BLOCK - F.bit_count(v))
 
-    return F.when((F.length(a) == 0) | (F.length(b) == 0), F.lit(0)).otherwise(_let(F.split(b, ""), rows))
+    def alike(x: Column, y: Column) -> Column:
+        first = F.array_position(F.zip_with(x, y, lambda u, v: u.eqNullSafe(v)), False)
+        return F.when(first == 0, F.size(x)).otherwise(first - 1).cast("int")
+
+    def after(s: Column) -> Column:
+        return F.struct(s["n"].alias("n"), *[F.reverse(F.slice(s[x], s["k"] + 1, F.size(s[x]))).alias(x) for x in "ab"])
+
+    def counted(s: Column) -> Column:
+        return F.struct((s["n"] + alike(s["a"], s["b"])).alias("n"), alike(s["a"], s["b"]).alias("k"), s["a"].alias("a"), s["b"].alias("b"))
+
+    def middle(s: Column) -> Column:
+        return s["n"] + F.when((F.size(s["a"]) == 0) | (F.size(s["b"]) == 0), F.lit(0)).otherwise(rows(s["a"], s["b"]))
+
+    split = F.struct(F.lit(0).alias("n"), F.split(a, "").alias("a"), F.split(b, "").alias("b"))
+    trimmed = _let(split, lambda s: _let(counted(s), lambda t: _let(after(t), lambda u: _let(counted(u), lambda v: _let(after(v), middle)))))
+    return F.when((F.length(a) == 0) | (F.length(b) == 0), F.lit(0)).otherwise(trimmed)
 
 
 def indel_distance(a: Column, b: Column) -> Column:

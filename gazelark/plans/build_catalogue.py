@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import similarity, text, typos
 from ..operators import fts
-from ..session import scratch
+from ..session import scratch, spread
 from ..sources import readers, tables
 from . import etl, registries
 from .catalogue import _NATIONS, _PARTS, _PLACES, _REGIONS, PARTS, _bm25_sql, _query, nations, parts, places, regions, table
@@ -416,7 +416,7 @@ def fold_names(spark, d):
 def typo_injection(spark, d):
     """Misspelt names differ by as many letters as changes allow, keep their first letter, and short ones stay."""
     name = F.concat(F.col("p_name"), F.lit(" "), F.col("p_partkey"))
-    made = table(spark, d, "part").select(name.alias("name"), typos.with_typos(name, F.col("p_partkey")).alias("typo"), F.substring("p_name", 1, 3).alias("short"), F.greatest(F.lit(1), F.floor(F.length(name) * typos.SHARE)).alias("changes"))
+    made = spread(table(spark, d, "part").select("p_partkey", "p_name"), "p_partkey").select(name.alias("name"), typos.with_typos(name, F.col("p_partkey")).alias("typo"), F.substring("p_name", 1, 3).alias("short"), F.greatest(F.lit(1), F.floor(F.length(name) * typos.SHARE)).alias("changes"))
     bad = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))
     far = similarity.indel_distance(F.col("name"), F.col("typo")) > 2 * F.col("changes")
     return made.agg(F.count("*").alias("n"), bad(F.abs(F.length("name") - F.length("typo")) > F.col("changes")).alias("far_in_length"), bad(F.substring("name", 1, 1) != F.substring("typo", 1, 1)).alias("other_first"), bad(typos.with_typos(F.col("short"), F.lit(1)) != F.col("short")).alias("short_changed"), bad(far).alias("far_in_letters"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
@@ -36,3 +36,8 @@ def scratch(spark: SparkSession, kind: str) -> str:
         folder = tempfile.mkdtemp(prefix="gazelark-")
         spark.sparkContext.setCheckpointDir(folder)
     return f"{folder.rstrip('/')}/gazelark-{spark.sparkContext.applicationId}/{kind}-{uuid.uuid4().hex}"
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows dealt by a key over all shuffle partitions, for steps that take long for few bytes: a file of one row group is else read, and worked on, by one task."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
