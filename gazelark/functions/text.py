@@ -42,7 +42,13 @@ def fold_map(form: str = "NFD", latin_only: bool = True) -> tuple[str, str]:
 def fold_diacritics(c: Column | str) -> Column:
     """Latin letters without their diacritics; ł, ø, æ and ß stay. Loose combining marks go. Case stays."""
     source, target = fold_map()
-    return F.regexp_replace(F.translate(_col(c), source, target), r"\p{Mn}+", "")
+    c = _col(c)
+    return _unless_ascii(c, F.regexp_replace(F.translate(c, source, target), r"\p{Mn}+", ""))
+
+
+def _unless_ascii(c: Column, changed: Column) -> Column:
+    """changed, but for texts of ASCII characters alone, which stay and needn't be walked through."""
+    return F.when(F.octet_length(c) == F.length(c), c).otherwise(changed)
 
 
 _TOKEN = r"[\p{L}\p{N}\p{Co}]+"
@@ -124,10 +130,11 @@ def deduped(c: Column | str) -> Column:
 def decomposed(c: Column | str) -> Column:
     """Lower case without combining marks, ligatures and width forms taken apart."""
     source, target = fold_map("NFKD", False)
-    out = F.translate(_col(c), source, target)
+    c = _col(c)
+    out = F.translate(c, source, target)
     for char, plain in (("ﬁ", "fi"), ("ﬂ", "fl"), ("Ĳ", "IJ"), ("ĳ", "ij"), ("ŉ", "ʼn"), ("Ǆ", "DZ"), ("ǆ", "dz"), ("Ǉ", "LJ"), ("ǉ", "lj"), ("Ǌ", "NJ"), ("ǌ", "nj")):
         out = F.replace(out, F.lit(char), F.lit(plain))
-    return F.lower(F.regexp_replace(out, r"\p{M}+", ""))
+    return F.lower(_unless_ascii(c, F.regexp_replace(out, r"\p{M}+", "")))
 
 
 # Letters that decomposition leaves and their ASCII spelling; the first two come before all else.

@@ -7,9 +7,10 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.similarity import token_set_ratio
+from ..functions.similarity import _let, token_set_ratio
 from ..functions.text import ascii_name, comparable, decomposed, deduped, directions_differ, hash_id, is_latin, join_bar, match_threshold, titled
 from ..operators.lookup import with_ids
+from ..session import spread
 from ..sources import tables
 
 # The feature codes of populated places that count as cities.
@@ -211,9 +212,13 @@ def city_aliases(name: Column, alternates: Column, ascii: Column) -> Column:
     every = F.transform(F.concat(F.when(F.coalesce(alternates, F.lit("")) != "", F.split(alternates, ",")).otherwise(F.array().cast("array<string>")), F.array(ascii)), lambda x: F.trim(x))
     good = F.filter(every, lambda x: (F.length(x) >= 3) & is_latin(x))
     keyed = F.transform(good, lambda x: F.struct(decomposed(x).alias("k"), x.alias("v")))
-    fresh = F.filter(keyed, lambda x: x["k"] != decomposed(name))
-    first = F.transform(F.array_distinct(F.transform(fresh, lambda x: x["k"])), lambda k: F.get(F.filter(fresh, lambda x: x["k"] == k), 0)["v"])
-    return F.transform(first, titled)
+
+    def first(fresh: Column) -> Column:
+        return F.transform(F.array_distinct(F.transform(fresh, lambda x: x["k"])), lambda k: titled(F.get(F.filter(fresh, lambda x: x["k"] == k), 0)["v"]))
+
+    # each step is named once: an expression that stands in a lambda is worked out anew for each value
+    both = F.struct(keyed.alias("keyed"), decomposed(name).alias("own"))
+    return _let(both, lambda s: _let(F.filter(s["keyed"], lambda x: x["k"] != s["own"]), first))
 
 
 def cities(raw: DataFrame, countries: DataFrame, subdivisions: DataFrame) -> DataFrame:
@@ -221,7 +226,7 @@ def cities(raw: DataFrame, countries: DataFrame, subdivisions: DataFrame) -> Dat
 
     countries and subdivisions are (key, value) tables; Spark broadcasts them only if they are small.
     """
-    rows = raw.where(is_city())
+    rows = spread(raw.where(is_city()), "geonameid")
     keyed = rows.withColumns({"_c": F.col("`country code`"), "_1": F.concat_ws(".", "country code", F.coalesce("admin1 code", F.lit(""))), "_2": F.concat_ws(".", "country code", F.coalesce("admin1 code", F.lit("")), F.coalesce("admin2 code", F.lit("")))})
     named = lambda t, k, v: t.select(F.col("key").alias(k), F.col("value").alias(v))
     out = keyed.join(named(countries, "_c", "country"), "_c", "left").join(named(subdivisions, "_1", "admin1"), "_1", "left").join(named(subdivisions, "_2", "admin2"), "_2", "left")
@@ -266,5 +271,6 @@ def ingest(sources: Sources, path: str) -> dict[str, DataFrame]:
     subdivisions = put("subdivisions", final_subdivisions(whole))
     by_code = countries.select(F.col("alpha2").alias("key"), join_bar("name", "alpha2", "alpha3").alias("value"))
     by_geonames = subdivisions.where("geonames_code <> ''").select(F.col("geonames_code").alias("key"), join_bar("name", "geonames_code", "iso_code").alias("value"))
-    built = cities(sources.cities, by_code, by_geonames)
+    # written first, as the ranges of the ids are drawn from a sample and then cut, which would build every city twice
+    built = put("work/cities", cities(sources.cities, by_code, by_geonames))
     return {"countries": countries, "subdivisions": subdivisions, "cities": put("cities", with_ids(built.withColumn("_n", F.col("geonames_id").cast("bigint")), "_n").drop("_n"))}

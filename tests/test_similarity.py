@@ -39,3 +39,10 @@ def test_a_file_of_one_row_group_is_worked_on_by_many_tasks(spark, tmp_path):
     assert "hashpartitioning(p_partkey" in plan
     rows = spread(spark.read.parquet(str(tmp_path / "part.parquet")), "p_partkey")
     assert rows.select(F.spark_partition_id().alias("p")).distinct().count() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_a_citys_names_are_decomposed_once_each(spark):
+    """A lambda works out what stands in it for each value, so what is long is named once."""
+    from gazelark.plans.etl import city_aliases
+
+    assert str(city_aliases(F.col("name"), F.col("alternatenames"), F.col("asciiname"))).count("translate(") == 2
