@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import py_tokens, tokens
+from ..sources import tables
 from ..spec import EntitySpec
 
 #: BM25's parameters, the weight of a table's first field, and what stands for a score that would not be above 0.
@@ -22,6 +23,7 @@ class TextIndex:
     postings: DataFrame
     sizes: DataFrame
     _totals: tuple[int, float] | None = field(default=None, repr=False)
+    found: DataFrame | None = field(default=None, repr=False)
 
     @classmethod
     def build(cls, df: DataFrame, spec: EntitySpec) -> TextIndex:
@@ -31,17 +33,31 @@ class TextIndex:
             return F.transform(tokens(F.col(field).cast("string")), lambda t, i: F.struct(t.alias("token"), F.lit(field).alias("field"), i.alias("pos")))
 
         each = [placed(f) for f in spec.text_fields]
-        found = df.select(F.col(spec.key).alias("id"), F.flatten(F.array(*each)).alias("t"))
+        return cls._of(df.select(F.col(spec.key).alias("id"), F.flatten(F.array(*each)).alias("t")), spec)
+
+    @classmethod
+    def _of(cls, found: DataFrame, spec: EntitySpec) -> TextIndex:
+        """From (id, t), each row's placed tokens."""
         postings = found.select("id", F.explode("t").alias("t")).select("t.token", "t.field", "id", "t.pos")
-        return cls(spec, postings, found.select("id", F.size("t").alias("size")))
+        return cls(spec, postings, found.select("id", F.size("t").alias("size")), found=found)
 
     def cached(self) -> TextIndex:
         return TextIndex(self.spec, self.postings.cache(), self.sizes.cache())
 
     def write(self, path: str) -> None:
-        """Postings sorted by token, so that a lookup reads the row groups of its tokens."""
-        self.postings.repartitionByRange("token").sortWithinPartitions("token", "id").write.mode("overwrite").parquet(f"{path}/postings")
-        self.sizes.write.mode("overwrite").parquet(f"{path}/sizes")
+        """Postings sorted by token, so that a lookup reads the row groups of its tokens.
+
+        Texts are split once, into a table that the sample for the ranges, the postings and the sizes read. Ranges go by id too, so
+        that no task gets all of a frequent token.
+        """
+        index, spark = self, self.postings.sparkSession
+        if self.found is not None:
+            self.found.write.mode("overwrite").parquet(f"{path}/found")
+            index = self._of(spark.read.schema(self.found.schema).parquet(f"{path}/found"), self.spec)
+        index.postings.repartitionByRange("token", "id").sortWithinPartitions("token", "id").write.mode("overwrite").parquet(f"{path}/postings")
+        index.sizes.write.mode("overwrite").parquet(f"{path}/sizes")
+        if index is not self:
+            tables.remove(spark, f"{path}/found")
 
     @classmethod
     def read(cls, spark, path: str, spec: EntitySpec) -> TextIndex:

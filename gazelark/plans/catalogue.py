@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import similarity, text
 from ..operators import fts, fuzzy, hierarchy, lookup
-from ..session import scratch
+from ..session import scratch, spread
 from ..sources import readers, tables
 from ..spec import EntitySpec
 from . import etl, registries
@@ -209,7 +209,7 @@ def stored_index(spark: SparkSession, df: DataFrame, spec: EntitySpec) -> fts.Te
     kind = (spark.sparkContext.applicationId, spec.name, tuple(sorted(df.inputFiles())))
     if kind not in _INDEXES or not tables.exists(spark, f"{_INDEXES[kind]}/sizes"):
         path = scratch(spark, "index")
-        fts.TextIndex.build(df, spec).write(path)
+        fts.TextIndex.build(spread(df, spec.key), spec).write(path)
         _INDEXES[kind] = path
     return fts.TextIndex.read(spark, _INDEXES[kind], spec)
 

@@ -46,3 +46,17 @@ def test_a_citys_names_are_decomposed_once_each(spark):
     from gazelark.plans.etl import city_aliases
 
     assert str(city_aliases(F.col("name"), F.col("alternatenames"), F.col("asciiname"))).count("translate(") == 2
+
+
+def test_an_index_splits_a_frequent_token_and_reads_as_built(spark, tmp_path):
+    from gazelark.operators import fts
+    from gazelark.spec import EntitySpec
+
+    built = fts.TextIndex.build(spark.range(5000).select("id", F.lit("la été").alias("name")), EntitySpec("t", ("name",)))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # small ranges would be read by one task
+    built.write(str(tmp_path / "index"))
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    read = fts.TextIndex.read(spark, str(tmp_path / "index"), built.spec)
+    assert sorted(map(tuple, read.postings.collect())) == sorted(map(tuple, built.postings.collect())) and read.totals() == (5000, 2.0)
+    assert read.postings.where("token = 'la'").select(F.input_file_name().alias("f")).distinct().count() > 1
+    assert not (tmp_path / "index" / "found").exists()
